@@ -1,0 +1,21 @@
+"""The engine's registered queries, each with the SQL that checks it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from korrel.session import load
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+def queries() -> dict:
+    return {"flagship": flagship}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"flagship": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1"}
