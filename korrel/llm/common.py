@@ -156,3 +156,12 @@ def signed(h: np.ndarray) -> np.ndarray:
 def texts_of(column) -> list[bytes]:
     """An Arrow string column as UTF-8; null is empty."""
     return [b"" if x is None else x.encode() for x in column.to_pylist()]
+
+
+def filesystem(uri: str):
+    """The Arrow file system of a folder's URI, and the path there."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
