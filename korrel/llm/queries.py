@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from korrel.llm.common import table
 
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_simhash_dedup(spark, sf_dir):
     from korrel.llm.simhash import near_duplicates
@@ -11,6 +19,24 @@ def op1_simhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    from korrel.llm.substring import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op10_token_id_files(spark, sf_dir):
+    from korrel.llm.frames import id_files
+
+    return id_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+
+
+def op5_mixture_packing(spark, sf_dir):
+    from korrel.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
