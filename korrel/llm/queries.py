@@ -37,6 +37,18 @@ def op5_mixture_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op3_token_counts(spark, sf_dir):
+    from korrel.llm.transducer import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+def op4_media_fingerprints(spark, sf_dir):
+    from korrel.llm.media import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
