@@ -49,9 +49,29 @@ def op4_media_fingerprints(spark, sf_dir):
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_cotrained_quality(spark, sf_dir):
+    from korrel.llm.cotrain import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_preference_format(spark, sf_dir):
+    from korrel.llm.chat import preference_table
+
+    return preference_table(table(spark, sf_dir, "conversations"))
+
+
+def op9_cross_entropy_difference(spark, sf_dir):
+    from korrel.llm.lm import cross_entropy_difference, target_documents
+
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), target_documents(table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from korrel.llm.chat import PREFERENCE_SQL
+
+    return {"op7_preference_format": PREFERENCE_SQL}
