@@ -67,6 +67,12 @@ def op9_cross_entropy_difference(spark, sf_dir):
     return cross_entropy_difference(table(spark, sf_dir, "documents"), target_documents(table(spark, sf_dir, "labels")))
 
 
+def op2_benchmark_decontamination(spark, sf_dir):
+    from korrel.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
