@@ -8,7 +8,7 @@ left out; halves that differ in at most that bit are equal there. Equal variants
 from __future__ import annotations
 
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,67 +89,104 @@ def _forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) ->
         if (new == label).all():
             break
         label = new
-    return [(fps[r], fps[k]) for k, r in enumerate(label.tolist()) if r != k]
+    found = fps.view(np.int64).tolist()
+    return [(found[r], found[k]) for k, r in enumerate(label.tolist()) if r != k]
 
 
-def _verify(bits: int):
+def _small(bits: int, block: int):
+    """(a, b, key) from rows sorted by key and fp: verified pairs of buckets up to ``block``; keys of larger ones."""
+
+    def run(batches):
+        key, fps, over = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        last = iter([None])
+        for batch in chain(batches, last):
+            if batch is not None:
+                key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+                fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False)])
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(begin, append=len(key))
+            large = (size > block) | (key[begin] == over) if over is not None else size > block
+            found = []
+            for k in key[begin[large]].tolist():
+                if k != over:
+                    found.append((None, None, k))
+                over = k
+            closed = np.ones(len(begin), bool)
+            closed[-1] = batch is None  # the last bucket may go on in the next batch
+            use = closed & ~large & (size > 1)
+            for a, n in zip(begin[use & (size > 16)].tolist(), size[use & (size > 16)].tolist()):
+                every = np.arange(n)
+                found += [(x, y, None) for x, y in _forest(fps[a : a + n].view(np.uint64), every, every, bits)]
+            use &= size <= 16
+            row = np.repeat(use, size)
+            k, f = key[row], fps[row].view(np.uint64)
+            for step in range(1, int(size[use].max(initial=1))):
+                x, y, same = f[:-step], f[step:], k[step:] == k[:-step]
+                x, y, tag = x[same], y[same], k[step:][same] >> 32
+                low, high = (np.bitwise_count((x ^ y) >> np.uint64(s) & np.uint64(0xFFFFFFFF)) for s in (0, 32))
+                # a pair meets under many variants; it counts under one of them
+                own = np.where(tag < 32, (low == 1) | ((low == 0) & (tag == 0)), (low > 1) & ((high == 1) | (tag == 32)))
+                own &= low + high <= bits
+                found += [(a, b, None) for a, b in zip(x[own].view(np.int64).tolist(), y[own].view(np.int64).tolist())]
+            rest = begin[-1] if not closed[-1] and not large[-1] else len(key)
+            key, fps = key[rest:], fps[rest:]
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b", "key"])
+
+    return run
+
+
+def _cells(bits: int):
     def run(batches):
         """Rows come sorted by cell; a cell holds two blocks of one bucket, so it is small."""
         cell, rows = None, []
 
         def closed():
-            if len(rows) < 2:
-                return []
             fps = np.array([x[0] for x in rows], np.int64).view(np.uint64)
             block = np.array([x[1] for x in rows])
-            own, other = np.flatnonzero(block == cell[1]), np.flatnonzero(block == cell[2])
-            return _forest(fps, own, other, bits)
+            return _forest(fps, np.flatnonzero(block == cell[1]), np.flatnonzero(block == cell[2]), bits)
 
         for batch in batches:
             edges = []
             for key, low, high, fp, block in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if (key, low, high) != cell:
-                    edges += closed()
+                    edges += closed() if rows else []
                     cell, rows = (key, low, high), []
                 rows.append((fp, block))
             if edges:
-                yield _edges(edges)
-        if edges := closed():
-            yield _edges(edges)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
+        if rows and (edges := closed()):
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
 
     return run
 
 
-def _edges(edges) -> pa.RecordBatch:
-    found = np.array(edges, np.uint64).view(np.int64).reshape(-1, 2)
-    return pa.record_batch([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
-
-
 def links(classes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(a, b): edges between distinct fingerprints with the same components as all links of ``bits`` or fewer.
 
-    Buckets of two are verified as they are counted. Larger ones are cut into blocks of about ``block``
-    fingerprints; each pair of blocks is compared apart, so no task holds a whole bucket.
+    Buckets up to ``block`` fingerprints are verified where they meet. Larger ones are cut into blocks of about
+    that size; each pair of blocks is compared apart, so no task holds a whole bucket.
     """
     if bits > 3:
         raise ValueError("two halves with one wildcard find three differing bits at most")
-    variants = _variants(classes)
-    counts = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    counts = keep(counts, "simhash-buckets")
-    pairs = counts.filter((F.col("n") == 2) & (F.bit_count(F.expr("a ^ b")) <= bits)).select("a", "b")
-    large = counts.filter("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    variants = _variants(classes).select("key", "fp")
+    met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_small(bits, block), "a long, b long, key long")
+    met = keep(met, "simhash-links")
+    pairs, large = met.filter("key is null").select("a", "b"), met.filter("key is not null").select("key")
+    if large.isEmpty():
+        return pairs
+    many = variants.join(large, "key")
+    blocks = many.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     cells = (
-        variants.join(large, "key")
+        many.join(blocks, "key")
         .withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
         .withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "block")
     )
-    more = (
-        cells.repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_verify(bits), "a long, b long")
-    )
-    return pairs.union(more)
+    more = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return pairs.union(more.mapInArrow(_cells(bits), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
