@@ -110,7 +110,7 @@ def _distinct_sorted(a: Column) -> Column:
 
 
 def _replace_one(text: Column, find: Column, new: Column) -> Column:
-    at = F.locate_column(text, find) if hasattr(F, "locate_column") else F.position(find, text)
+    at = F.position(find, text)
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.char_length(find), F.char_length(text)))).otherwise(text)
 
 
@@ -431,13 +431,19 @@ def compile_field(c: Column, spec, scope: Scope) -> Column:
         elif op == "$not":
             test = ~compile_field(c, v, scope)
         elif op == "$elemMatch":
-            test = F.exists(c, lambda x, v=v: compile_field(x, v, scope) if any(k.startswith("$") for k in v) else reduce(lambda a, b: a & b, (compile_field(x.getField(k), s, scope) for k, s in v.items())))
+            test = F.exists(c, _element(v, scope))
         else:
             raise OperatorDenied(op)
         found.append(F.coalesce(test, F.lit(False)))
     return reduce(lambda a, b: a & b, found, F.lit(True))
 
 
+def _element(spec: dict, scope: Scope):
+    if any(k.startswith("$") for k in spec):
+        return lambda x: compile_field(x, spec, scope)
+    return lambda x: reduce(lambda a, b: a & b, (compile_field(x.getField(k), s, scope) for k, s in spec.items()))
+
+
 def compile_filter(spec: dict, scope: Scope) -> Column:
     if not isinstance(spec, dict):
         raise CommandInvalid("a filter is an object")
