@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from korrel.operators.expressions import Scope, compile_expression, compile_filter, literal
 from korrel.plans.errors import CommandInvalid, HiddenFieldUsed, MaskedFieldUsed, OperatorDenied, TableNotFound, TableRefused
 from korrel.plans.policy import Access, Mask
+from korrel.session import checkpointed
 
 MAX_BYTES, MAX_DEPTH, VIEW_LEVELS = 100_000, 64, 8
 DENIED_STAGES = {"$out", "$merge"}
@@ -469,7 +470,7 @@ def _graph_lookup(self, df, spec, state):
         found = frontier.join(nodes, F.col("__at") == F.col("__to")).select("__start", "__to", "__from", "__doc", F.lit(level).cast("long").alias("__depth"))
         if seen is not None:
             found = found.join(seen.select("__start", "__to").distinct(), ["__start", "__to"], "left_anti")
-        found = found.checkpoint() if level else found
+        found = checkpointed(found) if level else found
         if level and found.isEmpty():
             break
         seen = found if seen is None else seen.unionByName(found)

@@ -32,3 +32,14 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of the tables of ``sf_dir``; reading the schema is all that happens here."""
     for name in names or TABLES:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed now, its lineage cut: kept in ``spark.checkpoint.dir``, or where that is unset, as in
+    tests, in a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="korrel-checkpoint-"))
+    return df.checkpoint()
