@@ -4,6 +4,7 @@ Windows double in length. At half the window's length only anchors are looked at
 smallest hash among those inside some full window: equal full windows have equal anchors. Anchors that occur
 once are dropped; only those repeated are extended to full windows, whose first occurrence stays. The ladder
 ends at ``window`` words: a longer repeat is a union of repeated windows, so it would remove nothing more.
+Copies of whole documents are known by their digest and go first; only the earliest is looked at.
 
 Both levels drop repeats inside a batch before they shuffle, so that a passage in a third of all documents
 leaves each batch once, and both find repeats by streaming over sorted rows, never holding a group.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import MAX64, Words, mix, parts_for, signed, slices, sliding, texts_of
+from korrel.llm.common import MAX64, Words, keep, mix, parts_for, signed, slices, sliding, texts_of
 
 WINDOW = 20
 #: Bytes of text that are hashed at a time.
@@ -84,7 +85,8 @@ def _level_one(window: int):
                 kind[np.flatnonzero(new)[np.diff(np.flatnonzero(new), append=len(new)) > 1]] = 2
                 known = kind == 1
                 h = np.where(known, mix(place.astype(np.uint64) ^ mix(row_id.astype(np.uint64))), h)
-                yield _batch(["h", "id", "place", "kind"], signed(h), row_id, place, kind)
+                back = np.argsort(order[fresh], kind="stable")  # in the texts' order neighbours compress well
+                yield _batch(["h", "id", "place", "kind"], *(x[back] for x in (signed(h), row_id, place, kind)))
 
     return run
 
@@ -152,7 +154,9 @@ def _level_two(window: int):
                 again[1:] = ~new[1:] & (row_id[1:] == row_id[:-1]) & (place[1:] == place[:-1])
                 h1, h2, row_id, place, new = (x[~again] for x in (h1, h2, row_id, place, new))
                 h1 = np.where(new, h1, mix(place.astype(np.uint64) ^ mix(row_id.astype(np.uint64))))
-                yield _batch(["h1", "h2", "id", "place", "known"], signed(h1), signed(h2), row_id, place, ~new)
+                h2 = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)  # with h1 96 bits: enough for 10**13 windows
+                back = np.argsort(order[~again], kind="stable")
+                yield _batch(["h1", "h2", "id", "place", "known"], *(x[back] for x in (signed(h1), h2, row_id, place, ~new)))
 
     return run
 
@@ -184,11 +188,17 @@ _WORD = re.compile(rb"[^\t-\r ]+")
 def _cut(window: int, with_text: bool):
     def run(batches):
         for batch in batches:
-            keys, texts, found = batch.column(4), batch.column(2).to_pylist(), batch.column(3)
+            keys, rest, texts, found, copy = (batch.column(c) for c in ("doc_id", "rest", "text", "at", "copy"))
+            texts = texts.to_pylist()
             words, removed, digests, kept_texts = [], [], [], []
             for k, text in enumerate(texts):
                 raw = (text or "").encode()
-                if not found[k].is_valid:
+                if copy[k].is_valid:
+                    split = raw.split()
+                    count, gone, joined = len(split), len(split), b""
+                    if count < window:
+                        gone, joined = 0, None if with_text else b" ".join(split)
+                elif not found[k].is_valid:
                     count, joined, gone = 0, None, 0
                     if not with_text:
                         split = raw.split()
@@ -211,8 +221,8 @@ def _cut(window: int, with_text: bool):
                     digests.append(hashlib.sha256(joined).hexdigest())
             last = kept_texts if with_text else digests
             yield pa.record_batch(
-                [keys, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                [keys, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string()), rest],
+                names=["doc_id", "n_words", "n_removed", "kept", "rest"],
             )
 
     return run
@@ -220,29 +230,42 @@ def _cut(window: int, with_text: bool):
 
 def _positions(rows: DataFrame) -> DataFrame:
     place = F.col("place")
-    return rows.groupBy("id", F.shiftright(place, PLACE_BITS).cast("int").alias("dup")).agg(
+    return rows.groupBy("id", F.shiftright(place, PLACE_BITS).alias("dup")).agg(
         F.collect_list(place.bitwiseAND(F.lit(_PLACE)).cast("int")).alias("at")
     )
 
 
-def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents (id, dup, text, doc_id) dealt by id, and (id, dup, at): starts of windows seen earlier."""
+def _copies(rows: DataFrame) -> DataFrame:
+    """(id, dup) of the documents whose whole text is an earlier document's."""
+    texts = rows.select("id", "dup", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    texts = keep(texts, "text-digests")
+    first = texts.groupBy("sha").agg(F.min(F.struct("id", "dup")).alias("first"), F.max(F.struct("id", "dup")).alias("last"))
+    copies = texts.join(first.filter("first <> last").select("sha", "first"), "sha")
+    return copies.filter(F.struct("id", "dup") != F.col("first")).select("id", "dup", F.lit(True).alias("copy")).distinct()
+
+
+def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, carried: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, dup, text, doc_id, rest) dealt by id; (id, dup, copy) of whole copies; (id, dup, at) of the
+    others: starts of windows seen earlier. The documents' exchange is the same for all that read it."""
     parts = parts_for(docs)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit((1 << 23) - 1)).cast("int").alias("dup"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit((1 << 23) - 1)).alias("dup"),
         F.col(text_col).alias("text"),
         F.col(id_col).cast("long").alias("doc_id"),
+        F.struct(*(carried or [id_col])).alias("rest"),
     )
+    copies = keep(_copies(rows), "copies")
     dealt = rows.repartition(parts, "id", "dup")
-    key = rows.select("id", F.col("dup").cast("long"), "text")
+    # no anti-join: it would go below the exchange and make it another one
+    key = dealt.join(copies, ["id", "dup"], "left").filter("copy is null").select("id", "dup", "text", "doc_id", "rest")
     anchors = key.mapInArrow(_level_one(window), "h long, id long, place long, kind byte")
     survivors = anchors.repartition(parts, "h").sortWithinPartitions("h", "id", "place")
     survivors = _positions(survivors.mapInArrow(_repeated, "id long, place long"))
-    found = dealt.join(survivors, ["id", "dup"]).select("id", F.col("dup").cast("long"), "text", "at")
-    windows = found.mapInArrow(_level_two(window), "h1 long, h2 long, id long, place long, known boolean")
+    found = dealt.join(survivors, ["id", "dup"]).select("id", "dup", "text", "at", "doc_id", "rest")
+    windows = found.mapInArrow(_level_two(window), "h1 long, h2 int, id long, place long, known boolean")
     later = windows.repartition(parts, "h1").sortWithinPartitions("h1", "h2", "id", "place")
-    return dealt, _positions(later.mapInArrow(_later, "id long, place long"))
+    return dealt, copies, _positions(later.mapInArrow(_later, "id long, place long"))
 
 
 def dedup_substrings(
@@ -259,7 +282,30 @@ def dedup_substrings(
     """
     if window < 2:
         raise ValueError("a window has two words at least")
-    dealt, removed = repeated_windows(docs, window, id_col, text_col)
-    rows = dealt.join(removed, ["id", "dup"], "left").select("id", "dup", "text", "at", "doc_id")
-    cut = rows.mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept string")
-    return cut.withColumnRenamed("kept", "kept_text" if with_text else "kept_sha256")
+    return _cut_rows(docs, window, id_col, text_col, with_text, []).withColumnRenamed("kept", "kept_text" if with_text else "kept_sha256").drop("rest")
+
+
+def _cut_rows(docs: DataFrame, window: int, id_col: str, text_col: str, with_text: bool, carried: list[str]) -> DataFrame:
+    dealt, copies, removed = repeated_windows(docs, window, id_col, text_col, carried)
+    rows = dealt.join(removed, ["id", "dup"], "left").join(copies, ["id", "dup"], "left").select("id", "dup", "text", "at", "doc_id", "copy", "rest")
+    kind = dealt.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(_cut(window, with_text), f"doc_id long, n_words long, n_removed long, kept string, rest {kind}")
+
+
+def cut_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with all their columns and their texts cut; ``size_col``, if there, follows the text.
+
+    All rows stay: a text that loses all its words is empty. See ``dedup_substrings`` for what goes.
+    """
+    rows = _cut_rows(docs, window, id_col, text_col, True, docs.columns)
+
+    def column(name: str):
+        kind = docs.schema[name].dataType
+        old = F.col("rest").getField(name)
+        if name == text_col:
+            return F.col("kept").alias(name)
+        if name == size_col:
+            return F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(old).cast(kind).alias(name)
+        return old.alias(name)
+
+    return rows.select(*map(column, docs.columns))
