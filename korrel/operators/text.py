@@ -230,7 +230,7 @@ def spans_at(offsets: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 def sniff(data: Column) -> Column:
     """The encoding a file's bytes speak for: a mark at the start, NUL bytes, valid UTF-8, or the fallback."""
     head = F.hex(F.substring(data, 1, 3))
-    utf8 = F.hex(F.encode(F.decode(data, "UTF-8"), "UTF-8")) == F.hex(data)
+    utf8 = F.is_valid_utf8(data.cast("string"))
     return (
         F.when(head.startswith("FFFE"), "utf16le").when(head.startswith("FEFF"), "utf16be").when(F.hex(data).rlike("^(..)*00"), "binary").when(utf8, "utf8").otherwise("windows-1254")
     )
