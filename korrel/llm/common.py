@@ -53,8 +53,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def parts_for(df: DataFrame, mb: int = 16) -> int:
     """Shuffle partitions for ``df``: the session's number, or more so that each takes about ``mb`` of input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20) + 1, 200_000))
+    if size >= 1 << 60:  # Spark's word for a size that it doesn't know
+        return least
+    return max(least, min(size // (mb << 20) + 1, 200_000))
 
 
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
