@@ -28,6 +28,8 @@ SLICE = 1 << 21
 #: A word's place is its number in the document under 24 bits that tell rows of one id apart.
 PLACE_BITS = 40
 _PLACE = (1 << PLACE_BITS) - 1
+#: Parts into which the documents of equal text are dealt.
+SALTS = 16
 
 
 def _anchors(words: Words, window: int):
@@ -237,10 +239,12 @@ def _positions(rows: DataFrame) -> DataFrame:
 
 def _copies(rows: DataFrame) -> DataFrame:
     """(id, dup) of the documents whose whole text is an earlier document's."""
-    texts = rows.select("id", "dup", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    texts = rows.select("id", "dup", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), salt)
     texts = keep(texts, "text-digests")
     first = texts.groupBy("sha").agg(F.min(F.struct("id", "dup")).alias("first"), F.max(F.struct("id", "dup")).alias("last"))
-    copies = texts.join(first.filter("first <> last").select("sha", "first"), "sha")
+    first = first.filter("first <> last").select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = texts.join(first, ["sha", "salt"])  # a large group's rows are dealt by their salt
     return copies.filter(F.struct("id", "dup") != F.col("first")).select("id", "dup", F.lit(True).alias("copy")).distinct()
 
 
