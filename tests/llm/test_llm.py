@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from korrel.llm import chat, cotrain, decontaminate, encode, frames, lm, media, packing, simhash, substring, transducer
+from korrel.llm import chat, cotrain, decontaminate, encode, frames, lm, media, packing, simhash, similar, substring, transducer
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -545,3 +545,35 @@ def test_pipeline_stages(spark, small, tmp_path):
             check_packing(done.collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
         docs, before = done, done.count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def shingles(text):
+    words = WORDS.findall((text or "").translate(LOWER))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_similar_documents_are_all_that_share_enough(spark, prose, empty, monkeypatch, block):
+    rng = random.Random(8)
+    docs = list(prose[1])
+    for k in range(60):  # chains of edits: similarity on both sides of 0.8
+        words = docs[rng.randrange(len(docs))].split()
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["new", "other", "words"])
+        docs.append(" ".join(words))
+    rows = [*enumerate(docs), *((1000 + k, t) for k, (_, t) in enumerate(ODD))]
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) > 0:
+                label = [label[b] if x == label[a] else x for x in label]
+    least = {}
+    for (i, _), x in zip(rows, label):
+        least[x] = min(i, least.get(x, i))
+    wanted = {i: least[x] for (i, _), x in zip(rows, label)}
+    default = similar.similar_sets
+    monkeypatch.setattr(similar, "similar_sets", lambda r: default(r, block))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()} == wanted
+    assert similar.similar_documents(empty).count() == 0
