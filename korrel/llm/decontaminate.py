@@ -7,11 +7,13 @@ walks, again and again with other samples and walks until edited items are found
 is aligned exactly. Words are compared, not characters, so case, punctuation and white space don't matter.
 
 Windows begin every ``stride`` words of a document, so items are indexed from each of their first ``stride``
-words. Items come in blocks of bounded size, each held against all documents where they lie: no shuffle.
+words. Items of more than PIECE words are looked for by pieces: of an item within EDITS at least one piece is, and
+the whole item is aligned about it. Items come in blocks of bounded size, each held against all documents where they lie: no shuffle.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +25,10 @@ from korrel.llm.common import Words, mix, slices, texts_of
 
 #: Share of an item's words that may be edited, and the fewest words an item has to be looked for.
 EDITS, LEAST_WORDS = 0.2, 5
-#: Steps sampled at once, walks, samples of each walk at most, and the share of edited items to be found.
-SAMPLED, WALKS, SAMPLES, TARGET = 3, 4, 24, 0.97
+#: Steps sampled at once, walks, and the share of edited items to be found.
+SAMPLED, WALKS, TARGET = 3, 4, 0.97
+#: Words up to which a few samples reach TARGET, and samples of each walk after which missing it is reported.
+PIECE, MANY = 243, 96
 #: Items of one block, which bounds the index that is broadcast: some 500 bytes a word of stride and item.
 ITEMS = 2000
 SLICE = 1 << 21
@@ -154,8 +158,19 @@ def _recall(size: SizeClass, items: list[np.ndarray], rng) -> float:
     return len(np.unique(text[window][some[text[window]] == owner // size.stride])) / len(some)
 
 
-def build_index(items: list[np.ndarray]) -> list[tuple[SizeClass, np.ndarray]]:
-    """Size classes of ``items`` (hashed words), each with the numbers of its items; samples until TARGET is met."""
+def _pieces(count: int) -> list[tuple[int, int]]:
+    edges = [count * k // -(-count // PIECE) for k in range(-(-count // PIECE) + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+def build_index(items: list[np.ndarray]) -> list[tuple[SizeClass, np.ndarray, np.ndarray]]:
+    """Size classes of the pieces of ``items`` (hashed words), each with its pieces' items and places there.
+
+    Samples are added until TARGET is met; a class that misses it with MANY is reported by a warning.
+    """
+    cuts = [(k, a, b) for k, x in enumerate(items) for a, b in _pieces(len(x))]
+    source, offset = (np.array([c[j] for c in cuts], np.int64) for j in (0, 1))
+    items = [items[k][a:b] for k, a, b in cuts]
     sizes = np.array([len(x) for x in items], np.int64)
     found, least = [], LEAST_WORDS
     while len(sizes) and least <= sizes.max():
@@ -165,12 +180,15 @@ def build_index(items: list[np.ndarray]) -> list[tuple[SizeClass, np.ndarray]]:
             stride = 1 << max(0, int(least // 3).bit_length() - 1)
             rng = np.random.default_rng(least)
             chosen = [items[k] for k in own.tolist()]
-            for count in (4, 8, 12, 16, 20, SAMPLES):
+            for count in range(4, MANY + 1, 4):
                 size = SizeClass(least, stride, _sampled(least, stride, count, least))
                 _index(size, chosen)
-                if _recall(size, chosen, rng) >= TARGET:
+                recall = _recall(size, chosen, rng)
+                if recall >= TARGET:
                     break
-            found.append((size, own))
+            else:
+                warnings.warn(f"items of {least} to {most - 1} words: {recall:.2f} of edited ones found, not {TARGET}", stacklevel=2)
+            found.append((size, source[own], offset[own]))
         least = most
     return found
 
@@ -202,18 +220,23 @@ def _search(index, items: list[np.ndarray], rows: np.ndarray, begin: np.ndarray,
     marks = np.zeros((len(items), 1024), bool)  # which words an item may have
     marks[np.repeat(np.arange(len(items)), lengths), (np.concatenate([*items, rows[:0]]) >> np.uint64(40) & np.uint64(1023)).astype(np.int64)] = True
     found = []
-    for size, own in index:
+    # the places of a long item are taken together, as each of its alignments is dear
+    grid = np.where(lengths > PIECE, np.maximum(1, (EDITS * lengths).astype(np.int64)), 1)
+    for size, own, offset in index:
         text, starts = _window_starts(begin, count, size)
         window, owner = _met(size, rows, starts)
         item, shift = own[owner // size.stride], owner % size.stride
-        doc, place = text[window], starts[window] - shift
+        doc, place = text[window], starts[window] - shift - offset[owner // size.stride]
+        place = place // grid[item] * grid[item]
         pairs = np.unique(np.stack([doc, item, place]), axis=1) if len(doc) else np.zeros((3, 0), np.int64)
-        for low in range(0, pairs.shape[1], 2000):
-            doc, item, place = pairs[:, low : low + 2000]
+        some = max(1, min(2000, 2000 * PIECE // int(lengths[own].max())))
+        for low in range(0, pairs.shape[1], some):
+            doc, item, place = pairs[:, low : low + some]
             n = lengths[item]
             slack = (EDITS * n).astype(np.int64)
-            first = np.maximum(begin[doc], place - slack - size.stride)
-            stop = np.minimum((begin + count)[doc], place + n + slack + size.stride)
+            more = np.where(n > PIECE, int(EDITS * PIECE) + 1, 0)  # a piece may lie as far off in its window
+            first = np.maximum(begin[doc], place - slack - size.stride - more)
+            stop = np.minimum((begin + count)[doc], place + grid[item] - 1 + n + slack + size.stride + more)
             reach = first[:, None] + np.arange(int((stop - first).max()))
             texts = np.where(reach < stop[:, None], rows[np.minimum(reach, len(rows) - 1)], np.uint64(0))
             # all but the edited words of an item are in its passage

@@ -499,6 +499,26 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == 160
 
 
+@pytest.mark.parametrize("length", [400, 600, 900, 1300])
+def test_long_edited_items_are_found(length):
+    rng = np.random.default_rng(length)
+    words = lambda n: rng.integers(1, 1 << 62, n, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    items, edits = [words(length) for _ in range(60)], int(decontaminate.EDITS * length)
+    texts = [np.concatenate([words(rng.integers(0, 300)), decontaminate._edited(x, edits, rng), words(rng.integers(0, 9))]) for x in items]
+    count = np.array([len(x) for x in texts])
+    begin = np.cumsum(count + 1) - count - 1
+    rows = np.concatenate([y for x in texts for y in (x, [np.uint64(0)])]).astype(np.uint64)
+    doc, item, found, _ = decontaminate._search(decontaminate.build_index(items), items, rows, begin, count)
+    assert (doc == item).all() and (found <= edits).all() and len(doc) >= 0.97 * len(items)
+
+
+def test_missed_target_is_reported(monkeypatch):
+    monkeypatch.setattr(decontaminate, "TARGET", 1.01)
+    monkeypatch.setattr(decontaminate, "MANY", 4)
+    with pytest.warns(UserWarning, match="of edited ones found"):
+        decontaminate.build_index([np.arange(1, 41, dtype=np.uint64)])
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS", 7)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(12))) for k in range(30)]
