@@ -204,15 +204,15 @@ def _once(count: int, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("lang", "source", "n_chars")) -> dict[str, Model]:
-    """Models of quality and toxic from SAMPLE labelled documents at most and about POOL others."""
+    """Models of quality and toxic from SAMPLE labelled documents at most and about POOL that have no label."""
+    known = labels.select(F.col("doc_id").cast("long").alias("__id")).filter("__id is not null").distinct()
     said = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
     said = said.filter("__label_id is not null").orderBy(F.xxhash64("__label_id"), "__label_id").limit(SAMPLE)
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__m_{c}") for c in meta))
     labelled = rows.join(F.broadcast(said), rows["__id"] == said["__label_id"], "inner").drop("__label_id")
     few = max(1, docs.count() // POOL)
-    ids = F.broadcast(said.select(F.col("__label_id").alias("__id")))
-    pool = rows.filter(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(few)) == 0).join(ids, "__id", "left_anti")
+    pool = rows.filter(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(few)) == 0).join(known, "__id", "left_anti")
     pool = pool.withColumns({"__quality": F.lit(None).cast("int"), "__toxic": F.lit(None).cast("int")})
 
     def extract(batches):

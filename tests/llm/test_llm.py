@@ -451,6 +451,16 @@ def test_co_training(spark, empty):
     assert cotrain.classify(empty, known).count() == 0
 
 
+def test_labelled_documents_beyond_the_sample_are_not_unlabelled(spark, monkeypatch):
+    seen, fitted = [], cotrain.co_train
+    monkeypatch.setattr(cotrain, "SAMPLE", 60)
+    monkeypatch.setattr(cotrain, "co_train", lambda count, views, y, held, default: seen.append(y) or fitted(count, views, y, held, default))
+    docs = spark.createDataFrame([(i, f"text{i} of{i} its{i} own{i}", "en", "x", 9) for i in range(300)], SCHEMA + ", lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(290)], "doc_id long, quality int, toxic int")
+    cotrain.train(docs, labels)
+    assert [int((y < 0).sum()) for y in seen] == [10, 10] and [int((y >= 0).sum()) for y in seen] == [60, 60]
+
+
 # 2 decontamination
 
 
