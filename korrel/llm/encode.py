@@ -1,8 +1,9 @@
 """Token ids of whole texts by a byte-level BPE vocabulary file, many texts at a time.
 
 The library's BPE works on one pre-token at a time and knows no context, so each distinct pre-token is encoded
-by the library once and its ids are kept; texts are cut into pre-tokens and put together again as vectors. The
-cut follows the library's byte-level pattern:
+by the library once and its ids are kept; texts are cut into pre-tokens and put together again as vectors.
+Pre-tokens are told apart by two independent 64-bit hashes; where only the second differs, the library encodes the
+texts themselves. The cut follows the library's byte-level pattern:
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -21,8 +24,10 @@ from korrel.llm.common import slices, span_hash
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Characters that are cut at a time.
 SLICE = 1 << 19
+#: Where texts may be cut: a pre-token always begins there, and neither side looks across.
+_CUT = re.compile(r"(?<=[\w!-~])[ \t\n\r]|(?<=[。！？，；：])(?=\w)")
 #: Distinct pre-tokens kept; beyond it they are forgotten and encoded anew.
-KEPT = 1_000_000
+KEPT = 400_000
 
 _classes: np.ndarray | None = None
 
@@ -44,6 +49,29 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def piece_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span of code points."""
+    raw = np.concatenate([points, np.zeros(2, np.uint32)]).view(np.uint8)
+    return span_hash(raw, 4 * starts, 4 * ends, 0), span_hash(raw, 4 * starts, 4 * ends, 1)
+
+
+def first_of_each(codes: np.ndarray, count: int) -> np.ndarray:
+    where = np.empty(count, np.int64)
+    where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return where
+
+
+def text_blocks(text: str, limit: int = SLICE) -> Iterator[str]:
+    """A text in parts of about ``limit`` characters whose tokens are together the text's. Without white space
+    or full stops a text is one part."""
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + limit) if at + limit < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def runs(points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each code point, and whether a run of one class begins there; ``edges`` begin runs too."""
     kinds = character_classes()[points]
@@ -97,6 +125,8 @@ class Encoder:
             raise ValueError("not a byte-level vocabulary without normalizer or prefix space")
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in said["added_tokens"]):
             raise ValueError("added tokens that take their surroundings aren't known here")
+        if any(_CUT.search(x["content"]) for x in said["added_tokens"]):
+            raise ValueError("added tokens with white space aren't known here")
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in said["added_tokens"]) or r"(?!)")
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
         self.spaced[[i for x, i in self.library.get_vocab().items() if x[0] == "Ġ"]] = True
@@ -104,13 +134,15 @@ class Encoder:
 
     def forget(self):
         self.slots: dict[int, int] = {}
+        self.checks = np.zeros(0, np.uint64)
         self.ids, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, hashes: list[int], checks: np.ndarray, pieces: list[str]) -> None:
         # words with one space before them stay apart when they are joined; there tokens with a space begin words
         spaced = [x[0] == " " and x[1:].isalpha() for x in pieces]
         order = sorted(range(len(pieces)), key=spaced.__getitem__)
         hashes, pieces = [hashes[k] for k in order], [pieces[k] for k in order]
+        self.checks = np.concatenate([self.checks, checks[order]])
         alone = len(pieces) - sum(spaced)
         found = [x.ids for x in self.library.encode_batch_fast(pieces[:alone], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -134,7 +166,12 @@ class Encoder:
         """All ids one after another, and where each text's begin (one more entry than texts)."""
         out, sizes = [], []
         for low, high in slices([len(x) for x in texts], SLICE):
-            ids, counts = self._slice(texts[low:high])
+            if len(texts[low]) <= SLICE:
+                ids, counts = self._slice(texts[low:high])
+            else:
+                parts = [self._slice([x])[0] for x in text_blocks(texts[low])]
+                ids = np.concatenate(parts)
+                counts = np.array([len(ids)])
             out.append(ids)
             sizes.append(counts)
         ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
@@ -156,17 +193,23 @@ class Encoder:
         points = code_points(text)
         starts = np.flatnonzero(cut(points, begin, fixed)[:-1])
         ends = np.append(starts[1:], len(points))
-        hashes = span_hash(points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019), starts, ends, 0xD1342543DE82EF95)
+        hashes, checks = piece_hashes(points, starts, ends)
         codes, distinct = pd.factorize(hashes)
+        where = first_of_each(codes, len(distinct))
+        sure = checks[where]
+        if (sure[codes] != checks).any():
+            return self._plain(texts)
         keys = distinct.tolist()
         slots = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        known = slots >= 0
+        if (self.checks[slots[known]] != sure[known]).any():
+            self.forget()
+            slots[:] = -1
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            where = np.empty(len(keys), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            where = where[missing]
-            pieces = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-            self._learn([keys[k] for k in missing.tolist()], pieces)
+            at = where[missing]
+            pieces = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            self._learn([keys[k] for k in missing.tolist()], sure[missing], pieces)
             slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
         slot = slots[codes]
         size = self.first[slot + 1] - self.first[slot]
@@ -176,6 +219,11 @@ class Encoder:
         bounds = np.concatenate([[0], total])[before]
         return self.ids[at], np.diff(bounds)
 
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By the library alone."""
+        found = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
 
 _encoders: dict[str, Encoder] = {}
 

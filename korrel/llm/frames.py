@@ -15,19 +15,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korrel.llm.common import filesystem, keep, new_dir, parts_for, slices
+from korrel.llm.common import filesystem, keep, new_dir, parts_for, slices, tidied
 from korrel.llm.encode import encoder
 
 #: Fixed values of the seekable format: magic of its skippable frame, magic at its end, flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 LEVEL = 3
-#: Characters that are encoded at a time.
+#: Bytes of text that are encoded at a time.
 SLICE = 1 << 22
 
 
@@ -96,15 +97,16 @@ MANIFEST = "part long, file string, n_docs long, n_tokens long, n_bytes long"
 
 
 def _write(folder: str, tokenizer: str, end_id: int):
+    @tidied
     def run(batches):
         part, files, path = TaskContext.get().partitionId(), *filesystem(folder)
         name = f"{path}/part-{part:06d}-{uuid.uuid4().hex}.tok"  # an attempt that fails leaves a file no manifest names
         writer = stream = None
         for batch in batches:
             encode = encoder(tokenizer)
-            ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for low, high in slices([len(x) for x in texts], SLICE):
-                tokens, first = encode.encode(texts[low:high])
+            ids, sizes = batch.column(0).to_pylist(), pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for low, high in slices(sizes, SLICE):
+                tokens, first = encode.encode([x or "" for x in batch.column(1)[low:high].to_pylist()])
                 if writer is None:
                     files.create_dir(path, recursive=True)
                     stream = files.open_output_stream(name, compression=None)
@@ -124,7 +126,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
     """Write ``docs`` as token-id files in ascending id order; returns their manifest, itself a written table.
 
     Null ids come first, and ties in the order of the text's hash. A null text is empty: only ``end_id``.
-    An empty table writes no file. Only files that the manifest names count.
+    An empty table writes no file; other columns are ignored. Only files that the manifest names count. A text of
+    any length is encoded in parts; its ids, four bytes each, are one frame.
     """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "token-ids")
@@ -135,6 +138,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
 
 
 def _read(folder_of):
+    @tidied
     def run(batches):
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -155,7 +159,7 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: start counts the ids of all documents before."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    dealt = files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = files.repartition(max(1, files.count()))  # a file is a task
     return dealt.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -2,13 +2,17 @@
 
 Two deterministic transducers run one after the other. The first has seven states over six character classes
 and says where pre-tokens begin, by the pattern 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+ .
-Text is cut into chunks of fixed length; each chunk's map from any state to the state behind it is found for all
-chunks at once, the maps are composed by a parallel prefix scan, and the scan gives each chunk's first state.
+Text is cut into chunks; each chunk's map from any state to the state behind it is found for all chunks at once,
+the maps are composed by a parallel prefix scan, and the scan gives each chunk's first state.
 
 The second reads a pre-token's bytes; its transitions carry the change of the token count. BPE's tokens of a text
 with one more symbol are those of some shorter prefix and one token more, the only one that fits its neighbour.
 So a state is the longest suffix that some token goes on from, and for each such suffix the last token before it
 and the tokens since. States are interned and transitions compiled as texts first need them.
+
+Its chunk maps take the state before a chunk to the state behind it and to the tokens that the chunk puts out.
+All that depends on the state before is what the chunk has of a pre-token begun earlier; the rest starts in the
+first state and is a constant. Maps are composed pair by pair, so that a text's tokens are those of one map.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import slices, span_hash
-from korrel.llm.encode import LETTER, character_classes, code_points
+from korrel.llm.common import slices, tidied
+from korrel.llm.encode import LETTER, character_classes, code_points, first_of_each, piece_hashes, text_blocks
 
 LIMIT = 2048
 #: Characters counted at a time, characters of a chunk, and what is kept before it is compiled anew.
@@ -98,6 +103,19 @@ def beginnings(kinds: np.ndarray) -> np.ndarray:
     return found.T.reshape(-1)[: len(kinds)]
 
 
+class ChunkMap(NamedTuple):
+    """What a chunk does to the piece transducer.
+
+    ``enter``: the bytes that are read in the state one comes with, and ``ends``, whether a pre-token ends with
+    them; ``tokens``: those that the rest puts out; ``state``: the one behind, None if it is where ``enter`` leads.
+    """
+
+    enter: bytes
+    ends: bool
+    tokens: int
+    state: int | None
+
+
 def _byte_letters() -> dict[str, int]:
     """The byte of each letter of byte-level vocabularies: printable ones stand for themselves, the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -194,19 +212,35 @@ class PieceTransducer:
             self.states.append(key)
         return self.interned[key], change
 
-    def count(self, piece: bytes) -> int:
-        if len(self.states) > STATES:
-            self.forget()
-        state = total = 0
-        moves, last = self.moves, len(piece) - 1
-        for k, byte in enumerate(piece):
+    def run(self, state: int, symbols: bytes, ends: bool) -> tuple[int, int]:
+        """The state behind ``symbols``, the last of which ends a pre-token if ``ends``, and the tokens put out."""
+        total, moves, last = 0, self.moves, len(symbols) - 1 if ends else -1
+        for k, byte in enumerate(symbols):
             key = state << 9 | byte | (k == last) << 8
             move = moves.get(key)
             if move is None:
                 move = moves[key] = self._move(state, chr(byte + 256 * (k == last)))
             state, change = move
             total += change
-        return total
+        return state, total
+
+    def count(self, piece: bytes) -> int:
+        return self.run(0, piece, True)[1]
+
+    def then(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """The map of two chunks one after the other."""
+        if not b.enter:
+            return ChunkMap(a.enter, a.ends, a.tokens + b.tokens, b.state)
+        if a.state is None:
+            return ChunkMap(a.enter + b.enter, b.ends, b.tokens, b.state)
+        state, more = self.run(a.state, b.enter, b.ends)
+        return ChunkMap(a.enter, a.ends, a.tokens + more + b.tokens, state if b.state is None else b.state)
+
+    def composed(self, maps: list[ChunkMap]) -> ChunkMap:
+        while len(maps) > 1:
+            pairs = [self.then(a, b) for a, b in zip(maps[::2], maps[1::2])]
+            maps = pairs + maps[2 * len(pairs) :]
+        return maps[0]
 
 
 class TokenCounter:
@@ -228,7 +262,7 @@ class TokenCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(added))) or r"(?!)")
         vocabulary = [x for x in said["model"]["vocab"] if x not in added]
         self.pieces = PieceTransducer(vocabulary, said["model"]["merges"], said["model"]["end_of_word_suffix"])
-        self.known: dict[int, int] = {}
+        self.known: dict[int, tuple[int, int]] = {}
 
     def _normal(self, text: str) -> tuple[str, int]:
         extra = 0
@@ -237,12 +271,35 @@ class TokenCounter:
         return (text.lower() if text.isascii() else self.normalize(text)), extra
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        out = [self._slice(texts[low:high]) for low, high in slices([len(x) for x in texts], SLICE)]
+        out = []
+        for low, high in slices([len(x) for x in texts], SLICE):
+            if len(texts[low]) <= SLICE:
+                out.append(self._slice(texts[low:high]))
+            else:
+                out.append(np.array([sum(int(self._slice([x])[0]) for x in text_blocks(texts[low], SLICE))]))
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
+    def _whole(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of pre-tokens that lie in one chunk: each distinct one is run once."""
+        hashes, checks = piece_hashes(points, starts, ends)
+        codes, distinct = pd.factorize(hashes)
+        where = first_of_each(codes, len(distinct))
+        sure = checks[where]
+        if (sure[codes] != checks).any():  # two of one hash: each is run by itself
+            return np.array([self.pieces.count(text[a:b].encode()) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+        found = np.zeros(len(distinct), np.int64)
+        for k, (key, check) in enumerate(zip(distinct.tolist(), sure.tolist())):
+            known = self.known.get(key)
+            if known is None or known[0] != check:
+                known = self.known[key] = check, self.pieces.count(text[starts[where[k]] : ends[where[k]]].encode())
+            found[k] = known[1]
+        return found[codes]
+
     def _slice(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > KEPT:
             self.known.clear()
+        if len(self.pieces.states) > STATES:
+            self.pieces.forget()
         normal = [self._normal(x) for x in texts]
         text = "\n".join([x for x, _ in normal]) + "\n\n\n"  # a gap behind each text brings the first state back
         points = code_points(text)
@@ -251,22 +308,25 @@ class TokenCounter:
         stops = np.flatnonzero(begin | (kinds == 0))
         own = np.flatnonzero(begin[stops])
         starts, ends = stops[own], stops[own + 1]
-        hashes = span_hash(points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019), starts, ends, 0xD1342543DE82EF95)
-        codes, distinct = pd.factorize(hashes)
-        keys = distinct.tolist()
-        found = np.fromiter(map(self.known.get, keys, repeat(0)), np.int64, len(keys))
-        missing = np.flatnonzero(found == 0)
-        if len(missing):
-            where = np.empty(len(keys), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            where = where[missing]
-            new = [self.pieces.count(text[a:b].encode()) for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-            found[missing] = new
-            self.known.update(zip((keys[k] for k in missing.tolist()), new))
-        total = np.concatenate([[0], np.cumsum(found[codes])])
+        # chunks end where texts do, and so every text is some whole chunks
         lengths = np.fromiter((len(x) + 1 for x, _ in normal), np.int64, len(normal))
-        edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
-        return np.diff(total[edges]) + np.fromiter((n for _, n in normal), np.int64, len(normal))
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        edges = np.unique(np.concatenate([np.arange(0, first[-1], CHUNK), first]))
+        at, to = (np.searchsorted(edges, x, "right") - 1 for x in (starts, ends - 1))
+        whole = at == to
+        tokens = np.bincount(at[whole], self._whole(text, points, starts[whole], ends[whole]), len(edges)).astype(np.int64).tolist()
+        count = len(edges) - 1
+        enter, closes, state, edge = [b""] * count, [False] * count, [0] * count, edges.tolist()
+        for a, b, c, d in zip(*(x[~whole].tolist() for x in (starts, ends, at, to))):
+            state[c], more = self.pieces.run(0, text[a : edge[c + 1]].encode(), False)
+            tokens[c] += more
+            for k in range(c + 1, d):
+                enter[k], state[k] = text[edge[k] : edge[k + 1]].encode(), None
+            enter[d], closes[d] = text[edge[d] : b].encode(), True
+        maps = list(map(ChunkMap, enter, closes, tokens, state))
+        bounds = np.searchsorted(edges, first).tolist()
+        found = [self.pieces.composed(maps[a:b]).tokens for a, b in zip(bounds, bounds[1:])]
+        return np.array(found, np.int64) + np.fromiter((n for _, n in normal), np.int64, len(normal))
 
 
 _counters: dict[str, TokenCounter] = {}
@@ -282,9 +342,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     """One row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit. No shuffle.
 
     Special strings in texts count as one token each, as the library has it by default. A null text is empty and
-    has no bytes or tokens; null and repeated ids come back as they are; other columns are ignored.
+    has no bytes or tokens; null and repeated ids come back as they are; other columns are ignored. Texts longer
+    than SLICE are counted part by part, cut where no token can reach across, so memory doesn't grow with them.
     """
 
+    @tidied
     def run(batches):
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
