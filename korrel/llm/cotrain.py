@@ -1,9 +1,10 @@
 """Quality and toxicity by co-training: a text-content and a page-metadata classifier teach each other.
 
-Both views are logistic models over binary features. They are trained on a bounded sample of labelled documents;
-in each round a view's most confident calibrated predictions on a pool of unlabelled documents become training
-rows of the other view. The calibrated views' log-odds are combined by weights fitted on held-out labels, so that
-a view without information gets none. All documents are scored, whole, where they lie.
+Both views start as logistic models over binary features, fitted on a bounded sample of labelled documents. Then, in
+each round, each view labels all unlabelled documents, wherever it is confident; what the other view learns from them
+are the counts of its features in either class, summed over all documents, from which it takes log-odds. The views'
+margins are calibrated and combined by weights fitted on held-out labels, so that a view without information gets
+none. Documents are turned into features once; rounds and scores read those. All documents are scored, whole.
 """
 
 from __future__ import annotations
@@ -12,19 +13,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import Words, mix, slices, texts_of
+from korrel.llm.common import keep, mix, slices, span_hash, texts_of, tidied, word_runs
 
-#: Labelled documents that are fitted to and held out, and about as many unlabelled ones as POOL.
-SAMPLE, HELD_OUT, POOL = 8000, 0.3, 2000
-ROUNDS, TEACH, SURE = 3, 200, 0.97
+#: Labelled documents that are fitted to and held out: the bound of the sample. Rounds and labels cover all documents.
+SAMPLE, HELD_OUT = 8000, 0.3
+ROUNDS, SURE = 3, 0.97
 #: A feature is used if it is seen often enough and its share differs between classes by so many deviations.
 LEAST_SEEN, DEVIATIONS, RIDGE = 5, 4.0, 0.02
+#: And, where it is counted over all documents, by so much in log-odds, as deviations vanish with their number.
+LEAST_ODDS = 0.5
+#: Ids of labelled documents up to which they are broadcast (eight bytes each); beyond, documents are joined with them.
+BROADCAST_IDS = 1 << 20
 BITS = 20
 SLICE = 1 << 21
 TARGETS = ("quality", "toxic")
+META = ("lang", "source", "n_chars")
 
 _BREAKS = np.array([not (b >= 128 or 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,54 +43,55 @@ STEPS = 51
 
 
 def text_features(texts: list[bytes], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs, each once: the words, and steps of byte shares, word length and words said again.
+    """(row, feature) pairs, each once, by row: the words, and steps of byte shares, word length and words said again.
 
     Words are runs of ASCII letters, digits and other characters' bytes, A-Z lower-cased; ``used`` keeps some.
     """
-    rows, features = [], []
-    for low, high in slices([len(x) for x in texts], SLICE):
-        part = texts[low:high]
-        words = Words(part, _BREAKS, _LOWER)
-        hashes = words.hashes()
-        found = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        keep = np.ones(len(found), bool) if used is None else used[found]
-        pairs = np.unique((words.doc[keep] << BITS) | found[keep])
-        rows.append((pairs >> BITS) + low)
-        features.append(pairs & ((1 << BITS) - 1))
-        raw = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-        size = np.maximum(1, np.diff(words.offsets) - 1)
+    count, found = len(texts), []
+    kinds, length, number, again = (np.zeros((n, count), np.int64) for n in (len(_KINDS), 1, 1, 2))
+    for low, high, words in word_runs(texts, SLICE, _BREAKS, _LOWER, carry=2):
+        hashes, lead = words.hashes(), words.lead
+        word = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        use = np.ones(len(word), bool) if used is None else used[word]
+        use[:lead] = False
+        found.append(np.unique((words.doc[use] + low) << 32 | word[use]))
         for k, kind in enumerate(_KINDS):
-            seen = np.concatenate([[0], np.cumsum(kind[raw])])
-            count = seen[words.offsets[1:] - 1] - seen[words.offsets[:-1]]
-            rows.append(np.arange(low, high))
-            features.append((1 << BITS) + k * STEPS + 50 * count // size)
-        length = np.bincount(words.doc, words.ends - words.starts, len(part)) / np.maximum(1, np.diff(words.first))
-        steps = [np.minimum(STEPS - 1, (2 * length).astype(np.int64))]
-        number = np.maximum(1, np.diff(words.first))
+            kinds[k, low:high] += np.add.reduceat(kind[words.raw].view(np.uint8), words.offsets[:-1], dtype=np.int64)[: high - low] if high > low else 0
+            if kind[32]:  # the separators behind the texts
+                kinds[k, low : high - 1] -= 1
+                kinds[k, high - 1] -= len(words.raw) - words.offsets[-1] + 1
+        length[0, low:high] += np.bincount(words.doc[lead:], words.ends - words.starts, high - low).astype(np.int64)
+        number[0, low:high] += np.bincount(words.doc[lead:], minlength=high - low)
         for back in (1, 2):  # words that are the one before, or the one before that, again
-            again = words.doc[back:][(hashes[back:] == hashes[:-back]) & (words.doc[back:] == words.doc[:-back])]
-            steps.append(50 * np.bincount(again, minlength=len(part)) // number)
-        for k, step in enumerate(steps):
-            rows.append(np.arange(low, high))
-            features.append((1 << BITS) + (len(_KINDS) + k) * STEPS + step)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(features)
+            same = (hashes[back:] == hashes[:-back]) & (words.doc[back:] == words.doc[:-back])
+            same[: max(0, lead - back)] = False
+            again[back - 1, low:high] += np.bincount(words.doc[back:][same], minlength=high - low)
+    size, number = np.maximum(1, np.array([len(x) for x in texts], np.int64)), np.maximum(1, number[0])
+    steps = [50 * x // size for x in kinds] + [np.minimum(STEPS - 1, 2 * length[0] // number)] + [50 * x // number for x in again]
+    rows = np.arange(count) << 32
+    pairs = np.unique(np.concatenate([*found, *(rows | ((1 << BITS) + k * STEPS + x) for k, x in enumerate(steps))]).astype(np.int64))
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 TEXT_SIZE = (1 << BITS) + (len(_KINDS) + 3) * STEPS
 META_SIZE = 1 << 16
+SIZES = (TEXT_SIZE, META_SIZE)
 
 
 def meta_features(columns: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs of the metadata columns: each value, numbers by their binary order."""
+    """(row, feature) pairs of the metadata columns, by row: each value, numbers by their binary order."""
     rows, features = [], []
     for name, values in columns.items():
         said = [f"{name}={x.bit_length() if isinstance(x, int) else x}".encode() for x in values]
-        hashes = Words([x.replace(b" ", b"_") for x in said]).hashes() if said else np.zeros(0, np.uint64)
+        ends = np.cumsum([len(x) for x in said], dtype=np.int64)
+        buffer = np.frombuffer(b"".join(said) + bytes(8), np.uint8)
+        hashes = span_hash(buffer, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if said else np.zeros(0, np.uint64)
         rows.append(np.arange(len(values)))
         features.append((hashes >> np.uint64(48)).astype(np.int64))
-    return (np.concatenate(rows), np.concatenate(features)) if rows else (np.zeros(0, np.int64),) * 2
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    return np.concatenate(rows)[order], np.concatenate(features)[order]
 
 
 def _sigmoid(x):
@@ -92,13 +100,47 @@ def _sigmoid(x):
 
 @dataclass
 class Linear:
-    """A logistic model: ``weights`` of the features it uses, and a bias."""
+    """Weights of some features, ascending, and a bias. ``mean``: a margin is divided by the root of the features it has."""
 
+    names: np.ndarray
     weights: np.ndarray
-    bias: float
+    bias: float = 0.0
+    mean: bool = False
+
+
+NOTHING = Linear(np.zeros(0, np.int64), np.zeros(0))
 
-    def margins(self, count: int, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
-        return self.bias + np.bincount(rows, self.weights[features], count)
+
+class View:
+    """Several models over the same features, looked up together."""
+
+    def __init__(self, size: int, models: list[Linear]):
+        self.size, self.models = size, models
+        self.names = np.unique(np.concatenate([m.names for m in models])).astype(np.int64)
+        self.table = np.zeros((len(self.names) + 1, len(models)))  # the last row is for features that none has
+        for k, m in enumerate(models):
+            self.table[np.searchsorted(self.names, m.names), k] = m.weights
+        self.at = None
+
+    def index(self) -> np.ndarray:
+        if self.at is None:
+            self.at = np.full(self.size, len(self.names), np.int32)
+            self.at[self.names] = np.arange(len(self.names), dtype=np.int32)
+        return self.at
+
+    def __getstate__(self):
+        return self.__dict__ | {"at": None}
+
+    def margins(self, count: int, rows: np.ndarray, features: np.ndarray) -> list[np.ndarray]:
+        at = self.index()[features]
+        use = at < len(self.names)
+        rows, at = rows[use], at[use]
+        out = []
+        for k, m in enumerate(self.models):
+            weights = self.table[at, k]
+            margin = m.bias + np.bincount(rows, weights, count)
+            out.append(margin / np.sqrt(np.maximum(1, np.bincount(rows, weights != 0, count))) if m.mean else margin)
+        return out
 
 
 def fit(size: int, count: int, rows: np.ndarray, features: np.ndarray, y: np.ndarray) -> Linear:
@@ -123,9 +165,14 @@ def fit(size: int, count: int, rows: np.ndarray, features: np.ndarray, y: np.nda
         new_bias = ahead_bias - step * error.sum()
         ahead, ahead_bias = new + k / (k + 3) * (new - w), new_bias + k / (k + 3) * (new_bias - bias)
         w, bias = new, new_bias
-    weights = np.zeros(size)
-    weights[names] = w
-    return Linear(weights, float(bias))
+    return Linear(names, w, float(bias))
+
+
+def log_odds(names: np.ndarray, positive: np.ndarray, negative: np.ndarray, totals: tuple[int, int]) -> Linear:
+    """What counted features say: the log-odds of each between the classes."""
+    a, b = (np.log((x + 0.5) / (n + 1)) for x, n in zip((positive, negative), totals))
+    order = np.argsort(names)
+    return Linear(names[order], (a - b)[order], 0.0, True)
 
 
 def _platt(columns: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -145,16 +192,27 @@ def _calibrated(w: np.ndarray, *columns: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Scores of one target: two views and the weights that combine them, or a constant where labels lack a class."""
+    """Scores of one target: weights of both views' two margins each, or a constant where labels lack a class."""
 
-    views: list[Linear] = field(default_factory=list)
     combine: np.ndarray | None = None
     constant: float = 0.0
 
-    def scores(self, count: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        if self.combine is None:
-            return np.full(count, self.constant)
-        return _calibrated(self.combine, *(v.margins(count, *x) for v, x in zip(self.views, found)))
+
+@dataclass
+class Models:
+    """Both views, with a fitted and a counted model for each target, and how targets combine them."""
+
+    views: list[View]
+    targets: dict[str, Model] = field(default_factory=dict)
+
+    def scores(self, count: int, found: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        margins = [v.margins(count, *x) for v, x in zip(self.views, found)]
+        out = []
+        for k, name in enumerate(TARGETS):
+            model = self.targets[name]
+            columns = [m[2 * k + j] for m in margins for j in (0, 1)]
+            out.append(np.full(count, model.constant) if model.combine is None else _calibrated(model.combine, *columns))
+        return out
 
 
 def _take(pairs: tuple[np.ndarray, np.ndarray], chosen: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,122 +222,212 @@ def _take(pairs: tuple[np.ndarray, np.ndarray], chosen: np.ndarray, count: int)
     return at[pairs[0][keep]], pairs[1][keep]
 
 
-def co_train(count: int, views: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held: np.ndarray, default: float) -> Model:
-    """``views`` are the feature pairs of ``count`` rows; ``y`` is 1, 0, or -1 where there is no label."""
-    own, check, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero((y >= 0) & held), np.flatnonzero(y < 0)
-    if min(len(set(y[own])), len(set(y[check]))) < 2:
-        return Model(constant=float(y[y >= 0].mean()) if (y >= 0).any() else default)
-    taught = [{}, {}]  # for each view, the pool's rows that the other one has labelled
-    for turn in range(ROUNDS + 1):
-        models = []
-        for v, size in enumerate((TEXT_SIZE, META_SIZE)):
-            rows = np.concatenate([own, np.array(list(taught[v]), np.int64)])
-            target = np.concatenate([y[own], np.array(list(taught[v].values()), np.int64)]).astype(float)
-            models.append(fit(size, len(rows), *_take(views[v], rows, count), target))
-        if turn == ROUNDS or not len(pool):
-            break
-        for v, other in ((0, 1), (1, 0)):
-            w = _platt([models[v].margins(len(check), *_take(views[v], check, count))], y[check])
-            p = _calibrated(w, models[v].margins(len(pool), *_take(views[v], pool, count)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: TEACH * (turn + 1)]
-                taught[other].update({int(pool[k]): label for k in best if sure[k] >= SURE})
-    margins = [m.margins(len(check), *_take(x, check, count)) for m, x in zip(models, views)]
-    return Model(models, _platt(margins, y[check]))
-
-
-def _once(count: int, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which rows come first among those whose words agree on four min-hashes: copies would count as evidence."""
+FEATURES = "id long, exact long, sign long, text array<int>, meta array<int>"
+
+
+def _steps(pairs: tuple[np.ndarray, np.ndarray], count: int) -> pa.ListArray:
+    """Each row's features, ascending, as the first and the steps to the next: those compress well."""
+    rows, features = pairs
+    order = np.lexsort((features, rows))
+    rows, features = rows[order], features[order]
+    edges = np.searchsorted(rows, np.arange(count + 1))
+    step = np.diff(features, prepend=0)
+    begin = edges[:-1][np.diff(edges) > 0]
+    step[begin] = features[begin]
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(step, pa.int32()))
+
+
+def _pairs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(lists.values.to_numpy(), dtype=np.int64)])
+    size = np.diff(edges)
+    rows = np.repeat(np.arange(len(size)), size)
+    return rows, sums[1:][edges[0] : edges[-1]] - np.repeat(sums[edges[:-1]], size)
+
+
+def _signs(count: int, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Four min-hashes of each row's words in one number: near copies mostly agree."""
     words = pairs[1] < 1 << BITS
     rows, features = pairs[0][words], pairs[1][words].astype(np.uint64)
-    signs = np.zeros((count, 4), np.uint64)
     begin = np.flatnonzero(np.diff(rows, prepend=-1))
+    sign = np.zeros(count, np.uint64)
     for k in range(4):
         if len(begin):
-            signs[rows[begin], k] = np.minimum.reduceat(mix(features + np.uint64((k + 1) << 32)), begin)
-    first = np.zeros(count, bool)
-    if count:
-        first[np.unique(signs, axis=0, return_index=True)[1]] = True
-    return first
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("lang", "source", "n_chars")) -> dict[str, Model]:
-    """Models of quality and toxic from SAMPLE labelled documents at most and about POOL that have no label."""
-    known = labels.select(F.col("doc_id").cast("long").alias("__id")).filter("__id is not null").distinct()
-    said = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
-    said = said.filter("__label_id is not null").orderBy(F.xxhash64("__label_id"), "__label_id").limit(SAMPLE)
-    key = F.col(id_col).cast("long")
-    rows = docs.select(key.alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__m_{c}") for c in meta))
-    labelled = rows.join(F.broadcast(said), rows["__id"] == said["__label_id"], "inner").drop("__label_id")
-    few = max(1, docs.count() // POOL)
-    pool = rows.filter(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(few)) == 0).join(known, "__id", "left_anti")
-    pool = pool.withColumns({"__quality": F.lit(None).cast("int"), "__toxic": F.lit(None).cast("int")})
-
-    def extract(batches):
+            sign[rows[begin]] = mix(sign[rows[begin]] ^ np.minimum.reduceat(mix(features + np.uint64((k + 1) << 32)), begin))
+    return sign.view(np.int64)
+
+
+def _features(docs: DataFrame, id_col: str, text_col: str, meta: tuple[str, ...]) -> DataFrame:
+    """(id, exact, sign, text, meta): one row for each row of ``docs``, written to the shared folder."""
+
+    @tidied
+    def run(batches):
         for batch in batches:
-            r, f = text_features(texts_of(batch.column(1)))
-            order = np.argsort(r, kind="stable")
-            edges = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=batch.num_rows))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(f[order].astype(np.int32)))
-            yield pa.record_batch([batch.column(0), lists, *batch.columns[2:]], names=["__id", "f", *batch.schema.names[2:]])
-
-    schema = "__id long, f array<int>, " + ", ".join(f"`{n}` {t}" for n, t in labelled.dtypes if n.startswith("__m_")) + ", __quality int, __toxic int"
-    found = labelled.unionByName(pool).mapInArrow(extract, schema).toArrow().sort_by("__id")
-    count = found.num_rows
-    lists = found["f"].combine_chunks() if count else pa.array([], pa.list_(pa.int32()))
-    sizes = np.diff(lists.offsets.to_numpy()) if count else np.zeros(0, np.int64)
-    text_view = np.repeat(np.arange(count), sizes), lists.flatten().to_numpy().astype(np.int64)
-    meta_view = meta_features({c: found[f"__m_{c}"].to_pylist() for c in meta})
-    first = _once(count, text_view)
-    held = np.arange(count) % 10 < 10 * HELD_OUT
-    models = {}
-    for name, default in zip(TARGETS, (1.0, 0.0)):
-        y = np.array([-1 if x is None else int(x) for x in found[f"__{name}"].to_pylist()], np.int64)
-        chosen = np.flatnonzero(first)
-        views = [_take(view, chosen, count) for view in (text_view, meta_view)]
-        models[name] = co_train(len(chosen), views, y[chosen], held[chosen], default)
-    return models
+            texts = texts_of(batch.column(1))
+            for low, high in slices([len(x) for x in texts], SLICE):
+                count = high - low
+                text = text_features(texts[low:high])
+                page = meta_features({c: batch.column(2 + k)[low:high].to_pylist() for k, c in enumerate(meta)})
+                exact = [xxhash.xxh3_64_intdigest(x) for x in texts[low:high]]
+                columns = [batch.column(0)[low:high], pa.array(np.array(exact, np.uint64).view(np.int64)), pa.array(_signs(count, text)), _steps(text, count), _steps(page, count)]
+                yield pa.record_batch(columns, names=["id", "exact", "sign", "text", "meta"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"m{k}") for k, c in enumerate(meta)))
+    return keep(rows.mapInArrow(run, FEATURES), "features")
 
-def _scorer(models: dict[str, Model], meta: tuple[str, ...]):
-    text_used = np.zeros(1 << BITS, bool)
-    for m in models.values():
-        if m.views:
-            text_used |= m.views[0].weights[: 1 << BITS] != 0
 
-    def scores(texts, columns: dict[str, list]) -> list[np.ndarray]:
-        found = [text_features(texts_of(texts), text_used), meta_features(columns)]
-        return [models[name].scores(len(texts), found) for name in TARGETS]
+def _unlabelled(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features of all documents that have no label, near copies once."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct()
+    known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+    named = features.filter("id is not null").join(known, "id", "left_anti")
+    rows = named.unionByName(features.filter("id is null"))  # which would all meet under one key
+    once = rows.groupBy("sign").agg(F.min_by(F.struct("text", "meta"), F.struct("id", "exact")).alias("row"))
+    return keep(once.select("row.text", "row.meta"), "unlabelled")
 
-    return scores
 
+def _sample(features: DataFrame, labels: DataFrame) -> pa.Table:
+    """(id, text, meta, quality, toxic) of SAMPLE labelled documents at most; rows of one id count once."""
+    said = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    said = said.filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    rows = features.join(F.broadcast(said), "id").groupBy("id").agg(F.min_by(F.struct("text", "meta", "quality", "toxic"), F.struct("exact", F.hash("meta"))).alias("row"))
+    return rows.select("id", "row.*").toArrow().sort_by("id")
 
-def score(docs: DataFrame, models: dict[str, Model], id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, p_quality, p_toxic, keep. No shuffle.
 
-    A document is kept if it is rather good than not, and rather not toxic. Null texts are empty, null metadata
-    is a value of its own; ties at one half are kept for quality and rejected for toxicity.
+def _lessons(views: list[View], calibrate: list[list[np.ndarray | None]]):
+    """(target, view, feature, positive, negative): counts of features in the rows that the other view is sure of.
+
+    Feature -1 counts the rows. Each task adds its rows up in arrays as long as there are features.
     """
-    scores = _scorer(models, meta)
 
+    @tidied
     def run(batches):
+        sums = [[np.zeros((2, size + 1), np.int64) for size in SIZES] for _ in TARGETS]
         for batch in batches:
-            quality, toxic = scores(batch.column(1), {c: batch.column(2 + k).to_pylist() for k, c in enumerate(meta)})
-            yield pa.record_batch([batch.column(0), pa.array(quality.round(6)), pa.array(toxic.round(6)), pa.array((quality >= 0.5) & (toxic < 0.5))], names=["doc_id", "p_quality", "p_toxic", "keep"])
+            found = [_pairs(batch.column(k)) for k in (0, 1)]
+            margins = [v.margins(batch.num_rows, *x) for v, x in zip(views, found)]
+            for t in range(len(TARGETS)):
+                for taught, teacher in ((0, 1), (1, 0)):
+                    if calibrate[t][teacher] is None:
+                        continue
+                    p = _calibrated(calibrate[t][teacher], *margins[teacher][2 * t : 2 * t + 2])
+                    for label, sure in enumerate((p >= SURE, 1 - p >= SURE)):
+                        rows, features = found[taught]
+                        sums[t][taught][label, :-1] += np.bincount(features[sure[rows]], minlength=SIZES[taught])
+                        sums[t][taught][label, -1] += int(sure.sum())
+        for t, some in enumerate(sums):
+            for v, counts in enumerate(some):
+                used = np.flatnonzero(counts.any(axis=0))
+                names = np.where(used == SIZES[v], -1, used)
+                columns = [np.full(len(used), t), np.full(len(used), v), names, counts[0, used], counts[1, used]]
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=["target", "view", "feature", "positive", "negative"])
+
+    return run
+
+
+def _learned(pool: DataFrame, views: list[View], calibrate: list[list[np.ndarray | None]]) -> dict[tuple[int, int], Linear]:
+    """The counted model of each target and view. Only features that tell the classes apart come to the driver."""
+    rows = pool.mapInArrow(_lessons(views, calibrate), "target long, view long, feature long, positive long, negative long")
+    counts = keep(rows.groupBy("target", "view", "feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")), "lessons")
+    totals = {(r["target"], r["view"]): (r["positive"], r["negative"]) for r in counts.filter("feature = -1").collect()}
+    out = {}
+    for (target, view), (p, n) in totals.items():
+        if not p or not n:
+            continue
+        seen, a, b = F.col("positive") + F.col("negative"), F.col("positive") / p, F.col("negative") / n
+        share = seen / F.lit(p + n)
+        spread = F.sqrt(share * (1 - share) * F.lit(1 / p + 1 / n)) + 1e-12
+        odds = F.log((F.col("positive") + 0.5) / (p + 1)) - F.log((F.col("negative") + 0.5) / (n + 1))
+        use = (F.col("feature") >= 0) & (seen >= LEAST_SEEN) & (F.abs(a - b) / spread >= DEVIATIONS) & (F.abs(odds) >= LEAST_ODDS)
+        found = counts.filter((F.col("target") == target) & (F.col("view") == view)).filter(use).select("feature", "positive", "negative").toArrow()
+        out[target, view] = log_odds(*(found[c].to_numpy() for c in ("feature", "positive", "negative")), (p, n))
+    return out
+
+
+def _train(features: DataFrame, labels: DataFrame) -> Models:
+    found = _sample(features, labels)
+    count = found.num_rows
+    pairs = [_pairs(found[c].combine_chunks()) if count else (np.zeros(0, np.int64),) * 2 for c in ("text", "meta")]
+    first = np.zeros(count, bool)
+    first[np.unique(_signs(count, pairs[0]), return_index=True)[1]] = True  # copies would count as evidence
+    held = np.arange(count) % 10 < 10 * HELD_OUT
+    models, splits, taught = {}, [], []
+    fitted = [[NOTHING] * 4 for _ in SIZES]  # for each view: target by target the fitted and the counted model
+    for t, (name, default) in enumerate(zip(TARGETS, (1.0, 0.0))):
+        y = np.array([-1 if x is None else int(x) for x in found[name].to_pylist()], np.int64)
+        own, check = (np.flatnonzero((y >= 0) & first & part) for part in (~held, held))
+        splits.append((check, y[check]))
+        if min(len(set(y[own])), len(set(y[check]))) < 2:
+            models[name] = Model(constant=float(y[y >= 0].mean()) if (y >= 0).any() else default)
+            continue
+        models[name] = Model()
+        taught.append(t)
+        for v, size in enumerate(SIZES):
+            fitted[v][2 * t] = fit(size, len(own), *_take(pairs[v], own, count), y[own].astype(float))
+    pool = _unlabelled(features, labels) if taught else None
+    for turn in range(ROUNDS + 1):
+        views = [View(size, some) for size, some in zip(SIZES, fitted)]
+        margins = [v.margins(count, *x) for v, x in zip(views, pairs)]
+        if turn == ROUNDS or not taught:
+            break
+        calibrate: list[list[np.ndarray | None]] = [[None, None] for _ in TARGETS]
+        for t in taught:
+            check, y = splits[t]
+            calibrate[t] = [_platt([m[2 * t + j][check] for j in (0, 1)], y) for m in margins]
+        for (t, v), model in _learned(pool, views, calibrate).items():
+            fitted[v][2 * t + 1] = model
+    for t in taught:
+        check, y = splits[t]
+        models[TARGETS[t]].combine = _platt([m[2 * t + j][check] for m in margins for j in (0, 1)], y)
+    return Models(views, models)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = META) -> Models:
+    """Models of quality and toxic from SAMPLE labelled documents at most and all documents that have no label.
+
+    Labels of one id are taken together (the worst); documents of one id count once, near copies too. A labelled
+    document beyond the sample takes no part. Null ids of labels are left out; documents with a null id have none.
+    """
+    return _train(_features(docs, id_col, text_col, meta), labels)
+
+
+def _scored(batch: pa.RecordBatch, models: Models) -> pa.RecordBatch:
+    quality, toxic = models.scores(batch.num_rows, [_pairs(batch.column(k)) for k in (1, 2)])
+    return pa.record_batch([batch.column(0), pa.array(quality.round(6)), pa.array(toxic.round(6)), pa.array((quality >= 0.5) & (toxic < 0.5))], names=["doc_id", "p_quality", "p_toxic", "keep"])
+
+
+def _score(features: DataFrame, models: Models) -> DataFrame:
+    @tidied
+    def run(batches):
+        for batch in batches:
+            yield _scored(batch, models)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__m_{c}") for c in meta))
-    return rows.mapInArrow(run, "doc_id long, p_quality double, p_toxic double, keep boolean")
+    return features.select("id", "text", "meta").mapInArrow(run, "doc_id long, p_quality double, p_toxic double, keep boolean")
+
+
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = META) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, p_quality, p_toxic, keep. No shuffle.
+
+    A document is kept if it is rather good than not, and rather not toxic. Null texts are empty, null metadata
+    is a value of its own; ties at one half are kept for quality and rejected for toxicity. Texts longer than
+    SLICE are read in blocks, so memory grows only with their distinct words.
+    """
+    return _score(_features(docs, id_col, text_col, meta), models)
 
 
-def keep_good(docs: DataFrame, models: dict[str, Model], text_col: str = "text", meta: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
+def keep_good(docs: DataFrame, models: Models, text_col: str = "text", meta: tuple[str, ...] = META) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with all their columns."""
-    scores = _scorer(models, meta)
     at = [docs.columns.index(c) for c in (text_col, *meta)]
 
+    @tidied
     def run(batches):
+        used = models.views[0].index()[: 1 << BITS] < len(models.views[0].names)
         for batch in batches:
-            quality, toxic = scores(batch.column(at[0]), {c: batch.column(k).to_pylist() for k, c in zip(at[1:], meta)})
-            yield batch.filter(pa.array((quality >= 0.5) & (toxic < 0.5)))
+            texts = texts_of(batch.column(at[0]))
+            for low, high in slices([len(x) for x in texts], SLICE):
+                found = [text_features(texts[low:high], used), meta_features({c: batch.column(k)[low:high].to_pylist() for k, c in zip(at[1:], meta)})]
+                quality, toxic = models.scores(high - low, found)
+                yield batch.slice(low, high - low).filter(pa.array((quality >= 0.5) & (toxic < 0.5)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -287,4 +435,5 @@ def keep_good(docs: DataFrame, models: dict[str, Model], text_col: str = "text",
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on ``labels`` and score all of ``docs``. Without labels of both classes a target's score is their
     mean (without any: good, not toxic); an empty table gives an empty result; other columns are ignored."""
-    return score(docs, train(docs, labels))
+    features = _features(docs, "doc_id", "text", META)
+    return _score(features, _train(features, labels))
