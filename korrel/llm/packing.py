@@ -6,6 +6,9 @@ queues' order, and keeps the rest as its deficit. After r rounds a queue has sen
 blocks, so the state of every queue before any block, and with it the block's place, is arithmetic: each
 partition packs its own rows and carries the deficits of all windows and partitions before it, exactly. A
 window takes the blocks as they come; what is left of the queues below a block fills the last windows.
+
+Sources with a target have a queue each, and so have the largest others; the rest share queues in the order in
+which their rows come, so that each of them is spread over its queue as it is over the table.
 """
 
 from __future__ import annotations
@@ -14,46 +17,50 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korrel.llm.common import keep, slices
+from korrel.llm.common import keep, parts_for, slices, tidied
 from korrel.llm.encode import encoder
 
 LENGTH, QUANTUM = 1024, 128
-#: Sources with a queue of their own, the largest; the others share SHARED more queues by their name's hash.
-QUEUES, SHARED = 256, 64
-#: Rows of the offsets table up to which it is broadcast (about 40 bytes each); beyond, it is joined.
-BROADCAST_ROWS = 50_000
+#: Sources with a queue of their own; the others share SHARED more queues by their name's hash.
+QUEUES, SHARED = 1024, 64
+#: Numbers in the offsets table up to which it is broadcast (eight bytes each); beyond, parts are joined with it.
+BROADCAST_NUMBERS = 1 << 21
 SCALE = 1 << 20
 SLICE = 1 << 22
 
 
-def _tokens(tokenizer: str, end_id: int):
+def _tokens(tokenizer: str, end_id: int, own: dict[str, int]):
+    @tidied
     def run(batches):
-        part, sent = TaskContext.get().partitionId(), {}
+        part, sent = TaskContext.get().partitionId(), [0] * (len(own) + SHARED)
+        encode = encoder(tokenizer)
+        wide = "<u2" if max(len(encode.spaced), end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
-            encode = encoder(tokenizer)
-            wide = "<u2" if max(len(encode.spaced), end_id + 1) <= 1 << 16 else "<u4"
-            sources, texts = batch.column(1).to_pylist(), [x or "" for x in batch.column(2).to_pylist()]
-            for low, high in slices([len(x) for x in texts], SLICE):
-                ids, first = encode.encode(texts[low:high])
-                sizes = (np.diff(first) + 1).tolist()
-                blobs, before = [], []
-                for k, size in enumerate(sizes):
-                    source = sources[low + k]
-                    before.append(sent.get(source, 0))
-                    sent[source] = before[-1] + size
+            for low, high in _cuts(batch.column(2)):
+                ids, first = encode.encode([x or "" for x in batch.column(2)[low:high].to_pylist()])
+                sizes, queues, before, blobs = (np.diff(first) + 1).tolist(), [], [], []
+                for k, (source, size) in enumerate(zip(batch.column(1)[low:high].to_pylist(), sizes)):
+                    queue = own.get(source)
+                    queue = len(own) + zlib.crc32(source.encode()) % SHARED if queue is None else queue
+                    queues.append(queue)
+                    before.append(sent[queue])
+                    sent[queue] += size
                     blobs.append(np.append(ids[first[k] : first[k + 1]], end_id).astype(wide).tobytes())
-                yield pa.record_batch(
-                    [pa.array([part] * len(sizes), pa.int64()), batch.column(0)[low:high], batch.column(1)[low:high], pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["part", "doc_id", "source", "n", "before", "ids"],
-                )
+                columns = [pa.array([part] * len(sizes), pa.int64()), batch.column(0)[low:high], batch.column(1)[low:high], *(pa.array(x, pa.int64()) for x in (queues, sizes, before)), pa.array(blobs, pa.binary())]
+                yield pa.record_batch(columns, names=["part", "doc_id", "source", "queue", "n", "before", "ids"])
 
     return run
 
 
+def _cuts(texts: pa.Array):
+    return slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE)
+
+
 class Schedule:
     """Where each token of each queue goes."""
 
@@ -102,24 +109,27 @@ def cut_pieces(schedule: Schedule, length: int, queue: np.ndarray, begin: np.nda
 
 
 def _pack(schedule: Schedule, length: int, with_ids: bool):
+    def cut(batch):
+        size, begin, queue = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+        blobs = batch.column(5).to_pylist()
+        row, start, span, position = cut_pieces(schedule, length, queue, begin, size)
+        width = [len(x) // n for x, n in zip(blobs, size.tolist())]
+        found = [np.frombuffer(blobs[r], f"<u{width[r]}")[a : a + n].astype("<u4").tobytes() for r, a, n in zip(row.tolist(), start.tolist(), span.tolist())]
+        at = pa.array(row)
+        columns = {
+            "doc_id": batch.column(0).take(at), "source": batch.column(1).take(at), "start": pa.array(start), "length": pa.array(span),
+            "ids_crc32": pa.array([zlib.crc32(x) for x in found], pa.int64()), "doc_tokens": pa.array(size[row]),
+            "sequence_id": pa.array(position // length), "offset": pa.array(position % length),
+        }
+        if with_ids:
+            columns["ids"] = pa.array(found, pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
+
+    @tidied
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            size, begin, queue = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
-            blobs = batch.column(5).to_pylist()
-            row, start, span, position = cut_pieces(schedule, length, queue, begin, size)
-            width = [len(x) // n for x, n in zip(blobs, size.tolist())]
-            found = [np.frombuffer(blobs[r], f"<u{width[r]}")[a : a + n].astype("<u4").tobytes() for r, a, n in zip(row.tolist(), start.tolist(), span.tolist())]
-            at = pa.array(row)
-            columns = {
-                "doc_id": batch.column(0).take(at), "source": batch.column(1).take(at), "start": pa.array(start), "length": pa.array(span),
-                "ids_crc32": pa.array([zlib.crc32(x) for x in found], pa.int64()), "doc_tokens": pa.array(size[row]),
-                "sequence_id": pa.array(position // length), "offset": pa.array(position % length),
-            }
-            if with_ids:
-                columns["ids"] = pa.array(found, pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            for low, high in slices(pc.binary_length(batch.column(5)).to_pylist(), SLICE):
+                yield cut(batch.slice(low, high - low))
 
     return run
 
@@ -136,27 +146,35 @@ def pack(
     ``targets`` gives sources' shares of the tokens (default: their own shares, so that all queues end
     together); a source without one has the least weight. When a queue is empty the others go on. A row is
     its ids and ``end_id``; a null text is ``end_id`` alone. A null source is the source ''. Repeated rows
-    and null ids are packed like any other row. An empty table has no pieces; other columns are ignored.
+    and null ids are packed like any other row. An empty table has no pieces; other columns are ignored. A text
+    of any length is encoded in parts; its ids are one row, four bytes each.
     """
     if length % quantum:
         raise ValueError("the quantum divides the length")
-    spark = docs.sparkSession
+    if len(targets or {}) > QUEUES:
+        raise ValueError(f"at most {QUEUES} sources can have a target")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    tokens = keep(rows.mapInArrow(_tokens(tokenizer, end_id), "part long, doc_id long, source string, n long, before long, ids binary"), "tokens")
-    totals = keep(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-totals")
-    largest = [r["source"] for r in totals.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES).collect()]
-    own = F.array(*map(F.lit, largest)) if largest else F.array().cast("array<string>")
-    at = F.array_position(own, F.col("source")).cast("int")
-    queued = totals.withColumn("queue", F.when(at > 0, at - 1).otherwise(F.expr(f"cast({len(largest)} + pmod(xxhash64(source), {SHARED}) as int)")))
-    sizes = {r["queue"]: r["n"] for r in queued.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    names = range(max(sizes, default=-1) + 1)
-    sums = [sizes.get(q, 0) for q in names]
-    share = [float((targets or {}).get(largest[q] if q < len(largest) else "", 0)) if targets else s for q, s in zip(names, sums)]
+    bytes_of = rows.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+    named = sorted(targets or {})
+    largest = bytes_of.filter(~F.col("source").isin(named)) if named else bytes_of
+    named += [r["source"] for r in largest.orderBy(F.desc("n"), "source").limit(QUEUES - len(named)).collect()]
+    own = {source: q for q, source in enumerate(named)}
+    tokens = keep(rows.mapInArrow(_tokens(tokenizer, end_id, own), "part long, doc_id long, source string, queue long, n long, before long, ids binary"), "tokens")
+    totals = keep(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "token-totals")
+    sizes = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    sums = [sizes.get(q, 0) for q in range(max(sizes, default=-1) + 1)]
+    share = [float((targets or {}).get(named[q], 0) if q < len(named) else 0) if targets else s for q, s in enumerate(sums)]
     top = max(share, default=1) or 1
     schedule = Schedule(sums, [round(x / top * SCALE) for x in share], quantum)
-    earlier = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = queued.select("source", "part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    if totals.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    placed = tokens.join(offsets, ["source", "part"]).select("doc_id", "source", "n", (F.col("base") + F.col("before")).alias("begin"), F.col("queue").cast("long").alias("queue"), "ids")
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    # a part has at most one number for each queue
+    offsets = offsets.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("queue", "base"))).alias("bases"))
+    if totals.count() <= BROADCAST_NUMBERS:
+        placed = tokens.join(F.broadcast(offsets), "part")
+    else:
+        parts = parts_for(docs)
+        placed = tokens.repartition(parts, "part").join(offsets.repartition(parts, "part"), "part")
+    begin = F.element_at("bases", F.col("queue")) + F.col("before")
+    placed = placed.select("doc_id", "source", "n", begin.alias("begin"), "queue", "ids")
     return placed.mapInArrow(_pack(schedule, length, with_ids), PIECES + (", ids binary" if with_ids else ""))
