@@ -8,11 +8,13 @@ is aligned exactly. Words are compared, not characters, so case, punctuation and
 
 Windows begin every ``stride`` words of a document, so items are indexed from each of their first ``stride``
 words. Items of more than PIECE words are looked for by pieces: of an item within EDITS at least one piece is, and
-the whole item is aligned about it. Items come in blocks of bounded size, each held against all documents where they lie: no shuffle.
+the whole item is aligned about it. Items of fewer than LEAST_WORDS words have no edits and are looked up whole.
+Items come in blocks of bounded size, each held against all documents where they lie: no shuffle.
 """
 
 from __future__ import annotations
 
+import re
 import warnings
 from dataclasses import dataclass
 
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import Words, mix, slices, texts_of
+from korrel.llm.common import Words, blocks, mix, run_hash, slices, texts_of, tidied
 
-#: Share of an item's words that may be edited, and the fewest words an item has to be looked for.
+#: Share of an item's words that may be edited, and the fewest words of an item that can have an edit.
 EDITS, LEAST_WORDS = 0.2, 5
 #: Steps sampled at once, walks, and the share of edited items to be found.
 SAMPLED, WALKS, TARGET = 3, 4, 0.97
@@ -37,9 +39,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Characters of scripts that put no space between words, in UTF-8: each is a word. Thai, Lao, Myanmar, Khmer, kana, Han.
+_ALONE = re.compile(
+    rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]"
+    rb"|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xaf][\x80-\xbf]{2}"
+)
+
+
 def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words' hashes with a zero behind each text; where each text begins there; how many words it has."""
-    words = Words(texts, _BREAKS, _LOWER)
+    words = Words([x if x.isascii() else _ALONE.sub(rb" \g<0> ", x) for x in texts], _BREAKS, _LOWER)
     count = np.diff(words.first)
     rows = np.zeros(len(words.starts) + len(texts) + 1, np.uint64)
     rows[np.arange(len(words.starts)) + words.doc] = words.hashes() | np.uint64(1)
@@ -56,6 +65,7 @@ class SizeClass:
     keys: list[np.ndarray] | None = None  # for each walk and sample: sorted keys
     owners: list[np.ndarray] | None = None  # and their items (times the stride, plus the first word's number)
     maps: list[np.ndarray] | None = None  # and a bit table that most other keys miss
+    recall: float = 1.0  # of edited items, as measured
 
 
 def _odd(seed: int, count: int) -> np.ndarray:
@@ -143,7 +153,7 @@ def _met(size: SizeClass, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndar
 
 def _recall(size: SizeClass, items: list[np.ndarray], rng) -> float:
     """The share found of items edited as far as they may be, among words of their own."""
-    some = rng.permutation(len(items))[:60]
+    some = np.resize(rng.permutation(len(items)), 60)
     rows, begin, count, at = [], [], [], 0
     for k in some.tolist():
         body = _edited(items[k], int(EDITS * len(items[k])), rng)
@@ -183,11 +193,11 @@ def build_index(items: list[np.ndarray]) -> list[tuple[SizeClass, np.ndarray, np
             for count in range(4, MANY + 1, 4):
                 size = SizeClass(least, stride, _sampled(least, stride, count, least))
                 _index(size, chosen)
-                recall = _recall(size, chosen, rng)
-                if recall >= TARGET:
+                size.recall = _recall(size, chosen, rng)
+                if size.recall >= TARGET:
                     break
             else:
-                warnings.warn(f"items of {least} to {most - 1} words: {recall:.2f} of edited ones found, not {TARGET}", stacklevel=2)
+                warnings.warn(f"items of {least} to {most - 1} words: {size.recall:.2f} of edited ones found, not {TARGET}", stacklevel=2)
             found.append((size, source[own], offset[own]))
         least = most
     return found
@@ -214,12 +224,46 @@ def edit_distances(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) ->
     return best, ends
 
 
+def _short(items: list[np.ndarray], rows: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """What ``_search`` finds of items that can have no edit."""
+    lengths, found = np.array([len(x) for x in items], np.int64), []
+    for n in range(1, LEAST_WORDS):
+        own = np.flatnonzero(lengths == n)
+        if not len(own):
+            continue
+        words = np.array([items[k] for k in own.tolist()], np.uint64)
+        keys = np.array([run_hash(x, n)[0] for x in words], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        every = run_hash(rows, n)
+        low, high = (np.searchsorted(keys[order], every, side) for side in ("left", "right"))
+        at = np.flatnonzero(high > low)
+        number = (high - low)[at]
+        item = order[np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low[at], number)]
+        at = np.repeat(at, number)
+        same = (rows[at[:, None] + np.arange(n)] == words[item]).all(axis=1)
+        at, item = at[same], own[item[same]]
+        doc = np.searchsorted(begin, at, "right") - 1
+        found.append(np.stack([doc, item, np.zeros(len(at), np.int64), at - begin[doc]]))
+    return found
+
+
+def _best(found: list[np.ndarray]) -> np.ndarray:
+    """Of each text and item the row with the fewest edits, the earliest of those."""
+    if not found:
+        return np.zeros((4, 0), np.int64)
+    every = np.concatenate(found, axis=1)
+    every = every[:, np.lexsort(every[::-1])]
+    new = np.ones(every.shape[1], bool)
+    new[1:] = (every[:2, 1:] != every[:2, :-1]).any(axis=0)
+    return every[:, new]
+
+
 def _search(index, items: list[np.ndarray], rows: np.ndarray, begin: np.ndarray, count: np.ndarray):
-    """(text, item, first word, edits) of each text's best passage for each item that it has within EDITS."""
+    """(text, item, edits, first word) of each text's best passage for each item that it has within EDITS."""
     lengths = np.array([len(x) for x in items], np.int64)
     marks = np.zeros((len(items), 1024), bool)  # which words an item may have
     marks[np.repeat(np.arange(len(items)), lengths), (np.concatenate([*items, rows[:0]]) >> np.uint64(40) & np.uint64(1023)).astype(np.int64)] = True
-    found = []
+    found = _short(items, rows, begin)
     # the places of a long item are taken together, as each of its alignments is dear
     grid = np.where(lengths > PIECE, np.maximum(1, (EDITS * lengths).astype(np.int64)), 1)
     for size, own, offset in index:
@@ -252,56 +296,69 @@ def _search(index, items: list[np.ndarray], rows: np.ndarray, begin: np.ndarray,
             hit = np.flatnonzero(edits <= slack)
             start = np.maximum(0, first[hit] - begin[doc[hit]] + ends[hit] - n[hit])
             found.append(np.stack([doc[hit], item[hit], edits[hit], start]))
-    if not found:
-        return np.zeros((4, 0), np.int64)
-    every = np.concatenate(found, axis=1)
-    every = every[:, np.lexsort(every[::-1])]
-    new = np.ones(every.shape[1], bool)
-    new[1:] = (every[:2, 1:] != every[:2, :-1]).any(axis=0)
-    return every[:, new]
+    return _best(found)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, with_null: bool):
     """The items in blocks of at most ITEMS rows, in the order of their ids."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    rows = rows if with_null else rows.filter("id is not null")
     blocks = -(-rows.count() // ITEMS)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks))))
     for k in range(blocks):
-        yield sorted({(x["id"], x["text"]) for x in dealt.filter(F.col("block") == k).collect()})
+        yield sorted({(-1 if x["id"] is None else x["id"], x["text"]) for x in dealt.filter(F.col("block") == k).collect()})
 
 
 def _indexed(spark, block):
     rows, begin, count = word_rows([text.encode() for _, text in block])
-    use = np.flatnonzero(count >= LEAST_WORDS).tolist()
+    use = np.flatnonzero(count > 0).tolist()
     items = [rows[begin[k] : begin[k] + count[k]] for k in use]
     ids = np.array([block[k][0] for k in use], np.int64)
     return spark.sparkContext.broadcast((build_index(items), items, ids))
 
 
+def _long(text: bytes, index, items: list[np.ndarray]) -> np.ndarray:
+    """``_search`` in a long text, block by block; each begins with as many words before it as an item can take."""
+    reach, tail, number, found = int(1.5 * max(map(len, items), default=0)) + PIECE, np.zeros(0, np.uint64), 0, []
+    for block in blocks(text, SLICE, _BREAKS):
+        rows, _, count = word_rows([block])
+        words = np.concatenate([tail, rows[: count[0]]])
+        part = _search(index, items, np.append(words, np.zeros(2, np.uint64)), np.zeros(1, np.int64), np.array([len(words)]))
+        part[3] += number - len(tail)
+        found.append(part)
+        number, tail = number + int(count[0]), words[-reach:]
+    return _best(found)
+
+
 def _hits(texts: list[bytes], held):
     index, items, ids = held.value
+    lengths = np.array([len(x) for x in items], np.int64)
     for low, high in slices([len(x) for x in texts], SLICE):
-        doc, item, edits, start = _search(index, items, *word_rows(texts[low:high]))
-        yield doc + low, item, ids[item], edits, start, np.array([len(x) for x in items], np.int64)[item]
+        long = len(texts[low]) > SLICE
+        doc, item, edits, start = _long(texts[low], index, items) if long else _search(index, items, *word_rows(texts[low:high]))
+        yield doc + low, ids[item], edits, start, lengths[item]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, start_word, n_edits, similarity): one row for each document and item that it has.
 
     A document has an item if some run of its words is at most EDITS of the item's words away from it, in words
-    put in, left out or changed; the row tells the best such run. Items with fewer than LEAST_WORDS words are
-    not looked for, nor are null ones; null texts have no words; null ids come back. An item id with several
-    texts is any of them. Empty tables give an empty result; repeated documents come back repeated.
+    put in, left out or changed; the row tells the best such run, the first of equally good ones. So items of fewer
+    than LEAST_WORDS words are found as they are. Words are runs of letters, digits and non-ASCII bytes; where a
+    script has no spaces, each character. Items without words, a text or an id are not looked for; null texts have
+    no words; null ids come back. An item id with several texts is any of them. Empty tables give an empty result;
+    repeated documents come back repeated; other columns are ignored. Very long texts are searched in blocks.
     """
     spark, found = docs.sparkSession, None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_edits long, similarity double"
-    for block in _blocks(benchmark, item_col, text_col):
+    for block in _blocks(benchmark, item_col, text_col, False):
         held = _indexed(spark, block)
 
+        @tidied
         def run(batches, held=held):
             for batch in batches:
-                for doc, _, item_id, edits, start, size in _hits(texts_of(batch.column(1)), held):
+                for doc, item_id, edits, start, size in _hits(texts_of(batch.column(1)), held):
                     columns = [batch.column(0).take(pa.array(doc)), pa.array(item_id), pa.array(start), pa.array(edits.astype(np.int64)), pa.array((1 - edits / size).round(6))]
                     yield pa.record_batch(columns, names=["doc_id", "item_id", "start_word", "n_edits", "similarity"])
 
@@ -311,11 +368,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` without any benchmark item, with all their columns."""
+    """The rows of ``docs`` without any benchmark item, those without an id too, with all their columns."""
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, text_col):
+    for block in _blocks(benchmark, item_col, text_col, True):
         held = _indexed(docs.sparkSession, block)
 
+        @tidied
         def run(batches, held=held):
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
