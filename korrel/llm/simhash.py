@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import keep
+from korrel.llm.common import keep, parts_for, tidied
 
 MAX_BITS = 3
 #: Fingerprints of one variant that are compared in one piece; larger buckets are cut into blocks.
@@ -58,6 +58,7 @@ def simhash(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row for each row of ``docs``; a null text has the fingerprint zero."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             found = np.fromiter((simhash(x) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
