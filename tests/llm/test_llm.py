@@ -155,12 +155,19 @@ def cut(rows, window=20):
     return Counter((i, *out[(math.inf if i is None else i, t or "")][:2], hashlib.sha256(out[(math.inf if i is None else i, t or "")][2].encode()).hexdigest()) for i, t in rows)
 
 
+CUT = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def cut_rows(df, **settings):
+    return Counter(map(tuple, substring.dedup_substrings(df, **settings).select(CUT).collect()))
+
+
 def test_substrings(prose, odd, empty):
     df, docs = prose
     rows = list(enumerate(docs))
-    assert Counter(map(tuple, substring.dedup_substrings(df).collect())) == cut(rows) and sum(r[2] for r in cut(rows)) > 500
-    assert Counter(map(tuple, substring.dedup_substrings(df, window=7).collect())) == cut(rows, 7)
-    assert Counter(map(tuple, substring.dedup_substrings(odd).collect())) == cut(ODD)
+    assert cut_rows(df) == cut(rows) and sum(r[2] for r in cut(rows)) > 500
+    assert cut_rows(df, window=7) == cut(rows, 7)
+    assert cut_rows(odd) == cut(ODD)
     assert substring.dedup_substrings(empty).count() == 0
     whole = substring.cut_documents(odd)
     assert whole.columns == odd.columns and whole.count() == len(ODD)
@@ -173,11 +180,74 @@ def test_repeats_over_small_batches(spark, prose):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        assert Counter(map(tuple, substring.dedup_substrings(df).collect())) == cut(list(enumerate(docs)))
+        assert cut_rows(df) == cut(list(enumerate(docs)))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_repeats_across_chunks_and_buckets(prose, monkeypatch):
+    df, docs = prose
+    monkeypatch.setattr(substring, "buckets_for", lambda docs: 13)
+    found = df.repartition(7)  # executors have their own modules: chunks are cut by partitions here
+    assert cut_rows(found) == cut(list(enumerate(docs)))
+
+
+def doubled(rows, window=20):
+    """Longest repeated window of each text, in doublings; copies of whole texts once."""
+    order, first = sorted((i, t or "") for i, t in rows), {}
+    for i, t in order:
+        first.setdefault(t, i)
+    texts = {i: WORDS.findall(t) for i, t in order if first[t] == i}
+    longest, length = dict.fromkeys(texts, 0), window
+    while True:
+        seen = Counter(tuple(w[k : k + length]) for w in texts.values() for k in range(len(w) - length + 1))
+        hit = [i for i, w in texts.items() if any(seen[tuple(w[k : k + length])] > 1 for k in range(len(w) - length + 1))]
+        if not hit:
+            return longest
+        longest |= dict.fromkeys(hit, length)
+        length *= 2
+
+
+def test_levels_go_on_until_nothing_repeats(spark, prose):
+    df, docs = prose
+    rng = random.Random(9)
+    long = [f"l{rng.randrange(500)}" for _ in range(700)]
+    rows = [*enumerate(docs), (500, " ".join(long)), (501, "start " + " ".join(long)), (502, "again " * 90)]
+    found = substring.dedup_substrings(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    wanted = doubled(rows)
+    assert {r["doc_id"]: r["longest_repeat"] for r in found if r["longest_repeat"] is not None} == wanted
+    assert wanted[500] == wanted[501] == 640 and wanted[502] == 80 and sum(r["longest_repeat"] is None for r in found) == len(rows) - len(wanted)
+    assert Counter(tuple(r[c] for c in CUT) for r in found) == cut(rows)
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_alike_by_structure_are_different_words(spark, n):
+    one, other = thue_morse(n), thue_morse(n, "ba")
+    tail = " ".join(f"t{k}" for k in range(19))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"x {one} {tail} {other}")]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert cut_rows(df) == cut(rows)
+    check_packing(packing.pack(df.selectExpr("*", "'s' AS source"), BYTE).collect(), rows)
+    got = {r["doc_id"]: r["ids_crc32"] for r in frames.id_files(df, BYTE).collect()}
+    assert got == {i: zlib.crc32(ids_of(t, 2).tobytes()) for i, t in rows}
+    library = Tokenizer.from_file(WORD)
+    assert [r["n_tokens"] for r in transducer.token_counts(df, WORD).orderBy("doc_id").collect()] == [len(library.encode(t, add_special_tokens=False).ids) for _, t in rows]
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    """Two texts whose xxhash64 agree in the last 23 bits, and a copy of one of them."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(12_000).select(F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(22))).alias("t"))
+    pair = texts.groupBy(F.xxhash64("t").bitwiseAND(F.lit((1 << 23) - 1)).alias("h")).agg(F.collect_list("t").alias("t")).filter("size(t) > 1").first()["t"][:2]
+    rows = [(1, pair[0]), (None, pair[0]), (None, pair[1])]
+    assert cut_rows(spark.createDataFrame(rows, SCHEMA).repartition(2)) == cut(rows)
+
+
 # 3 token counts, 5 packing, 10 token-id files
 
 BYTES, COUNTS = encode.encoder(BYTE), transducer.counter(WORD)
@@ -219,6 +289,75 @@ def test_chunk_maps_compose(kinds):
     assert transducer.beginnings(np.array(kinds, np.uint8)).tolist() == wanted
 
 
+def test_equal_hashes_are_noticed(monkeypatch):
+    texts = ["some words, some more words", "other words entirely", "", "don't  stop"] * 3
+    library = Tokenizer.from_file(WORD)
+    weak = lambda points, starts, ends: ((ends - starts).astype(np.uint64), (points[starts] + np.uint32(7) * points[ends - 1]).astype(np.uint64))
+    monkeypatch.setattr(encode, "piece_hashes", weak)
+    monkeypatch.setattr(transducer, "piece_hashes", weak)
+    ids, first = encode.Encoder(BYTE).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [x.ids for x in BYTES.library.encode_batch(texts, add_special_tokens=False)]
+    one = encode.Encoder(BYTE)  # and between calls
+    for text in ("ab", "cd", "ab"):
+        assert one.encode([text])[0].tolist() == BYTES.library.encode(text, add_special_tokens=False).ids
+    counter = transducer.TokenCounter(WORD)
+    for _ in range(2):
+        assert counter.counts(texts).tolist() == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(TEXTS, st.integers(1, 9))
+def test_count_maps_compose_over_chunks_of_any_size(texts, size):
+    before, transducer.CHUNK = transducer.CHUNK, size
+    try:
+        found = COUNTS.counts(texts).tolist()
+    finally:
+        transducer.CHUNK = before
+    assert found == COUNTS.counts(texts).tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="thaneiorsd", min_size=2, max_size=60), st.lists(st.integers(1, 59), min_size=1, max_size=6), st.integers(0, 2**16))
+def test_composition_is_associative(word, cuts, order):
+    edges = sorted({0, len(word), *(c for c in cuts if c < len(word))})
+    parts = [word[a:b].encode() for a, b in zip(edges, edges[1:])]
+    state, tokens = COUNTS.pieces.run(0, parts[0], len(parts) == 1)
+    maps = [transducer.ChunkMap(b"", False, tokens, state)]
+    maps += [transducer.ChunkMap(x, k == len(parts) - 2, 0, 0 if k == len(parts) - 2 else None) for k, x in enumerate(parts[1:])]
+    while len(maps) > 1:
+        k = order % (len(maps) - 1)
+        maps[k : k + 2] = [COUNTS.pieces.then(maps[k], maps[k + 1])]
+    assert (maps[0].state, maps[0].tokens) == (0, COUNTS.pieces.count(word.encode()))
+
+
+LONG = "".join(f"word{k % 977}{' ' if k % 5 else chr(10)}The {k}'ll  " for k in range(90_000))
+
+
+def test_very_long_texts_are_cut(spark):
+    """Longer than what any operator holds at a time; the same answers as for whole texts."""
+    assert len(LONG) > 3 * max(encode.SLICE, lm.SLICE // 4, 1 << 18)
+    library = Tokenizer.from_file(WORD)
+    assert COUNTS.counts(["a", LONG]).tolist() == [1, len(library.encode(LONG, add_special_tokens=False).ids)]
+    ids, first = BYTES.encode([LONG, "b"])
+    assert ids[: first[1]].tolist() == BYTES.library.encode(LONG, add_special_tokens=False).ids and first[2] == len(ids)
+    assert list(encode.text_blocks("x" * 50, 9)) == ["x" * 50] and "".join(encode.text_blocks(LONG, 1000)) == LONG
+
+
+def test_word_runs_cut_long_texts():
+    from korrel.llm.common import Words, word_runs
+
+    texts = [b"a b", LONG.encode(), b"", b"tail words"]
+    whole = Words(texts)
+    wanted = whole.grams(whole.hashes(), 5)
+    wanted = [wanted[0][k] for k in np.flatnonzero(wanted[1])]
+    found, numbers = [], 0
+    for low, high, words in word_runs(texts, 1 << 16, carry=4):
+        grams, inside = words.grams(words.hashes(), 5)
+        found += grams[inside].tolist()
+        numbers += len(words.starts)
+    assert found == wanted and numbers == len(whole.starts)
+
+
 def test_token_counts(odd, empty):
     got = Counter(map(tuple, transducer.token_counts(odd, WORD, limit=100).collect()))
     library = Tokenizer.from_file(WORD)
@@ -314,6 +453,28 @@ def test_windows_keep_their_mixture(spark, prose):
     assert until > 3 and all(share[seq] == 128 for seq in range(until - 1))
 
 
+def test_every_target_holds_beyond_the_queues(spark, prose, monkeypatch):
+    """More sources than queues: a small source's target holds, and one named '' is a source like others."""
+    from pyspark.sql import functions as F
+
+    df, docs = prose
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    sourced = df.withColumn("source", F.when(F.col("doc_id") % 9 == 0, "rare").when(F.col("doc_id") % 9 == 1, "").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 9)))
+    for name in ("rare", ""):
+        rows = packing.pack(sourced, BYTE, {name: 0.9}, length=256, quantum=32).collect()
+        check_packing(rows, list(enumerate(docs)), 256)
+        share = Counter()
+        for r in rows:
+            share[r["sequence_id"]] += r["length"] * (r["source"] == name)
+        until = sum(share.values()) // 256
+        assert until > 2 and all(share[seq] >= 224 for seq in range(until - 1)), name
+    check_packing(packing.pack(sourced, BYTE, length=256, quantum=32).collect(), list(enumerate(docs)), 256)
+    with pytest.raises(ValueError):
+        packing.pack(sourced, BYTE, {"a": 1, "b": 1, "c": 1})
+    monkeypatch.setattr(packing, "BROADCAST_NUMBERS", 0)
+    check_packing(packing.pack(sourced, BYTE, {"rare": 0.9}, length=256, quantum=32).collect(), list(enumerate(docs)), 256)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), min_size=1, max_size=6))
 def test_schedule_is_deficit_round_robin(queues):
@@ -349,6 +510,33 @@ def test_media(odd, empty):
     assert len(full["peak_times"]) == len(full["peak_codes"]) > 0 and full["peak_times"] == sorted(full["peak_times"])
 
 
+def plain_peaks(payload):
+    """Pairs of spectral peaks by definition."""
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * k / 192) for k in range(192)]
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(97), np.arange(192)) / 192)
+    peaks = []
+    for at in range(0, len(payload) - 191, 96):
+        power = np.abs(turns @ [(payload[at + k] - 128) * window[k] for k in range(192)]) ** 2
+        own = [b for b in range(1, 96) if power[b] > power[b - 1] and power[b] >= power[b + 1] and round(power[b], 3) > 0]
+        peaks.append(sorted(own, key=lambda b: (-round(power[b], 3), b))[:3])
+    pairs = [(t, b << 16 | peaks[t + gap][0] << 8 | gap) for t, own in enumerate(peaks) for b in own for gap in (1, 2, 3) if t + gap < len(peaks) and peaks[t + gap]]
+    return sorted(pairs)
+
+
+def test_fingerprints_by_definition(prose):
+    stored, found = media.store_media(prose[0])
+    held = {r["doc_id"]: (r["n_bytes"], r["media"]) for r in stored.collect()}
+    rows = found.collect()
+    said = {r["doc_id"]: r["feature"] for r in media.digests(found).collect()}
+    for r in rows:
+        payload = media.from_wav(bytes(held[r["doc_id"]][1]))
+        wanted = plain_peaks(payload)
+        assert list(zip(r["peak_times"], r["peak_codes"])) == wanted
+        times, codes = (np.array([x[k] for x in wanted], np.int32) for k in (0, 1))
+        assert said[r["doc_id"]] == f"{len(wanted)}:{hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()[:32]}"
+    assert sum(len(r["peak_times"]) for r in rows) > 1000
+
+
 def test_peaks_find_a_tone():
     t = np.arange(192 * 6)
     samples = (128 + 90 * np.sin(2 * np.pi * 24 * t / 192)).astype(np.uint8)
@@ -388,35 +576,57 @@ def test_preferences_sql(spark, small):
 # 9 language models
 
 
-def test_cross_entropy(spark, odd, empty, prose):
+def plain_losses(rows, target):
+    """Background and target loss of each row, its own words taken out of both models."""
+    tokens = [(i, WORDS.findall((t or "").translate(LOWER))) for i, t in rows]
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for i, words in tokens:
+        for k in (0, 1) if i in target else (0,):
+            uni[k].update(words)
+            bi[k].update(zip(words, words[1:]))
+    vocabulary, out = len(uni[0]), []
+    for i, words in tokens:
+        own = [Counter(words), Counter(zip(words, words[1:]))]
+        inside = (1, int(i in target))
+        said = [sum(uni[k].values()) - inside[k] * len(words) for k in (0, 1)]
+        losses = []
+        for k in (0, 1):
+            scale = said[1] / said[0] if k == 0 and said[0] and said[1] else 1
+            loss = 0.0
+            for before, w in zip([None, *words], words):
+                p = (scale * (uni[k][w] - inside[k] * own[0][w]) + lm.ADDED) / (scale * said[k] + lm.ADDED * vocabulary)
+                seen = uni[k][before] - inside[k] * own[0][before] if before is not None else 0
+                if seen:
+                    p = lm.MIX * (bi[k][(before, w)] - inside[k] * own[1][(before, w)]) / seen + (1 - lm.MIX) * p
+                loss -= math.log(p)
+            losses.append(loss / len(words) if words else -1.0)
+        out.append((-1 if i is None else i, len(words), *losses))
+    return out
+
+
+def test_cross_entropy(spark, odd, empty, prose, monkeypatch):
     df, docs = prose
-    for rows, frame in ((list(enumerate(docs)), df), (ODD, odd)):
-        target = {1, 3, 5, 8, 12}
-        ids = spark.createDataFrame([(i,) for i in [*target, None, 999, 1]], "doc_id long")
-        tokens = [(i, WORDS.findall((t or "").translate(LOWER))) for i, t in rows]
-        uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-        for i, words in tokens:
-            for k in (0, 1) if i in target else (0,):
-                uni[k].update(words)
-                bi[k].update(zip(words, words[1:]))
-        size = [sum(u.values()) for u in uni]
-        wanted = []
-        for i, words in tokens:
-            losses = []
-            for k in (0, 1):
-                loss = 0.0
-                for before, w in zip([None, *words], words):
-                    p = (uni[k][w] + lm.ADDED) / (size[k] + lm.ADDED * len(uni[0]))
-                    if before is not None and uni[k][before]:
-                        p = lm.MIX * bi[k][(before, w)] / uni[k][before] + (1 - lm.MIX) * p
-                    loss -= math.log(p)
-                losses.append(loss / len(words) if words else -1.0)
-            wanted.append((-1 if i is None else i, len(words), *losses))
-        none = lambda x: -1 if x is None else x
-        found = [(none(r["doc_id"]), r["n_words"], none(r["background_loss"]), none(r["target_loss"])) for r in lm.cross_entropy_difference(frame, ids).collect()]
-        assert np.allclose(sorted(found), sorted(wanted), rtol=0, atol=1e-6)
-    none = spark.createDataFrame([], "doc_id long")
-    assert lm.cross_entropy_difference(empty, none).count() == 0 and lm.cross_entropy_difference(odd, none).count() == len(ODD)
+    none = lambda x: -1 if x is None else x
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(lm, "BROADCAST_IDS", limit)
+        for rows, frame in ((list(enumerate(docs)), df), (ODD, odd)):
+            target = {1, 3, 5, 8, 12}
+            ids = spark.createDataFrame([(i,) for i in [*target, None, 999, 1]], "doc_id long")
+            found = [(none(r["doc_id"]), r["n_words"], none(r["background_loss"]), none(r["target_loss"])) for r in lm.cross_entropy_difference(frame, ids).collect()]
+            assert np.allclose(sorted(found), sorted(plain_losses(rows, target)), rtol=0, atol=1e-6)
+    nobody = spark.createDataFrame([], "doc_id long")
+    assert lm.cross_entropy_difference(empty, nobody).count() == 0 and lm.cross_entropy_difference(odd, nobody).count() == len(ODD)
+
+
+def test_losses_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 1 << 10)
+    rows = [(0, LONG[:30_000]), (1, LONG[7000:9000]), (2, "The word5 other")]
+    texts, marked = [t.encode() for _, t in rows], np.array([True, False, True])
+    keys, *totals = lm._summary(texts, marked)
+    words = (keys & np.uint64(2)) != 0
+    size, losses = lm._scores(texts, marked, keys, totals, (*(int(x[words].sum()) for x in totals), int(words.sum())))
+    wanted = plain_losses(rows, {0, 2})
+    assert size.tolist() == [x[1] for x in wanted] and np.allclose(np.array(losses) / size, np.array([x[2:] for x in wanted]).T, atol=1e-9)
 
 
 # 6 classifier
@@ -452,13 +662,70 @@ def test_co_training(spark, empty):
 
 
 def test_labelled_documents_beyond_the_sample_are_not_unlabelled(spark, monkeypatch):
-    seen, fitted = [], cotrain.co_train
     monkeypatch.setattr(cotrain, "SAMPLE", 60)
-    monkeypatch.setattr(cotrain, "co_train", lambda count, views, y, held, default: seen.append(y) or fitted(count, views, y, held, default))
-    docs = spark.createDataFrame([(i, f"text{i} of{i} its{i} own{i}", "en", "x", 9) for i in range(300)], SCHEMA + ", lang string, source string, n_chars long")
+    docs = spark.createDataFrame([*((i, f"text{i} of{i} its{i} own{i}", "en", "x", 9) for i in range(300)), (None, "no id", "en", "x", 5), (None, "nor this", "en", "x", 5)], SCHEMA + ", lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(290)], "doc_id long, quality int, toxic int")
-    cotrain.train(docs, labels)
-    assert [int((y < 0).sum()) for y in seen] == [10, 10] and [int((y >= 0).sum()) for y in seen] == [60, 60]
+    features = cotrain._features(docs, "doc_id", "text", cotrain.META)
+    sample = cotrain._sample(features, labels)
+    assert sample.num_rows == 60 and set(sample["quality"].to_pylist()) == {0, 1}
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(cotrain, "BROADCAST_IDS", limit)
+        assert cotrain._unlabelled(features, labels).count() == 12
+
+
+def test_repeated_and_null_ids_stay_bounded(spark):
+    docs = spark.createDataFrame([(7 if i % 2 else None, f"same text {i % 3}", "en", "x", 9, i, "e", 1) for i in range(400)], SCHEMA + ", lang string, source string, n_chars long, id int, exact string, sign int")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    features = cotrain._features(docs, "doc_id", "text", cotrain.META)
+    sample = cotrain._sample(features, labels)
+    assert sample.num_rows == 1 and sample["quality"].to_pylist() == [0]
+    assert cotrain._unlabelled(features, labels).count() == 3
+    assert cotrain.classify(docs, labels).count() == 400
+
+
+def test_views_teach_each_other(spark):
+    """Words that no labelled document has are learned from the source, and a source from words."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(1500):
+        good = rng.random() < 0.5
+        words = [rng.choice("abcdefgh") + rng.choice("klmnop") + rng.choice("aeiou") for _ in range(30)]
+        if i < 700:  # labelled: sources tell, and some words do
+            words += ["fine" if good else "awful"] * 2
+            source = "good.example" if good else "bad.example"
+            labels.append((i, int(good), 0))
+        elif i < 1100:  # sources tell; new words come with them
+            words += ["novel" if good else "unheard"] * 2
+            source = "good.example" if good else "bad.example"
+        else:  # words tell; new sources come with them
+            words += ["fine" if good else "awful"] * 2
+            source = "new-good.example" if good else "new-bad.example"
+        rows.append((i, " ".join(words), "en", source, 100))
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string, source string, n_chars long")
+    models = cotrain.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    counted = [v.models[1] for v in models.views]
+
+    def weight(v, name):
+        at = np.flatnonzero(counted[v].names == name)
+        return float(counted[v].weights[at[0]]) if len(at) else 0.0
+
+    word = lambda x: int(cotrain.text_features([x.encode()])[1][0])
+    page = lambda x: int(cotrain.meta_features({"source": [x]})[1][0])
+    assert weight(0, word("novel")) > 1 and weight(0, word("unheard")) < -1
+    assert weight(1, page("new-good.example")) > 1 and weight(1, page("new-bad.example")) < -1
+    assert models.targets["toxic"].combine is None and models.targets["toxic"].constant == 0.0
+
+
+def test_features_of_long_texts():
+    whole = cotrain.text_features([LONG.encode(), b"", b"A a a b a b"])
+    before, cotrain.SLICE = cotrain.SLICE, 1 << 14
+    try:
+        cut_up = cotrain.text_features([LONG.encode(), b"", b"A a a b a b"])
+    finally:
+        cotrain.SLICE = before
+    assert all((a == b).all() for a, b in zip(whole, cut_up))
+    lists = cotrain._steps(whole, 3)
+    assert all((a == b).all() for a, b in zip(cotrain._pairs(lists), whole)) and all(len(x) for x in cotrain._pairs(lists.slice(1)))
 
 
 # 2 decontamination
@@ -509,6 +776,37 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == 160
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Unique"), (2, "two words"), (3, "three of them"), (4, "now there are four"), (5, "中文句子在这里出现"), (None, "nameless item here today friends")]
+    docs = [(10, "a UNIQUE thing"), (11, "the two, words!"), (12, "twowords two other words"), (13, "three of them now there are four"), (14, "前面中文句子在这里出现后面"), (15, "nameless item here today friends"), (16, None), (17, "")]
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["start_word"], r["n_edits"]) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert found == {(10, 1, 1, 0), (11, 2, 1, 0), (13, 3, 0, 0), (13, 4, 3, 0), (14, 5, 2, 0)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()} == {12, 16, 17}
+
+
+def test_leaks_in_long_texts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", 1 << 12)
+    rng = random.Random(6)
+    items = [" ".join(f"i{k}x{j}" for j in range(n)) for k, n in enumerate((3, 9, 40, 300))]
+    words = [f"w{rng.randrange(900)}" for _ in range(20_000)]
+    places = {}
+    for k, item in sorted(enumerate(items), reverse=True):
+        for at in (1500 + 997 * k, 9000 + 701 * k):
+            words[at:at] = item.split()
+    text = " ".join(words)
+    for k, item in enumerate(items):
+        places[k] = words.index(item.split()[0])
+    rows, begin, count = decontaminate.word_rows([x.encode() for x in items])
+    held = [rows[a : a + n] for a, n in zip(begin, count)]
+
+    class Held:
+        value = decontaminate.build_index(held), held, np.arange(4)
+
+    found = [(int(d), int(i), int(e), int(s)) for part in decontaminate._hits([b"x", text.encode(), b"y"], Held) for d, i, e, s, _ in zip(*part)]
+    assert sorted(found) == [(1, k, 0, places[k]) for k in range(4)]
+
+
 @pytest.mark.parametrize("length", [400, 600, 900, 1300])
 def test_long_edited_items_are_found(length):
     rng = np.random.default_rng(length)
@@ -560,8 +858,8 @@ def test_pipeline_stages(spark, small, tmp_path):
         if k < 4:
             assert done.columns == columns and 0 < done.count() <= before, name
             if k == 1:
-                group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-                assert {r["doc_id"] for r in done.collect()} == set(group.values())
+                group = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(docs).collect()}
+                assert {r["doc_id"] for r in done.collect()} == set(group.values()) and done.count() == len(set(group.values()))
             if k == 2:
                 removed = {r["doc_id"]: r["n_removed"] for r in substring.dedup_substrings(docs).collect()}
                 texts = {r["doc_id"]: r["text"] for r in docs.collect()}
