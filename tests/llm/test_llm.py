@@ -901,7 +901,17 @@ def test_similar_documents_are_all_that_share_enough(spark, prose, empty, monkey
         least[x] = min(i, least.get(x, i))
     wanted = {i: least[x] for (i, _), x in zip(rows, label)}
     default = similar.similar_sets
-    monkeypatch.setattr(similar, "similar_sets", lambda r: default(r, block))
+    monkeypatch.setattr(similar, "similar_sets", lambda *r: default(*r, block))
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()} == wanted
     assert similar.similar_documents(empty).count() == 0
+
+
+def test_one_of_each_row(spark, odd, prose, empty):
+    kept = similar.one_of_each(odd)
+    assert kept.columns == odd.columns and similar.one_of_each(empty).count() == 0
+    rows = [tuple(r) for r in kept.collect()]
+    every = [tuple(r) for r in odd.collect()]
+    assert set(rows) <= set(every) and sorted(r[0] for r in rows if r[0] is not None) == [1, 3, 5, 6, 7, 8, 10] and sum(r[0] is None for r in rows) == 1
+    texts = spark.createDataFrame([(1, prose[1][0] * 3), (1, "quite another text of this id"), (2, prose[1][0] * 3), (None, prose[1][0] * 3), (None, "a text without any id at all")], SCHEMA)
+    assert sorted((r["doc_id"] or 0, r["text"][:9]) for r in similar.one_of_each(texts).collect()) == sorted([(1, prose[1][0][:9]), (1, "quite ano"), (0, "a text wi")])
