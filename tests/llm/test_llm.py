@@ -880,8 +880,8 @@ def shingles(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_similar_documents_are_all_that_share_enough(spark, prose, empty, monkeypatch, block):
+@pytest.mark.parametrize("few", [16, 3])
+def test_similar_documents_are_all_that_share_enough(spark, prose, empty, monkeypatch, few):
     rng = random.Random(8)
     docs = list(prose[1])
     for k in range(60):  # chains of edits: similarity on both sides of 0.8
@@ -901,7 +901,7 @@ def test_similar_documents_are_all_that_share_enough(spark, prose, empty, monkey
         least[x] = min(i, least.get(x, i))
     wanted = {i: least[x] for (i, _), x in zip(rows, label)}
     default = similar.similar_sets
-    monkeypatch.setattr(similar, "similar_sets", lambda *r: default(*r, block))
+    monkeypatch.setattr(similar, "similar_sets", lambda *r: default(*r, few))
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()} == wanted
     assert similar.similar_documents(empty).count() == 0
