@@ -188,13 +188,22 @@ class Database:
         return out["rows"]
 
     def count(self, table: str) -> int:
-        return self.frame(f"SELECT count(*) AS n FROM {self._open(table)}").first()["n"]
+        self.limiter.admit()
+        return self._within(self.frame(f"SELECT count(*) AS n FROM {self._open(table)}"))[0]["n"]
 
     def sample(self, table: str, n: int = 20, form: str = "json") -> Answer:
         """The first ``n`` rows, not random ones."""
-        return self.query(f"SELECT * FROM {self._open(table)} LIMIT {min(max(1, n), self.limits.max_rows)}", form)
+        return self.query(self._sample_sql(table, n), form)
+
+    def sampled(self, table: str, n: int = 20) -> DataFrame:
+        """What ``sample`` answers, as a DataFrame."""
+        return self.frame(self._sample_sql(table, n))
+
+    def _sample_sql(self, table: str, n: int) -> str:
+        return f"SELECT * FROM {self._open(table)} LIMIT {min(max(1, n), self.limits.max_rows)}"
 
     def explain(self, sql: str) -> list[str]:
+        self.limiter.admit()
         df, _ = self._checked(sql)
         return str(df._jdf.queryExecution().simpleString()).splitlines()
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from korrel.functions.dialect import rewrite
+from korrel.plans import guard
 from korrel.plans.database import Database
-from korrel.plans.errors import DestructiveNotGranted, GuardedColumnInWrite, StatementOnlyReads, TableNotFound, TableRefused, WriteNotGranted
+from korrel.plans.errors import ActionDenied, DestructiveNotGranted, EmptyStatement, GuardedColumnInWrite, SqlFailed, StatementOnlyReads, TableNotFound, TableRefused, WriteNotGranted
 
 ARMED_SECONDS, ACTIVE_SECONDS = 15 * 60, 60 * 60
 
@@ -59,12 +64,37 @@ class Writer:
         self.grant.use(table)
         return self.db.frames[table.lower()]
 
-    def _condition(self, table: str, *expressions: str) -> None:
-        """Expressions of a write read no guarded column."""
-        words = {w.lower() for text in expressions for w in F.expr(text)._jc.toString().replace("'", " ").replace("(", " ").replace(")", " ").replace(",", " ").split()}
-        for c in self.db.frames[table.lower()].columns:
-            if c.lower() in words and self.db.access.treatment(table, c) != "plain":
-                raise GuardedColumnInWrite(c)
+    def _expression(self, table: str, text: str) -> Column:
+        """An expression over one row, of listed functions and columns that aren't guarded, by the analyzed plan."""
+        old = self.db.frames[table.lower()]
+        text = rewrite(text, self.db.dialect) if self.db.dialect != "spark" else text
+        try:
+            stack = [self._parser().parseExpression(text)]
+        except (ParseException, Py4JJavaError) as error:
+            raise SqlFailed(str(error).splitlines()[0][:300]) from None
+        while stack:
+            e = stack.pop()
+            if guard._kind(e) in guard._SUBQUERIES or "Subquery" in guard._kind(e):
+                raise GuardedColumnInWrite("a subquery")
+            if "Window" in guard._kind(e):
+                raise ActionDenied("an expression over more than a row")
+            guard.check_expression(e, self.db.functions)
+            stack += guard._seq(e.children())
+        try:
+            plan = old.select(F.expr(text).alias("value"))._jdf.queryExecution().analyzed()
+        except AnalysisException as error:
+            raise SqlFailed(str(error).splitlines()[0][:300]) from None
+        if guard._kind(plan) != "Project" or not plan.child().sameResult(old._jdf.queryExecution().analyzed()):
+            raise ActionDenied("an expression over more than a row")
+        names = {a.exprId().id(): a.name() for a in guard._seq(plan.child().output())}
+        for e in guard._expressions(plan):
+            name = names.get(e.exprId().id()) if guard._kind(e) == "AttributeReference" else None
+            if name is not None and self.db.access.treatment(table, name) != "plain":
+                raise GuardedColumnInWrite(name)
+        return F.expr(text)
+
+    def _parser(self):
+        return self.db.spark._jsparkSession.sessionState().sqlParser()
 
     def _swap(self, action: str, table: str, new: DataFrame, affected: int, destructive: bool, began: float) -> Written:
         if destructive and not self.grant.destructive:
@@ -86,18 +116,19 @@ class Writer:
         for c in values:
             if self.db.access.treatment(table, c) != "plain":
                 raise GuardedColumnInWrite(c)
-        self._condition(table, where, *values.values())
-        told = old.agg(F.count("*").alias("n"), F.count_if(F.expr(where)).alias("hit")).first()
-        low = {k.lower(): v for k, v in values.items()}
-        hit = F.coalesce(F.expr(where), F.lit(False))
-        new = old.select(*(F.when(hit, F.expr(low[f.name.lower()])).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name.lower() in low else F.col(f.name) for f in old.schema.fields))
+        low = {k.lower(): self._expression(table, v) for k, v in values.items()}
+        if unknown := set(low) - {c.lower() for c in old.columns}:
+            raise SqlFailed(f"no column {sorted(unknown)[0]}")
+        hit = F.coalesce(self._expression(table, where), F.lit(False))
+        told = old.agg(F.count("*").alias("n"), F.count_if(hit).alias("hit")).first()
+        new = old.select(*(F.when(hit, low[f.name.lower()]).otherwise(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) if f.name.lower() in low else F.col(f"`{f.name}`") for f in old.schema.fields))
         return self._swap("update", table, new, told["hit"], told["hit"] == told["n"] and told["n"] > 1, began)
 
     def delete(self, table: str, where: str = "true") -> Written:
         began, old = time.monotonic(), self._open(table)
-        self._condition(table, where)
-        told = old.agg(F.count("*").alias("n"), F.count_if(F.expr(where)).alias("hit")).first()
-        new = old.filter(~F.coalesce(F.expr(where), F.lit(False)))
+        hit = F.coalesce(self._expression(table, where), F.lit(False))
+        told = old.agg(F.count("*").alias("n"), F.count_if(hit).alias("hit")).first()
+        new = old.filter(~hit)
         return self._swap("delete", table, new, told["hit"], told["hit"] == told["n"] and told["n"] > 1, began)
 
     def drop(self, table: str) -> Written:
@@ -108,8 +139,53 @@ class Writer:
         self.db.spark.catalog.dropTempView(table)
         return Written("drop", table, n, True, round(1000 * (time.monotonic() - began)))
 
-    def run(self, sql: str) -> None:
-        """Reading statements don't belong here; SQL writes are the methods above."""
-        if sql.strip().split(None, 1)[0].lower() in ("select", "with", "values", "table"):
+    def truncate(self, table: str) -> Written:
+        began, old = time.monotonic(), self._open(table)
+        return self._swap("truncate", table, old.limit(0), old.count(), True, began)
+
+    def run(self, sql: str) -> Written:
+        """INSERT, UPDATE, DELETE, TRUNCATE or DROP as one statement over one table. What an INSERT reads is read
+        like any query, and no guarded column may be in it. Reading statements don't belong here."""
+        text = guard.without_trailing(sql)
+        if not text:
+            raise EmptyStatement()
+        if text.split(None, 1)[0].lower() in ("select", "with", "values", "table", "from"):
             raise StatementOnlyReads()
-        raise WriteNotGranted("use insert, update, delete or drop")
+        try:
+            plan = self._parser().parsePlan(text)
+        except (ParseException, Py4JJavaError) as error:
+            raise SqlFailed(str(error).splitlines()[0][:300]) from None
+        kind = guard._kind(plan)
+        if kind == "DeleteFromTable":
+            return self.delete(self._target(plan.table()), plan.condition().sql())
+        if kind == "UpdateTable":
+            values = {".".join(map(str, guard._seq(a.key().nameParts()))): a.value().sql() for a in guard._seq(plan.assignments())}
+            return self.update(self._target(plan.table()), values, plan.condition().get().sql() if plan.condition().isDefined() else "true")
+        if kind == "InsertIntoStatement":
+            found = re.match(r"(?is)insert\s+into\s+(?:table\s+)?\S+?\s*(?:\(([^()]*)\)\s*)?((?:values|select|with|table|from)\b.*)$", text)
+            if plan.overwrite() or not found:
+                raise ActionDenied("only INSERT INTO table [(columns)] query")
+            table = self._target(plan.table())
+            old, (rows, origins) = self._open(table), self.db._checked(found[2])
+            if any(origins):
+                raise GuardedColumnInWrite("what the query reads")
+            names = [x.strip(" `\n\t") for x in found[1].split(",")] if found[1] else old.columns
+            if len(names) != len(rows.columns):
+                raise SqlFailed(f"{len(rows.columns)} values for {len(names)} columns")
+            return self.insert(table, rows.toDF(*names))
+        if kind == "TruncateTable":
+            return self.truncate(self._target(plan.table()))
+        if kind == "DropTable":
+            return self.drop(self._target(plan.child()))
+        raise ActionDenied(kind)
+
+    def _target(self, node) -> str:
+        while guard._kind(node) == "SubqueryAlias":
+            node = node.child()
+        names = {"UnresolvedRelation": "multipartIdentifier", "UnresolvedTable": "multipartIdentifier", "UnresolvedTableOrView": "multipartIdentifier", "UnresolvedIdentifier": "nameParts"}
+        if guard._kind(node) not in names:
+            raise TableRefused(guard._kind(node))
+        parts = [str(x) for x in guard._seq(getattr(node, names[guard._kind(node)])())]
+        if len(parts) != 1:
+            raise TableRefused(".".join(parts))
+        return parts[0]
