@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from korrel.functions.dialect import Shim, renamed, template
+from korrel.functions.dialect import Shim, quotient, renamed, template
 
 WORDS: dict[str, str] = {}
 
@@ -80,12 +80,69 @@ def _justify(part: str) -> Shim:
     return shim
 
 
+def _left(a, s):
+    return f"CASE WHEN ({a[1]}) < 0 THEN left({a[0]}, greatest(char_length({a[0]}) + ({a[1]}), 0)) ELSE left({a[0]}, {a[1]}) END"
+
+
+def _right(a, s):
+    return f"CASE WHEN ({a[1]}) < 0 THEN substring({a[0]}, 1 - ({a[1]})) ELSE right({a[0]}, {a[1]}) END"
+
+
+def _substr(a, s):
+    """Places before the first character count, but hold nothing."""
+    if len(a) == 1:  # substring(x FROM a FOR b)
+        return f"substring({a[0]})"
+    if len(a) == 2:
+        return f"substring({a[0]}, greatest({a[1]}, 1))"
+    return f"substring({a[0]}, greatest({a[1]}, 1), greatest(({a[2]}) + least(({a[1]}) - 1, 0), 0))"
+
+
+def _age(a, s):
+    """Years, months and days between two days, in words; with one argument, up to today."""
+    one, other = (f"cast({x} AS DATE)" for x in (a if len(a) > 1 else ["current_date()", a[0]]))
+    months = f"cast(months_between({one}, {other}) AS INT)"
+    parts = {"year": f"({months}) div 12", "mon": f"({months}) % 12", "day": f"datediff({one}, add_months({other}, {months}))"}
+    words = [f"CASE WHEN {n} <> 0 THEN concat({n}, CASE WHEN {n} = 1 THEN ' {name}' ELSE ' {name}s' END) END" for name, n in parts.items()]
+    return f"coalesce(nullif(concat_ws(' ', {', '.join(words)}), ''), CASE WHEN {one} IS NOT NULL AND {other} IS NOT NULL THEN '00:00:00' END)"
+
+
+def _array_to_string(a, s):
+    return f"array_join(transform({a[0]}, x -> cast(x AS STRING)), {', '.join(a[1:])})"
+
+
+_BITS = "cast(CASE WHEN {0} LIKE '%/%' THEN substring_index({0}, '/', -1) ELSE '32' END AS INT)"
+
+
+def _dotted(number: str) -> str:
+    return "concat_ws('.', " + ", ".join(f"cast(({number}) div {1 << shift} % 256 AS STRING)" for shift in (24, 16, 8, 0)) + ")"
+
+
+def _network(a, s):
+    bits = _BITS.format(a[0])
+    address = f"aggregate(split(substring_index({a[0]}, '/', 1), '[.]'), 0L, (n, x) -> n * 256 + cast(x AS BIGINT))"
+    return f"concat({_dotted(f'({address}) div shiftleft(1L, 32 - {bits}) * shiftleft(1L, 32 - {bits})')}, '/', {bits})"
+
+
+def _netmask(a, s):
+    return _dotted(f"4294967296L - shiftleft(1L, 32 - {_BITS.format(a[0])})")
+
+
+def _headline(a, s):
+    """The words of the query in bold."""
+    text, wanted = a[-2:] if len(a) < 4 else a[1:3]
+    return f"regexp_replace({text}, concat('(?i)\\\\b(', array_join({wanted}, '|'), ')\\\\b'), '<b>$1</b>')"
+
+
+def _lexemes(a, s):
+    return f"array_distinct(filter(split(lower({a[-1]}), '[^a-z0-9]+'), w -> w <> ''))"
+
+
 #: Names that only differ.
 _RENAMED = {
     "strpos": "instr", "starts_with": "startswith", "chr": "char", "regexp_matches": "regexp_extract_all", "regexp_split_to_array": "split", "string_to_array": "split",
     "array_cat": "concat", "cardinality": "size", "json_array_length": "json_array_length", "jsonb_array_length": "json_array_length",
     "json_object_keys": "explode_keys", "clock_timestamp": "current_timestamp", "statement_timestamp": "current_timestamp", "transaction_timestamp": "current_timestamp",
-    "now": "current_timestamp", "version": "version", "btrim": "btrim", "initcap": "initcap", "every": "every", "unnest": "explode", "isfinite": "isnotnull",
+    "now": "current_timestamp", "version": "version", "btrim": "btrim", "every": "every", "unnest": "explode", "isfinite": "isnotnull",
 }
 
 SHIMS: dict[str, Shim] = {k: renamed(v) for k, v in _RENAMED.items() if v != k and v != "explode_keys"}
@@ -111,11 +168,17 @@ SHIMS |= {
     "regexp_split_to_table": template("explode(split({0}, {1}))"),
     "string_to_array": template("split({0}, concat('\\\\Q', {1}, '\\\\E'))"),
     "string_to_table": template("explode(split({0}, concat('\\\\Q', {1}, '\\\\E')))"),
-    "array_to_string": lambda a, s: f"array_join({', '.join(a)})",
-    **{f"sha{n}": template(f"sha2({{0}}, {n})") for n in (224, 256, 384, 512)},
+    "array_to_string": _array_to_string,
+    "/": quotient("{0}"),
+    "left": _left,
+    "right": _right,
+    "substr": _substr,
+    "substring": _substr,
+    "initcap": template("array_join(transform(regexp_extract_all({0}, r'[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+', 0), w -> concat(upper(left(w, 1)), lower(substring(w, 2)))), '')"),
+    **{f"sha{n}": template(f"unhex(sha2({{0}}, {n}))") for n in (224, 256, 384, 512)},
     "encode": _encode,
     "decode": _decode,
-    "age": lambda a, s: f"(cast({a[0]} AS TIMESTAMP) - cast({a[1] if len(a) > 1 else 'current_date()'} AS TIMESTAMP))",
+    "age": _age,
     "timezone": template("from_utc_timestamp({1}, {0})"),
     "make_timestamptz": renamed("make_timestamp"),
     "justify_hours": _justify("hours"),
@@ -192,9 +255,11 @@ SHIMS |= {
     "masklen": template("cast(CASE WHEN {0} LIKE '%/%' THEN substring_index({0}, '/', -1) ELSE '32' END AS INT)"),
     "family": template("CASE WHEN {0} LIKE '%:%' THEN 6 ELSE 4 END"),
     # full text by word sets; ranks are not PostgreSQL's
-    "to_tsvector": lambda a, s: f"array_distinct(filter(split(lower({a[-1]}), '[^a-z0-9]+'), w -> w <> ''))",
-    "plainto_tsquery": lambda a, s: f"array_distinct(filter(split(lower({a[-1]}), '[^a-z0-9]+'), w -> w <> ''))",
-    "to_tsquery": lambda a, s: f"array_distinct(filter(split(lower({a[-1]}), '[^a-z0-9]+'), w -> w <> ''))",
+    **dict.fromkeys(("to_tsvector", "plainto_tsquery", "phraseto_tsquery", "websearch_to_tsquery", "to_tsquery"), _lexemes),
+    "ts_rank_cd": template("(size(array_intersect({0}, {1})) / greatest(size({1}), 1))"),
+    "ts_headline": _headline,
+    "network": _network,
+    "netmask": _netmask,
     "ts_rank": template("(size(array_intersect({0}, {1})) / greatest(size({1}), 1))"),
 }
 SHIMS["date_bin"] = lambda a, s: (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from korrel.functions.dialect import Shim, renamed, template
+from korrel.functions.dialect import Shim, quotient, renamed, template
 
 #: SQLite's LIKE ignores ASCII case.
 WORDS = {"like": "ILIKE", "current_time": "date_format(current_timestamp(), 'HH:mm:ss')"}
@@ -23,7 +23,11 @@ def _time(a: list[str]) -> str:
         words = modifier.strip("'").lower().split()
         if words == ["start", "of", words[-1]] and words[-1] in ("day", "month", "year"):
             moment = f"date_trunc('{words[-1]}', {moment})"
-        elif len(words) == 2 and words[1].rstrip("s") in ("day", "hour", "minute", "second", "month", "year"):
+        elif len(words) == 2 and words[1].rstrip("s") in ("month", "year"):
+            # the day of the month stays and runs over into the next: 31 January and a month is 2 or 3 March
+            month = f"date_trunc('MONTH', {moment})"
+            moment = f"({month} + INTERVAL '{words[0].lstrip('+')}' {words[1].rstrip('s').upper()} + ({moment} - {month}))"
+        elif len(words) == 2 and words[1].rstrip("s") in ("day", "hour", "minute", "second"):
             moment = f"({moment} + INTERVAL '{words[0].lstrip('+')}' {words[1].rstrip('s').upper()})"
         elif words not in (["unixepoch"], ["auto"], ["utc"], ["localtime"], ["subsec"]):
             return "cast(NULL AS TIMESTAMP)"
@@ -109,6 +113,17 @@ def _substr(a, s):
     return f"CASE WHEN ({a[1]}) = 0 THEN substring({a[0]}, 1, greatest(({a[2]}) - 1, 0)) ELSE substring({a[0]}, {a[1]}, {a[2]}) END"
 
 
+def _json_extract(a, s):
+    """One path gives the value, several an array of the values."""
+    if len(a) == 2:
+        return f"get_json_object({a[0]}, {a[1]})"
+    values = ", ".join(f"coalesce(to_json(try_variant_get(try_parse_json({a[0]}), {path}, 'variant')), 'null')" for path in a[1:])
+    return f"CASE WHEN ({a[0]}) IS NOT NULL THEN concat('[', concat_ws(',', {values}), ']') END"
+
+
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def _json_type(a, s):
     what = f"variant_get(try_parse_json({a[0]}), {a[1] if len(a) > 1 else chr(39) + '$' + chr(39)}, 'variant')"
     kind = f"schema_of_variant({what})"
@@ -169,7 +184,10 @@ SHIMS: dict[str, Shim] = {
     "timediff": lambda a, s: f"cast(({_time(a[:1])} - {_time(a[1:])}) AS STRING)",
     "json": template("to_json(try_parse_json({0}))"),
     "jsonb": template("to_json(try_parse_json({0}))"),
-    "json_extract": lambda a, s: f"get_json_object({a[0]}, {a[1]})",
+    "json_extract": _json_extract,
+    "/": quotient("nullif({0}, 0)"),
+    "upper": lambda a, s: f"translate({a[0]}, '{_SMALL}', '{_LARGE}')",  # other letters have no case
+    "lower": lambda a, s: f"translate({a[0]}, '{_LARGE}', '{_SMALL}')",
     "json_object": _json_object,
     "json_type": _json_type,
     "json_valid": template("CASE WHEN ({0}) IS NULL THEN NULL WHEN try_parse_json({0}) IS NULL THEN 0 ELSE 1 END"),

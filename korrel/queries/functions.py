@@ -43,7 +43,7 @@ postgres("strings", "SELECT p_partkey, initcap(lower(p_type)) AS ic, strpos(p_na
          "SELECT p_partkey, instr(p_name, 'e') AS sp, starts_with(p_brand, 'Brand') AS sw, split_part(p_brand, '#', 2) AS pt, p_brand || p_size AS c, lower(hex(p_size)) AS hx, lpad(p_brand, 12, '.') AS lp, left(p_name, 3) AS lf, reverse(p_brand) AS rv, '''' || p_brand || '''' AS ql, translate(p_brand, 'Br', 'bR') AS tr, chr(p_size + 64) AS ch FROM part")
 postgres("regex", "SELECT p_partkey, regexp_replace(p_brand, '[0-9]', 'x') AS one, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS every, regexp_like(p_name, 'a.e') AS l, regexp_count(p_name, '[aeiou]') AS n, element_at(regexp_split_to_array(p_type, ' '), 1) AS first, element_at(regexp_match(p_brand, '[0-9]+'), 1) AS m FROM part",
          "SELECT p_partkey, regexp_replace(p_brand, '[0-9]', 'x') AS one, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS every, regexp_matches(p_name, 'a.e') AS l, len(regexp_extract_all(p_name, '[aeiou]')) AS n, string_split(p_type, ' ')[1] AS first, regexp_extract(p_brand, '[0-9]+') AS m FROM part")
-postgres("hashes", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, encode(cast(c_name AS BINARY), 'hex') AS h, encode(cast(c_name AS BINARY), 'base64') AS b FROM customer",
+postgres("hashes", "SELECT c_custkey, md5(c_name) AS m, encode(sha256(c_name), 'hex') AS s, encode(cast(c_name AS BINARY), 'hex') AS h, encode(cast(c_name AS BINARY), 'base64') AS b FROM customer",
          "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, lower(hex(c_name)) AS h, base64(encode(c_name)) AS b FROM customer")
 postgres("text_arrays", "SELECT p_partkey, array_to_string(string_to_array(p_type, ' '), '+') AS a, array_length(string_to_array(p_type, ' '), 1) AS n, array_position(string_to_array(p_type, ' '), 'x') AS p, num_nulls(NULL, p_size, NULL) AS nn, num_nonnulls(p_size, NULL) AS nz FROM part",
          "SELECT p_partkey, replace(p_type, ' ', '+') AS a, len(string_split(p_type, ' ')) AS n, CAST(list_position(string_split(p_type, ' '), 'x') AS BIGINT) AS p, 2 AS nn, 1 AS nz FROM part")
@@ -61,3 +61,8 @@ postgres("casts", "SELECT l_orderkey, l_linenumber, int4(l_quantity) AS i, text(
 postgres("ranges_and_networks", "SELECT s_suppkey, lower_inc(r) AS li, upper_inf(r) AS ui, isempty(r) AS e, host(a) AS h, masklen(a) AS m, family(a) AS f FROM (SELECT s_suppkey, named_struct('lo', s_nationkey, 'hi', 12, 'lower_inc', true, 'upper_inc', false) AS r, concat('10.0.', s_nationkey, '.0/24') AS a FROM supplier)",
          "SELECT s_suppkey, true AS li, false AS ui, s_nationkey >= 12 AS e, '10.0.' || s_nationkey || '.0' AS h, 24 AS m, 4 AS f FROM supplier")
 postgres("full_text", "SELECT item_id, size(to_tsvector(text)) AS n FROM benchmark", "SELECT item_id, CAST(len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) AS INT) AS n FROM benchmark")
+
+sqlite("edges", "SELECT r_regionkey, 7 / 2 AS a, 1 / 0 AS b, date('2020-01-31', '+1 month') AS c, upper('\u00e9a') AS d, json_extract('{\"a\":1,\"b\":\"x\"}', '$.a', '$.b', '$.c') AS e, (r_regionkey + 7) / 2 AS f, 3 * r_regionkey / 2 AS g, r_regionkey / 2.0 AS h, r_regionkey / 0 AS i FROM region",
+       "SELECT r_regionkey, CAST(3 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, '2020-03-02' AS c, '\u00e9A' AS d, '[1,\"x\",null]' AS e, CAST((r_regionkey + 7) // 2 AS DOUBLE) AS f, CAST(3 * r_regionkey // 2 AS DOUBLE) AS g, CAST(r_regionkey / 2.0 AS DOUBLE) AS h, CAST(NULL AS DOUBLE) AS i FROM region".replace("CAST(r_regionkey / 2.0 AS DOUBLE) AS h", "CAST(r_regionkey AS DOUBLE) / 2 AS h"))
+postgres("edges", "SELECT r_regionkey, encode(sha256('abc'), 'hex') AS a, left('hello', -2) AS b, right('hello', -2) AS c, substr('hello', -1, 3) AS d, initcap('hello-world foo') AS e, 7 / 2 AS f, age(TIMESTAMP '2020-02-01 00:00:00', TIMESTAMP '2020-01-01 00:00:00') AS g, array_to_string(ARRAY[1, NULL, 3], ',', '*') AS h, network('10.1.2.3/16') AS i, netmask('10.1.2.3/20') AS j, ts_headline('The cat sat', websearch_to_tsquery('CAT')) AS k, age(TIMESTAMP '2021-03-03 00:00:00', TIMESTAMP '2020-01-01 00:00:00') AS l FROM region",
+         "SELECT r_regionkey, sha256('abc') AS a, 'hel' AS b, 'llo' AS c, 'h' AS d, 'Hello-World Foo' AS e, CAST(3 AS BIGINT) AS f, '1 mon' AS g, '1,*,3' AS h, '10.1.0.0/16' AS i, '255.255.240.0' AS j, 'The <b>cat</b> sat' AS k, '1 year 2 mons 2 days' AS l FROM region")
