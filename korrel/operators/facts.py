@@ -123,35 +123,36 @@ class Facts:
         return self.refs.agg(F.count("*").alias("refs"), F.count_if(resolved).alias("resolved"), F.count_if(~resolved & F.col("reason").isin(*OUTSIDE)).alias("outside"), F.count_if(~resolved & ~F.col("reason").isin(*OUTSIDE)).alias("unresolved"))
 
     def test_reach(self, subjects: DataFrame, is_test: Column, limit: int = 8) -> DataFrame:
-        """(n, state): tested if some caller's caller is in a test file."""
+        """(n, state): tested if some caller's caller is in a test file; unknown if ``limit`` steps didn't tell."""
         edges = self.edges().filter(F.col("kind").isin(*INVOKING)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         start = subjects.select(node().alias("n"))
         tests = self.defs.join(self.files.filter(is_test), "file_id", "left_semi").select(node().alias("n"))
-        reached = closure_pairs(edges, start, limit)
-        hit = reached.join(tests, "n", "left_semi").select(F.col("start").alias("n")).distinct().withColumn("state", F.lit("tested"))
-        return start.join(hit, "n", "left").select("n", F.coalesce("state", F.lit("untested")).alias("state"))
+        reached, rest = closure_pairs(edges, start, limit)
+        hit = reached.join(tests, "n", "left_semi").select(F.col("start").alias("n")).distinct().withColumn("tested", F.lit(True))
+        open_ = rest.select(F.col("start").alias("n")).distinct().withColumn("open", F.lit(True))
+        state = F.when(F.col("tested"), "tested").when(F.col("open"), "unknown").otherwise("untested")
+        return start.join(hit, "n", "left").join(open_, "n", "left").select("n", state.alias("state"))
 
 
-def closure(edges: DataFrame, start: DataFrame, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(n): what (src, dst) edges reach from ``start`` (n), with the start."""
     seen = frontier = checkpointed(start.select("n").distinct())
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         frontier = checkpointed(edges.join(frontier, edges["src"] == frontier["n"], "left_semi").select(F.col("dst").alias("n")).distinct().join(seen, "n", "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = seen.union(frontier)
     return seen
 
 
-def closure_pairs(edges: DataFrame, start: DataFrame, rounds: int = 8) -> DataFrame:
-    """(start, n): what each start reaches, itself too."""
+def closure_pairs(edges: DataFrame, start: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(start, n): what each start reaches in so many rounds, itself too; and those of the last round, from which
+    nobody has gone on."""
     seen = frontier = checkpointed(start.select(F.col("n").alias("start"), "n").distinct())
     for _ in range(rounds):
         frontier = checkpointed(frontier.join(edges, frontier["n"] == edges["src"]).select("start", F.col("dst").alias("n")).distinct().join(seen, ["start", "n"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    return seen
+    return seen, frontier
 
 
 def depths(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
@@ -174,11 +175,16 @@ def delta(before: DataFrame, after: DataFrame, keys: list[str], digest: str) ->
     return b.join(a, keys, "full").select(*keys, change.alias("change")).filter("change is not null")
 
 
-def routes(mounts: DataFrame, handlers: DataFrame, rounds: int = 16) -> DataFrame:
-    """(handler, route): prefixes composed along mounts (parent, child, prefix) from the root '' on."""
-    reached = frontier = mounts.filter("parent = ''").select(F.col("child").alias("router"), F.col("prefix").alias("at"))
-    for _ in range(rounds):
-        frontier = checkpointed(frontier.join(mounts, frontier["router"] == mounts["parent"]).select(F.col("child").alias("router"), F.concat("at", "prefix").alias("at")))
+def routes(mounts: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(handler, route): prefixes composed along mounts (parent, child, prefix) from the root '' on.
+
+    A router that is mounted below itself is left out there: its routes would have no end.
+    """
+    above = F.array().cast("array<string>")
+    reached = frontier = mounts.filter("parent = ''").select(F.col("child").alias("router"), F.col("prefix").alias("at"), F.array_append(above, F.col("child").cast("string")).alias("above"))
+    while True:
+        below = frontier.join(mounts, frontier["router"] == mounts["parent"]).filter(~F.array_contains("above", F.col("child").cast("string")))
+        frontier = checkpointed(below.select(F.col("child").alias("router"), F.concat("at", "prefix").alias("at"), F.array_append("above", F.col("child").cast("string")).alias("above")))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

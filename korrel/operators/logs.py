@@ -10,6 +10,11 @@ CACHE_WRITE, CACHE_WRITE_HOUR = 1.25, 2.0
 MESSAGE = "type string, timestamp string, message struct<id:string,model:string,content:array<struct<type:string,id:string,name:string>>,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,cache_creation:struct<ephemeral_1h_input_tokens:bigint>>>"
 
 
+def append_lines(df: DataFrame, folder: str) -> None:
+    """Append rows to a folder of NDJSON files; nulls are left out of their lines."""
+    df.write.mode("append").json(folder)
+
+
 def read_lines(lines: DataFrame, column: str = "value", schema: str = MESSAGE) -> DataFrame:
     """NDJSON rows; blank and malformed lines are skipped. Other columns stay."""
     kept = [c for c in lines.columns if c != column]

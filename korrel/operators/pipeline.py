@@ -6,11 +6,13 @@ and collections out of bounds are refused by name. Hidden fields are dropped fir
 
 from __future__ import annotations
 
+from itertools import count as counting
 import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from korrel.operators.expressions import Scope, compile_expression, compile_filter, literal
 from korrel.plans.errors import CommandInvalid, HiddenFieldUsed, MaskedFieldUsed, OperatorDenied, TableNotFound, TableRefused
@@ -278,8 +280,32 @@ def _ordered(c: Column, keys: list[tuple[Column, int]], n: Column | int, last: b
     return F.slice(rows, F.lit(1), F.lit(n).cast("int"))
 
 
-def accumulator(op: str, a, scope: Scope, order: list[tuple[Column, int]]) -> Column:
-    """An accumulator over a group. ``order`` is that of the documents before it."""
+def _end(c: Column, keys: list[tuple[Column, int]], last: bool = False) -> Column:
+    """The first or last value by some order; where all keys go one way, without collecting the group."""
+    ways = {way for _, way in keys}
+    if len(ways) > 1:
+        return F.element_at(_ordered(c, keys, 1, last), 1)
+    pick = F.max_by if (ways == {1}) == last else F.min_by
+    return pick(F.struct(c.alias("v")), F.struct(*(k.alias(f"k{i}") for i, (k, _) in enumerate(keys))))["v"]
+
+
+def _merged(c: Column, order: list[tuple[Column, int]], kind: T.DataType) -> Column:
+    """Objects merged field by field: of each the last value that is there, by the documents' order."""
+    if not isinstance(kind, T.StructType):
+        raise CommandInvalid("$mergeObjects merges objects")
+
+    def last(name: str) -> Column:
+        field = c.getField(name)
+        if not order:
+            return F.last(field, ignorenulls=True)
+        there = [(F.when(field.isNotNull(), 1), 1)] if {w for _, w in order} == {1} else [(F.when(field.isNull(), 1), -1)]
+        return _end(field, [*there, *order], True)
+
+    return F.when(F.count(c) > 0, F.struct(*(last(f.name).alias(f.name) for f in kind.fields)))
+
+
+def accumulator(op: str, a, scope: Scope, order: list[tuple[Column, int]], df: DataFrame | None = None) -> Column:
+    """An accumulator over a group. ``order`` is that of the documents before it, which are ``df``."""
     go = lambda e: compile_expression(e, scope)
     sort_of = lambda spec: [(scope.field(k), w) for k, w in spec.items()]
     if op == "$sum":
@@ -293,7 +319,7 @@ def accumulator(op: str, a, scope: Scope, order: list[tuple[Column, int]]) -> Co
     if op in ("$first", "$last"):
         if not order:
             return (F.first if op == "$first" else F.last)(go(a))
-        return F.element_at(_ordered(go(a), order, 1, op == "$last"), 1)
+        return _end(go(a), order, op == "$last")
     if op in ("$firstN", "$lastN"):
         return _ordered(go(a["input"]), order or [(F.lit(0), 1)], a["n"], op == "$lastN")
     if op in ("$maxN", "$minN"):
@@ -301,7 +327,7 @@ def accumulator(op: str, a, scope: Scope, order: list[tuple[Column, int]]) -> Co
         rows = F.sort_array(F.collect_list(value), op == "$minN")
         return F.slice(rows, 1, a["n"])
     if op in ("$top", "$bottom"):
-        return F.element_at(_ordered(go(a["output"]), sort_of(a["sortBy"]), 1, op == "$bottom"), 1)
+        return _end(go(a["output"]), sort_of(a["sortBy"]), op == "$bottom")
     if op in ("$topN", "$bottomN"):
         return _ordered(go(a["output"]), sort_of(a["sortBy"]), a["n"], op == "$bottomN")
     if op == "$push":
@@ -309,7 +335,9 @@ def accumulator(op: str, a, scope: Scope, order: list[tuple[Column, int]]) -> Co
     if op == "$addToSet":
         return F.collect_set(go(a))
     if op == "$mergeObjects":
-        return F.element_at(F.collect_list(go(a)), -1)
+        if df is None:
+            raise OperatorDenied("$mergeObjects outside of groups")
+        return _merged(go(a), order, df.select(go(a)).schema[0].dataType)
     if op == "$median":
         return F.percentile_approx(_number(go(a["input"])), 0.5, 10000)
     if op == "$percentile":
@@ -320,13 +348,13 @@ def accumulator(op: str, a, scope: Scope, order: list[tuple[Column, int]]) -> Co
     raise OperatorDenied(op)
 
 
-def _outputs(spec: dict, scope: Scope, order=()) -> list[Column]:
+def _outputs(spec: dict, scope: Scope, order=(), df: DataFrame | None = None) -> list[Column]:
     out = []
     for name, e in spec.items():
         if not isinstance(e, dict) or len(e) != 1:
             raise CommandInvalid(f"{name} is one accumulator")
         op, a = next(iter(e.items()))
-        out.append(accumulator(op, a, scope, list(order)).alias(name))
+        out.append(accumulator(op, a, scope, list(order), df).alias(name))
     return out
 
 
@@ -335,7 +363,7 @@ def _group(self, df, spec, state, order=()):
     if "_id" not in spec:
         raise CommandInvalid("$group has an _id")
     key = compile_expression(spec["_id"], scope).alias("_id")
-    outputs = _outputs({k: v for k, v in spec.items() if k != "_id"}, scope, order)
+    outputs = _outputs({k: v for k, v in spec.items() if k != "_id"}, scope, order, df)
     state.fresh()
     if spec["_id"] is None:
         return df.agg(F.count("*").alias("__n"), *outputs).filter("__n > 0").select(F.lit(None).cast("string").alias("_id"), *(F.col(f"`{k}`") for k in spec if k != "_id"))
@@ -460,13 +488,13 @@ def _graph_lookup(self, df, spec, state):
     other, name = self.foreign(spec["from"]), spec["as"]
     if "restrictSearchWithMatch" in spec:
         other = other.filter(compile_filter(spec["restrictSearchWithMatch"], Scope(other.columns)))
-    depth = spec.get("maxDepth", 16)
+    depth = spec.get("maxDepth")
     start = compile_expression(spec["startWith"], state.scope(df))
     nodes = other.select(F.col(spec["connectToField"]).alias("__to"), F.col(spec["connectFromField"]).alias("__from"), F.struct(*other.columns).alias("__doc"))
     keyed = df.withColumn("__start", start)
     frontier = keyed.select("__start").distinct().withColumn("__at", F.col("__start"))
     seen = None
-    for level in range(depth + 1):
+    for level in counting() if depth is None else range(depth + 1):
         found = frontier.join(nodes, F.col("__at") == F.col("__to")).select("__start", "__to", "__from", "__doc", F.lit(level).cast("long").alias("__depth"))
         if seen is not None:
             found = found.join(seen.select("__start", "__to").distinct(), ["__start", "__to"], "left_anti")

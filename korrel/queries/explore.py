@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from korrel.operators import explore as X
+from korrel.operators.logs import append_lines
 from korrel.operators.text import token_estimate
 from korrel.queries.registry import query
-from korrel.session import load
+from korrel.session import load, shared_folder
 
 
 @query("map_region_scores", "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS score, n FROM (SELECT c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place, CAST(count(*) OVER (PARTITION BY c_mktsegment) AS BIGINT) AS n FROM customer) WHERE place <= 3 GROUP BY c_mktsegment, n")
@@ -48,11 +49,10 @@ def evidence(spark, sf_dir):
 @query("log_write_read", "SELECT event_id, event_type, value FROM events")
 def write_read(spark, sf_dir):
     """Events appended as NDJSON in two writes and read back."""
-    import tempfile
     import uuid
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='korrel-log-')}/korrel-log-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/korrel-log-{uuid.uuid4().hex}"
     rows = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
     for part in (0, 1):
-        rows.filter(F.col("event_id") % 2 == part).write.mode("append").json(folder)
+        append_lines(rows.filter(F.col("event_id") % 2 == part), folder)
     return spark.read.schema(rows.schema).json(folder)

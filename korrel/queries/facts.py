@@ -9,7 +9,7 @@ from korrel.queries.registry import query
 from korrel.session import load
 
 #: A call graph of parts and suppliers: part p calls supplier s where a line item has both.
-_EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_quantity > 45)"
+_EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem)"
 
 
 def _facts(spark, sf_dir) -> G.Facts:
@@ -50,9 +50,10 @@ def references(spark, sf_dir):
     return _facts(spark, sf_dir).references("f5").sites.select("path", "start", "kind")
 
 
-@query("facts_unknown", f"WITH {_D} SELECT CAST(k AS INT) AS start, 'same_name' AS why FROM d WHERE (k + 1) % 97 = 5 AND k + 1 NOT IN (SELECT k FROM d) AND f % 50 <> 0")
+@query("facts_unknown", f"""WITH RECURSIVE {_D}, i AS (SELECT DISTINCT c.sf AS file, d.f AS target FROM c JOIN d ON d.k = c.dst WHERE c.sf <> d.f), w(f) AS (SELECT f FROM d WHERE k % 97 = 5 UNION SELECT i.file FROM w JOIN i ON i.target = w.f)
+SELECT CAST(k AS INT) AS start, 'same_name' AS why FROM d WHERE (k + 1) % 97 = 5 AND k + 1 NOT IN (SELECT k FROM d) AND f % 50 <> 0 UNION ALL SELECT CAST(k AS INT), 'dynamic_key' FROM d WHERE k % 11 = 0 AND f IN (SELECT f FROM w) AND f % 50 <> 0""")
 def unknown(spark, sf_dir):
-    return _facts(spark, sf_dir).callers("f5").unknown.filter("why = 'same_name'").select("start", "why")
+    return _facts(spark, sf_dir).callers("f5").unknown.select("start", "why")
 
 
 @query("facts_stats", f"WITH {_D} SELECT CAST(count(*) AS BIGINT) AS refs, CAST((SELECT count(*) FROM c) AS BIGINT) AS resolved, CAST(0 AS BIGINT) AS outside, CAST(count(*) - (SELECT count(*) FROM c) AS BIGINT) AS unresolved FROM d")
@@ -74,7 +75,7 @@ def refused(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b")).distinct()
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b")).distinct()
     return rows.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(rows.select("b", "a"))
 
 
@@ -88,7 +89,7 @@ def closure(spark, sf_dir):
     return G.closure(_graph(spark, sf_dir), spark.createDataFrame([(1,)], "n long"))
 
 
-@query("facts_test_reach", "WITH RECURSIVE d AS (SELECT o_orderkey AS k, o_custkey AS f, o_orderstatus AS s FROM orders), w(start, k, n) AS (SELECT k, k, 0 FROM d WHERE k % 97 = 5 UNION SELECT w.start, d.k, n + 1 FROM w JOIN d ON d.k + 1 = w.k AND d.s <> 'P' WHERE n < 8) SELECT CAST(start AS BIGINT) AS slot, CASE WHEN max((f % 10 = 0)::INT) = 1 THEN 'tested' ELSE 'untested' END AS state FROM w JOIN d USING (k) GROUP BY start")
+@query("facts_test_reach", "WITH RECURSIVE d AS (SELECT o_orderkey AS k, o_custkey AS f, o_orderstatus AS s FROM orders), w(start, k, n) AS (SELECT k, k, 0 FROM d WHERE k % 97 = 5 UNION SELECT w.start, d.k, n + 1 FROM w JOIN d ON d.k + 1 = w.k AND d.s <> 'P' WHERE n < 8) SELECT CAST(start AS BIGINT) AS slot, CASE WHEN max((f % 10 = 0)::INT) = 1 THEN 'tested' WHEN max(n) >= 8 THEN 'unknown' ELSE 'untested' END AS state FROM w JOIN d USING (k) GROUP BY start")
 def test_reach(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     found = facts.test_reach(facts.defined_at("f5"), F.col("file_id") % 10 == 0)
@@ -103,10 +104,10 @@ def delta(spark, sf_dir):
     return G.delta(before, after, ["k"], "h")
 
 
-@query("facts_users_ranking", "WITH u AS (SELECT l_suppkey AS dst, l_partkey AS src, count(*) AS uses FROM lineitem WHERE l_suppkey <= 10 GROUP BY 1, 2) SELECT dst, src, CAST(uses AS BIGINT) AS uses FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY uses DESC, src) AS place FROM u) WHERE place <= 4")
+@query("facts_users_ranking", "WITH u AS (SELECT l_suppkey AS dst, l_partkey AS src, count(*) AS uses FROM lineitem GROUP BY 1, 2) SELECT dst, src, CAST(uses AS BIGINT) AS uses FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY uses DESC, src) AS place FROM u) WHERE place <= 4")
 def users(spark, sf_dir):
     edges = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return G.users_ranking(edges, load(spark, sf_dir, "supplier").filter("s_suppkey <= 10").select(F.col("s_suppkey").alias("n")))
+    return G.users_ranking(edges, load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n")))
 
 
 @query("facts_routes", "SELECT c_name AS handler, '/' || r_name || '/' || n_name || '/c/' || c_custkey AS route FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -53,7 +53,7 @@ def generated_hidden(spark, sf_dir):
 
 
 @query("guard_refusals", """SELECT * FROM (VALUES (1, 'MaskedColumnUsed'), (2, 'MaskedColumnUsed'), (3, 'MaskedColumnUsed'), (4, 'MaskedColumnUsed'), (5, 'MaskedColumnUsed'),
-  (6, 'TableRefused'), (7, 'TableRefused'), (8, 'FunctionDenied'), (9, 'MultipleStatements'), (10, 'StatementNotRead'), (11, 'EmptyStatement'), (12, 'TableNotFound'), (13, 'UnsupportedFrame')) t(n, refusal)""")
+  (6, 'TableRefused'), (7, 'TableRefused'), (8, 'FunctionDenied'), (9, 'MultipleStatements'), (10, 'StatementNotRead'), (11, 'EmptyStatement'), (12, 'TableNotFound'), (13, 'UnsupportedFrame'), (14, 'TableRefused'), (15, 'FunctionDenied'), (16, 'FunctionDenied'), (17, 'GuardedColumnInWrite'), (18, 'GuardedColumnInWrite'), (19, 'GuardedColumnInWrite'), (20, 'FunctionDenied')) t(n, refusal)""")
 def refusals(spark, sf_dir):
     """Which refusal each of some statements meets."""
     from korrel.plans.errors import Refusal
@@ -69,6 +69,18 @@ def refusals(spark, sf_dir):
             told.append((n, "none"))
         except Refusal as refusal:
             told.append((n, refusal.name))
+    for sql in (f"SELECT * FROM IDENTIFIER('parquet.`{sf_dir}/supplier.parquet`')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')", "SELECT IDENTIFIER('input_file_name')() FROM orders"):
+        try:
+            db.frame(sql)
+            told.append((len(told) + 1, "none"))
+        except Refusal as refusal:
+            told.append((len(told) + 1, refusal.name))
+    for value in ("to_json(struct(*))", "`c_name`", "c_name||'x'", "reflect('java.lang.System', 'getProperty', 'user.home')"):
+        try:
+            Writer(db, WriteGrant()).update("customer", {"c_mktsegment": value})
+            told.append((len(told) + 1, "none"))
+        except Refusal as refusal:
+            told.append((len(told) + 1, refusal.name))
     return spark.createDataFrame(told, "n int, refusal string")
 
 
@@ -92,7 +104,7 @@ def count(spark, sf_dir):
 @query("db_sample")
 def sample(spark, sf_dir):
     """The first rows of a table, as many as the sample asks for."""
-    return load(spark, sf_dir, "orders").limit(20)
+    return Database.of(spark, sf_dir, "orders").sampled("orders", 20)
 
 
 @query("db_explain")

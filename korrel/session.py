@@ -34,12 +34,23 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is unset, as in tests, a temporary folder; on a cluster that is refused, as
+    executors would each write to their own disk."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        import tempfile
+
+        place = tempfile.mkdtemp(prefix="korrel-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed now, its lineage cut: kept in ``spark.checkpoint.dir``, or where that is unset, as in
-    tests, in a temporary folder."""
+    """``df`` computed now, its lineage cut: kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="korrel-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
