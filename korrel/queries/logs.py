@@ -91,9 +91,9 @@ def pick(spark, sf_dir):
 _LEDGER = "r AS (SELECT 'd' || event_id // 3 AS id, event_id AS pos, event_type AS text, CASE WHEN event_id % 10 = 0 THEN 'd' || event_id // 6 END AS supersedes FROM events), l AS (SELECT id, max(pos) AS pos, max_by(text, pos) AS text, arg_max_null(supersedes, pos) AS supersedes FROM r GROUP BY 1)"
 
 
-def _ledger(spark, sf_dir):
+def _ledger(spark, sf_dir, by=6):
     e = load(spark, sf_dir, "events")
-    return e.select(F.concat(F.lit("d"), F.expr("event_id div 3")).alias("id"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"), F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("d"), F.expr("event_id div 6"))).alias("supersedes"))
+    return e.select(F.concat(F.lit("d"), F.expr("event_id div 3")).alias("id"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"), F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("d"), F.expr(f"event_id div {by}"))).alias("supersedes"))
 
 
 @query("ledger_current", f"WITH {_LEDGER} SELECT id, pos, text FROM l WHERE id NOT IN (SELECT supersedes FROM l WHERE supersedes IS NOT NULL)")
@@ -101,9 +101,9 @@ def ledger(spark, sf_dir):
     return L.fold_ledger(_ledger(spark, sf_dir))[0].select("id", "pos", "text")
 
 
-@query("ledger_conflicts", f"WITH {_LEDGER} SELECT supersedes AS id, CAST(count(*) AS BIGINT) AS successors FROM l WHERE supersedes IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("ledger_conflicts", f"WITH {_LEDGER.replace('// 6', '// 60')} SELECT supersedes AS id, CAST(count(*) AS BIGINT) AS successors FROM l WHERE supersedes IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def conflicts(spark, sf_dir):
-    return L.fold_ledger(_ledger(spark, sf_dir))[1]
+    return L.fold_ledger(_ledger(spark, sf_dir, 60))[1]
 
 
 def _receipts(spark, sf_dir):
@@ -124,9 +124,9 @@ def worst(spark, sf_dir):
     return L.replay(_receipts(spark, sf_dir), "path", "seq", "before", "after").groupBy("path").agg(L.worst(F.col("verdict")).alias("verdict"))
 
 
-@query("verify_uncovered", "SELECT 'f' || c_custkey AS path, 'unverified' AS verdict FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("verify_uncovered", "SELECT 'f' || (c_custkey + 10) AS path, 'unverified' AS verdict FROM customer WHERE c_custkey + 10 NOT IN (SELECT o_custkey FROM orders)")
 def uncovered(spark, sf_dir):
-    changed = load(spark, sf_dir, "customer").select(F.concat(F.lit("f"), "c_custkey").alias("path"))
+    changed = load(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey") + 10).alias("path"))
     return L.uncovered(changed, _receipts(spark, sf_dir), "path")
 
 

@@ -12,9 +12,9 @@ statement("rel_left_join", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT)
 statement("rel_right_join", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000 GROUP BY c_custkey")
 statement("rel_full_join", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
 statement("rel_semi_join", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
-statement("rel_anti_join", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+statement("rel_anti_join", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_orderstatus = 'P')")
 statement("rel_exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s.s_suppkey AND l_quantity > 49)")
-statement("rel_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+statement("rel_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 statement("rel_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 statement("rel_theta_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 statement("rel_using_join", "SELECT n_name, CAST(count(*) AS BIGINT) AS n FROM nation JOIN (SELECT c_nationkey AS n_nationkey FROM customer) c USING (n_nationkey) GROUP BY n_name")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korrel.operators import rules as R
 from korrel.queries.registry import query
-from korrel.queries.text import LINES
+from korrel.queries.text import LINES, PLANTED_LINES, planted
 from korrel.session import load
 
 
@@ -15,6 +15,12 @@ def _scan(name: str, rule: str, where: str) -> None:
     query(f"rule_{name}", sql)(lambda spark, sf_dir: R.check(load(spark, sf_dir, "documents"), "doc_id", "text", rule))
 
 
+def _remarks(name: str, rule: str, where: str) -> None:
+    """As ``_scan``, over documents that have remarks."""
+    sql = f"WITH {PLANTED_LINES} SELECT doc_id, '{rule}' AS rule, CAST(line_no AS INT) AS line_no, line AS text FROM l WHERE {where}"
+    query(f"rule_{name}", sql)(lambda spark, sf_dir: R.check(planted(spark, sf_dir), "doc_id", "text", rule))
+
+
 def _whole(name: str, rule: str, where: str) -> None:
     sql = f"SELECT doc_id, '{rule}' AS rule, 1 AS line_no, '' AS text FROM documents WHERE {where}"
     query(f"rule_{name}", sql)(lambda spark, sf_dir: R.check(load(spark, sf_dir, "documents"), "doc_id", "text", rule))
@@ -23,8 +29,8 @@ def _whole(name: str, rule: str, where: str) -> None:
 _scan("forbid", "forbid:clown", "contains(line, 'clown')")
 _scan("forbid_any_case", "forbid_any_case:IDIOT", "contains(lower(line), 'idiot')")
 _scan("forbid_regex", "forbid_regex:[0-9]{3}-[0-9]{2,4}", "regexp_matches(line, '[0-9]{3}-[0-9]{2,4}')")
-_scan("no_todo", "no_todo", r"regexp_matches(line, '(?i)\b(todo|fixme|xxx)\b')")
-_scan("no_comment", "no_comment", r"regexp_matches(line, '^\s*(//|#|/\*|--)')")
+_remarks("no_todo", "no_todo", r"regexp_matches(line, '(?i)\b(todo|fixme|xxx)\b')")
+_remarks("no_comment", "no_comment", r"regexp_matches(line, '^\s*(//|#|/\*|--)')")
 _scan("no_literal", "no_literal:string", """regexp_matches(line, '"[^"]*"|''[^'']*''')""")
 _scan("max_line", "max_line:400", "length(line) > 400")
 _whole("require", "require:the", "NOT contains(text, 'the')")
