@@ -6,6 +6,8 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,25 @@ def merkle_root(leaves: DataFrame, order: str, digest: str = "leaf") -> str:
 
     Levels are DataFrames of (i, h), each half as long as the one below, kept in the shared folder.
     """
-    spark = leaves.sparkSession
-    indexed = leaves.select(order, digest).orderBy(order).select(digest).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    level = checkpointed(spark.createDataFrame(indexed, "i long, h string"))
-    count = level.count()
+    def numbered(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), batch.column(0)], names=["part", "k", "h"])
+            at += n
+
+    dealt = leaves.select(F.col(order).alias("o"), F.col(digest).alias("h"))
+    dealt = dealt.repartitionByRange("o").sortWithinPartitions("o").select("h")
+    rows = checkpointed(dealt.mapInArrow(numbered, "part int, k long, h string"))
+    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())  # one row a partition
+    count, bases = 0, []
+    for part, size in sizes:
+        bases.append((part, count))
+        count += size
     if not count:
         return EMPTY_ROOT
+    bases = F.broadcast(leaves.sparkSession.createDataFrame(bases, "part int, base long"))
+    level = checkpointed(rows.join(bases, "part").select((F.col("base") + F.col("k")).alias("i"), "h"))
     while count > 1:
         pairs = level.groupBy(F.expr("i div 2").alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"), F.count("*").alias("n"))
         both = F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex("a"), F.unhex("b")), 256)
@@ -50,6 +65,34 @@ def merkle_of(digests: list[str]) -> str:
     return hashlib.sha256(b"\x01" + bytes.fromhex(merkle_of(digests[:k])) + bytes.fromhex(merkle_of(digests[k:]))).hexdigest()
 
 
+def _node(a: str, b: str) -> str:
+    return hashlib.sha256(b"\x01" + bytes.fromhex(a) + bytes.fromhex(b)).hexdigest()
+
+
+def audit_path(digests: list[str], index: int) -> list[str]:
+    """What else is hashed on the way from a leaf to the root, from the leaf up."""
+    if len(digests) < 2:
+        return []
+    k = 1 << ((len(digests) - 1).bit_length() - 1)
+    if index < k:
+        return [*audit_path(digests[:k], index), merkle_of(digests[k:])]
+    return [*audit_path(digests[k:], index - k), merkle_of(digests[:k])]
+
+
+def updated_root(digest: str, index: int, count: int, path: list[str]) -> str:
+    """The root once leaf ``index`` of ``count`` is ``digest``, by the leaf's audit path alone."""
+    sides = []  # whether the leaf is in the left part, from the root down
+    while count > 1:
+        k = 1 << ((count - 1).bit_length() - 1)
+        sides.append(index < k)
+        index, count = (index, k) if index < k else (index - k, count - k)
+    if len(sides) != len(path):
+        raise ValueError("the path isn't this leaf's")
+    for left, other in zip(reversed(sides), path):
+        digest = _node(digest, other) if left else _node(other, digest)
+    return digest
+
+
 def canonical(value) -> str:
     """RFC 8785 for values without fractions: keys by UTF-16 order, no white space."""
     if isinstance(value, bool) or value is None or isinstance(value, (int, str)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korrel.plans.errors import SubjectNotFound
+
 SLACK_MS = 5_000
 CACHE_WRITE, CACHE_WRITE_HOUR = 1.25, 2.0
 MESSAGE = "type string, timestamp string, message struct<id:string,model:string,content:array<struct<type:string,id:string,name:string>>,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,cache_creation:struct<ephemeral_1h_input_tokens:bigint>>>"
@@ -63,6 +65,34 @@ def cost() -> Column:
     return (paid_in * p["input_price"] + F.col("output") * p["output_price"] + F.col("cache_read") * p["cache_price"]) / 1e6
 
 
+def pick_session(sessions: DataFrame, name: str, last: str, wanted: str | None = None) -> str:
+    """The session of that name, else the only one whose name begins so; without a wish the one that was last active."""
+    if wanted is None:
+        found = sessions.orderBy(F.desc(last), F.desc(name)).select(F.col(name).cast("string")).first()
+        if found is None:
+            raise SubjectNotFound("no session")
+        return found[0]
+    rows = sessions.select(F.col(name).cast("string").alias("s")).filter(F.col("s").startswith(wanted)).distinct()
+    found = [r["s"] for r in rows.orderBy(F.col("s") != wanted, "s").limit(2).collect()]
+    if not found or len(found) > 1 and found[0] != wanted:
+        raise SubjectNotFound(f"{wanted}: {'several sessions begin so' if found else 'no session'}")
+    return found[0]
+
+
+def as_of_join(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str) -> DataFrame:
+    """Each row of ``left`` with the latest row of ``right`` of its key that isn't later; nulls where there is none.
+
+    Both sides are sorted together once for each key; of several right rows at one time any one is taken.
+    """
+    rest = [c for c in right.columns if c not in key]
+    r = right.select(*key, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*rest).alias("__r"))
+    own = F.struct(*left.columns).alias("__l")
+    l = left.select(*key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), own)  # noqa: E741
+    order = Window.partitionBy(*key).orderBy("__t", "__side")
+    both = r.unionByName(l, allowMissingColumns=True).withColumn("__r", F.last("__r", ignorenulls=True).over(order))
+    return both.filter("__side = 1").select("__l.*", "__r.*")
+
+
 def interval_join(events: DataFrame, ts: str, windows: DataFrame, start: str, end: str, key: list[str], slack: Column) -> DataFrame:
     """Events inside [start, end + slack] of a window with the same key.
 

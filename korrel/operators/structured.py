@@ -32,17 +32,43 @@ def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.select(key, F.regexp_replace("line", r"^#+\s+|\s+#*\s*$", "").alias("heading"), "level", "lines")
 
 
-_CASES = "testcase array<struct<_classname:string,_name:string,failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>,skipped:array<string>>>"
+_CASE = "testcase array<struct<_classname:string,_name:string,failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>,skipped:array<string>>>"
+_SUITES = f"{_CASE}, testsuite array<struct<{_CASE.replace('testcase ', 'testcase:', 1)}>>"
 
 
 def junit_cases(df: DataFrame, key: str, xml: str) -> DataFrame:
-    """(key, suite, name, result) from JUnit reports."""
-    case = F.explode(F.from_xml(xml, _CASES)["testcase"])
-    rows = df.select(key, case.alias("c"))
+    """(key, suite, name, result) from JUnit reports: a suite, or suites below a common root."""
+    found = F.from_xml(xml, _SUITES)
+    none = F.array().cast(df.select(found["testcase"]).schema[0].dataType)
+    below = F.flatten(F.transform(F.coalesce(found["testsuite"], F.array().cast(df.select(found["testsuite"]).schema[0].dataType)), lambda x: F.coalesce(x["testcase"], none)))
+    rows = df.select(key, F.explode(F.concat(F.coalesce(found["testcase"], none), below)).alias("c"))
     result = F.when(F.size("c.failure") > 0, "failed").when(F.size("c.error") > 0, "failed").when(F.size("c.skipped") > 0, "skipped").otherwise("passed")
     return rows.select(key, F.col("c._classname").alias("suite"), F.col("c._name").alias("name"), result.alias("result"))
 
 
+_TRX = "Results struct<UnitTestResult:array<struct<_testName:string,_outcome:string>>>"
+
+
+def trx_cases(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, suite, name, result) from TRX reports; the suite is what the name has before its last dot."""
+    found = F.from_xml(xml, _TRX, {"ignoreNamespace": "true"})["Results"]["UnitTestResult"]
+    rows = df.select(key, F.explode(found).alias("c"))
+    outcome = F.lower("c._outcome")
+    result = F.when(outcome == "passed", "passed").when(outcome.isin("notexecuted", "inconclusive", "pending"), "skipped").otherwise("failed")
+    name = F.col("c._testName")
+    return rows.select(key, F.regexp_extract(name, r"^(.*)\.[^.]*$", 1).alias("suite"), F.substring_index(name, ".", -1).alias("name"), result.alias("result"))
+
+
+def unittest_cases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, suite, name, result) from the lines that a verbose unittest run prints."""
+    said = r"^(\w+) \(([\w.<>]+)\).* \.\.\. (ok|FAIL|ERROR|skipped|expected failure|unexpected success)"
+    rows = lines(df, key, text).withColumn("state", F.regexp_extract("line", said, 3)).filter("state <> ''")
+    result = F.when(F.col("state").isin("ok", "expected failure"), "passed").when(F.col("state") == "skipped", "skipped").otherwise("failed")
+    name, place = F.regexp_extract("line", said, 1), F.regexp_extract("line", said, 2)
+    # newer versions print the test's own name behind its class
+    return rows.select(key, F.when(place.endswith(F.concat(F.lit("."), name)), F.substring(place, F.lit(1), F.length(place) - F.length(name) - 1)).otherwise(place).alias("suite"), name.alias("name"), result.alias("result"))
+
+
 def judge(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Two runs side by side: what broke, was mended, came, went or stayed."""
     b = before.select(key, "suite", "name", F.col("result").alias("before"))

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korrel.plans.errors import CommandInvalid
+
 SHOWN, SNIPPET = 200, 120
 CODE_CHARS, PROSE_CHARS, SYMBOL_SHARE = 3.2, 3.8, 0.18
 
@@ -234,3 +236,15 @@ def sniff(data: Column) -> Column:
     return (
         F.when(head.startswith("FFFE"), "utf16le").when(head.startswith("FEFF"), "utf16be").when(F.hex(data).rlike("^(..)*00"), "binary").when(utf8, "utf8").otherwise("windows-1254")
     )
+
+
+def filter_kinds(hits: DataFrame, *kinds: str) -> tuple[DataFrame, DataFrame]:
+    """Hits of those kinds (code, comment, string), and (kind, removed) for the others."""
+    if not kinds or not set(kinds) <= KINDS:
+        raise CommandInvalid(f"kinds are {', '.join(sorted(KINDS))}")
+    wanted = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    return hits.filter(wanted), hits.filter(~wanted).groupBy("kind").agg(F.count("*").alias("removed"))
+
+
+#: What a place in a file can be.
+KINDS = {"code", "comment", "string"}

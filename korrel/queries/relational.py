@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from korrel.queries.registry import statement
+from pyspark.sql import functions as F
+
+from korrel.operators.logs import as_of_join
+from korrel.queries.registry import query, statement
+from korrel.session import load
 
 BIG = "CAST(count(*) AS BIGINT)"
 
@@ -52,3 +56,11 @@ statement("win_range_frame", "SELECT p_partkey, CAST(count(*) OVER (PARTITION BY
 statement("win_default_frame", "SELECT c_custkey, round(sum(c_acctbal) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey), 2) AS running FROM customer")
 statement("win_rate_limit", "SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS calls FROM events", "SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS calls FROM events")
 statement("win_filtered", "SELECT event_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS clicks FROM events")
+
+
+@query("rel_asof_join", "SELECT event_id, o_orderkey FROM (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events) e ASOF LEFT JOIN (SELECT o_custkey AS user_id, CAST(o_orderdate AS TIMESTAMP) AS at, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.user_id AND e.ts >= o.at")
+def asof(spark, sf_dir):
+    """Each event with its user's latest order before it."""
+    orders = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("at")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return as_of_join(events, orders, ["user_id"], "ts", "at").select("event_id", "o_orderkey")

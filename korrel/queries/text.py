@@ -190,6 +190,20 @@ def markdown(spark, sf_dir):
     return structured.markdown_sections(load(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
 
 
+@query("source_trx", "SELECT c_custkey, 'clinic.Visits' AS suite, 'adds' AS name, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'passed' END AS result FROM customer")
+def trx(spark, sf_dir):
+    outcome = F.when(F.col("c_acctbal") < 0, "Failed").otherwise("Passed")
+    report = F.concat(F.lit('<TestRun xmlns="urn:t"><Results><UnitTestResult testName="clinic.Visits.adds" outcome="'), outcome, F.lit('"/></Results></TestRun>'))
+    return structured.trx_cases(load(spark, sf_dir, "customer").select("c_custkey", report.alias("xml")), "c_custkey", "xml")
+
+
+@query("source_unittest", "SELECT c_custkey, 'visits.Adding' AS suite, n AS name, CASE WHEN n = 'test_b' THEN 'skipped' WHEN c_acctbal < 0 THEN 'failed' ELSE 'passed' END AS result FROM customer, (VALUES ('test_a'), ('test_b')) t(n)")
+def unittest(spark, sf_dir):
+    state = F.when(F.col("c_acctbal") < 0, "FAIL").otherwise("ok")
+    said = F.concat(F.lit("test_a (visits.Adding.test_a) ... "), state, F.lit("\ntest_b (visits.Adding) ... skipped 'why'\n\nRan 2 tests\n"))
+    return structured.unittest_cases(load(spark, sf_dir, "customer").select("c_custkey", said.alias("text")), "c_custkey", "text")
+
+
 @query("source_test_reports", "SELECT c_custkey, 'a' AS name, 'passed' AS before, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'passed' END AS after, CASE WHEN c_acctbal < 0 THEN 'broken' ELSE 'same' END AS verdict FROM customer")
 def test_reports(spark, sf_dir):
     report = "<testsuite><testcase classname='m' name='a'>{}</testcase></testsuite>"
@@ -203,3 +217,11 @@ def test_reports(spark, sf_dir):
 def coverage(spark, sf_dir):
     doc = F.to_json(F.struct(F.array(F.struct(F.lit("f").alias("functionName"), F.array(F.struct(F.lit(0).alias("startOffset"), F.lit(9).alias("endOffset"), F.when(F.col("value") > 0, 1).otherwise(0).alias("count"))).alias("ranges"))).alias("functions")))
     return structured.coverage(load(spark, sf_dir, "events").select("event_id", doc.alias("json")), "event_id", "json")
+
+
+@query("text_kind_filter", "SELECT item_id, 'comment' AS kind, CAST(NULL AS BIGINT) AS removed FROM benchmark WHERE item_id % 3 = 1 UNION ALL SELECT NULL, kind, CAST(count(*) AS BIGINT) FROM (SELECT CASE item_id % 3 WHEN 0 THEN 'code' ELSE 'string' END AS kind FROM benchmark WHERE item_id % 3 <> 1) GROUP BY kind")
+def kind_filter(spark, sf_dir):
+    """The hits that stay, and how many of which kind went."""
+    hits = load(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.array(*map(F.lit, ("code", "comment", "string"))), (F.col("item_id") % 3 + 1).cast("int")).alias("kind"))
+    kept, removed = T.filter_kinds(hits, "comment")
+    return kept.withColumn("removed", F.lit(None).cast("long")).unionByName(removed, allowMissingColumns=True)

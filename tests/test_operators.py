@@ -289,3 +289,93 @@ def test_streams(spark, tmp_path, small):
     whole = {(r["start"], r["event_type"]): r["n"] for r in E.tumbling(batch).collect()}
     streamed = {(r["start"], r["event_type"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} if (tmp_path / "out").exists() else {}
     assert all(whole[k] == n for k, n in streamed.items())
+
+
+def test_files_and_lines(spark, tmp_path):
+    from korrel.sources.files import list_files, scan_lines
+
+    for name, text in (("a/one.txt", "x\ny\n"), ("a/b/two.txt", "z"), ("ab/three.txt", "u\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = {r["path"]: r["size"] for r in list_files(spark, str(tmp_path)).collect()}
+    assert found == {"a/one.txt": 4, "a/b/two.txt": 1, "ab/three.txt": 2}
+    assert {r["path"] for r in list_files(spark, str(tmp_path), "a").collect()} == {"a/one.txt", "a/b/two.txt"}
+    assert sorted((r["path"].rsplit("/", 1)[1], r["line"]) for r in scan_lines(spark, str(tmp_path)).collect()) == [("one.txt", "x"), ("one.txt", "y"), ("three.txt", "u"), ("two.txt", "z")]
+
+
+def test_sqlite_tables(spark, tmp_path):
+    import sqlite3
+
+    from korrel.sources.files import jdbc_table, sqlite_table
+
+    path = str(tmp_path / "clinic.db")
+    with sqlite3.connect(path) as con:
+        con.execute('CREATE TABLE visits (visit INTEGER PRIMARY KEY, who VARCHAR(9), "minu tes" REAL, scan BLOB)')
+        con.executemany("INSERT INTO visits VALUES (?, ?, ?, ?)", [(k * 3, f"w{k}", k / 2, bytes([k])) for k in range(50)] + [(500, None, 3, None), (501, 7, "long", b"")])
+        con.execute("CREATE TABLE keyed (k TEXT PRIMARY KEY, n INT) WITHOUT ROWID")
+        con.execute("INSERT INTO keyed VALUES ('a', 1)")
+        con.execute("CREATE TABLE vacant (n INT)")
+    rows = [tuple(r) for r in sqlite_table(spark, path, "visits", 5).orderBy("visit").collect()]
+    assert rows[:50] == [(k * 3, f"w{k}", k / 2, bytes([k])) for k in range(50)] and rows[50:] == [(500, None, 3.0, None), (501, "7", None, b"")]
+    assert [tuple(r) for r in sqlite_table(spark, path, "keyed").collect()] == [("a", 1)] and sqlite_table(spark, path, "vacant").count() == 0
+    with pytest.raises(ValueError):
+        sqlite_table(spark, path, "absent")
+    with pytest.raises(Exception, match="(?i)driver"):
+        jdbc_table(spark, "jdbc:postgresql://127.0.0.1/none", "t", "id", (0, 9))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 13])
+def test_one_leaf_updates_the_root(n):
+    import hashlib
+
+    digests = [hashlib.sha256(bytes([k])).hexdigest() for k in range(n)]
+    for k in range(n):
+        path = certify.audit_path(digests, k)
+        assert certify.updated_root(digests[k], k, n, path) == certify.merkle_of(digests)
+        new = hashlib.sha256(b"new").hexdigest()
+        assert certify.updated_root(new, k, n, path) == certify.merkle_of([*digests[:k], new, *digests[k + 1 :]])
+    with pytest.raises(ValueError):
+        certify.updated_root(digests[0], 0, n, ["00" * 32] * 9)
+
+
+def test_reports_of_other_runners(spark):
+    nested = "<testsuites><testsuite><testcase classname='m' name='a'/></testsuite><testsuite><testcase classname='m' name='b'><failure message='x'>y</failure></testcase><testcase classname='n' name='c'><skipped/></testcase></testsuite></testsuites>"
+    rows = spark.createDataFrame([(1, nested), (2, "<testsuite/>")], "k int, t string")
+    assert sorted(map(tuple, structured.junit_cases(rows, "k", "t").collect())) == [(1, "m", "a", "passed"), (1, "m", "b", "failed"), (1, "n", "c", "skipped")]
+    trx = '<TestRun xmlns="http://t"><Results><UnitTestResult testName="P.C.One" outcome="Passed"/><UnitTestResult testName="Two" outcome="NotExecuted"/><UnitTestResult testName="P.C.Three" outcome="Error"/></Results></TestRun>'
+    found = structured.trx_cases(spark.createDataFrame([(1, trx)], "k int, t string"), "k", "t")
+    assert sorted(map(tuple, found.collect())) == [(1, "", "Two", "skipped"), (1, "P.C", "One", "passed"), (1, "P.C", "Three", "failed")]
+    said = "test_a (m.C.test_a) ... ok\ntest_b (m.C)\ntest_c (m.C.test_c) ... FAIL\ntest_d (m.C) ... expected failure\n----\nRan 3 tests"
+    found = structured.unittest_cases(spark.createDataFrame([(1, said)], "k int, t string"), "k", "t")
+    assert sorted(map(tuple, found.collect())) == [(1, "m.C", "test_a", "passed"), (1, "m.C", "test_c", "failed"), (1, "m.C", "test_d", "passed")]
+
+
+def test_sessions_are_picked_by_name_or_prefix(spark):
+    from korrel.plans.errors import SubjectNotFound
+
+    rows = spark.createDataFrame([("abc", 5), ("abd", 9), ("ab", 1), ("x1", 7)], "s string, t int")
+    assert logs.pick_session(rows, "s", "t") == "abd" and logs.pick_session(rows, "s", "t", "ab") == "ab" and logs.pick_session(rows, "s", "t", "x") == "x1"
+    for wanted in ("a", "q"):
+        with pytest.raises(SubjectNotFound):
+            logs.pick_session(rows, "s", "t", wanted)
+
+
+def test_as_of_join_takes_the_latest_that_is_not_later(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3), (None, 4, 4)], "k string, t int, n int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 6, "z"), ("c", 1, "w")], "k string, at int, v string")
+    assert sorted((r["n"], r["at"], r["v"]) for r in logs.as_of_join(left, right, ["k"], "t", "at").collect()) == [(1, 5, "y"), (2, None, None), (3, None, None), (4, None, None)]
+
+
+def test_merged_objects_keep_what_later_ones_lack(spark):
+    df = spark.createDataFrame([(1, 1, {"x": 1, "y": None}), (1, 2, {"x": None, "y": 5}), (1, 3, {"x": 7, "y": None}), (2, 1, None)], "g int, o int, d struct<x:int,y:int>")
+    run = lambda way: {r["_id"]: r["m"] for r in pipeline.Documents({"c": df}).run({"aggregate": "c", "pipeline": [{"$sort": {"o": way}}, {"$group": {"_id": "$g", "m": {"$mergeObjects": "$d"}}}]}).collect()}
+    up, down = run(1), run(-1)
+    assert tuple(up[1]) == (7, 5) and tuple(down[1]) == (1, 5) and up[2] is None
+
+
+def test_routes_and_closures_have_no_silent_end(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(25)], "src long, dst long")
+    assert facts.closure(chain, spark.createDataFrame([(0,)], "n long")).count() == 26
+    mounts = spark.createDataFrame([("", "r0", "/")] + [(f"r{k}", f"r{k + 1}", f"{k}/") for k in range(18)] + [("r3", "r1", "loop/")], "parent string, child string, prefix string")
+    found = facts.routes(mounts, spark.createDataFrame([("h", "r18", "end")], "handler string, router string, path string")).collect()
+    assert [r["route"] for r in found] == ["/" + "".join(f"{k}/" for k in range(18)) + "end"]
