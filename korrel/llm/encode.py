@@ -27,7 +27,7 @@ SLICE = 1 << 19
 #: Where texts may be cut: a pre-token always begins there, and neither side looks across.
 _CUT = re.compile(r"(?<=[\w!-~])[ \t\n\r]|(?<=[。！？，；：])(?=\w)")
 #: Distinct pre-tokens kept; beyond it they are forgotten and encoded anew.
-KEPT = 400_000
+KEPT = 1_000_000
 
 _classes: np.ndarray | None = None
 
