@@ -140,30 +140,38 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _LEFT + b)
 
 
-def span_hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hash of each span of bytes: its lanes of eight bytes go one by one through ``mix``; long spans by XXH3.
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, families: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of each span of bytes: its lanes of eight bytes go one by one through ``mix``; long spans by XXH3.
 
     ``buffer`` (uint8) has eight bytes more than the last span. No sum of parts is ever compared, so no two
     spans meet by their structure, only by chance (2**-64 a pair, and the two families are independent).
     """
     size = ends - starts
-    h = mix(size.astype(U64) + U64(_SEEDS[which]))
+    out = [mix(size.astype(U64) + U64(_SEEDS[which])) for which in families]
     lanes = np.ndarray((max(0, len(buffer) - 7),), "<u8", buffer, strides=(1,))
     at, left, short = np.arange(len(size)), size, size <= _LONG
     if not short.all():
         for k in np.flatnonzero(~short).tolist():
-            h[k] = xxhash.xxh3_64_intdigest(buffer[starts[k] : ends[k]].tobytes(), seed=_SEEDS[which])
+            raw = buffer[starts[k] : ends[k]].tobytes()
+            for h, which in zip(out, families):
+                h[k] = xxhash.xxh3_64_intdigest(raw, seed=_SEEDS[which])
         at, left = at[short], size[short]
     done = 0
     while True:
         more = left > done
         at, left = at[more], left[more]
         if not len(at):
-            return h
-        h[at] = mix(h[at] ^ (lanes[starts[at] + done] & _MASKS[np.minimum(8, left - done)]))
+            return out
+        lane = lanes[starts[at] + done] & _MASKS[np.minimum(8, left - done)]
+        for h in out:
+            h[at] = mix(h[at] ^ lane)
         done += 8
 
 
+def span_hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    return span_hashes(buffer, starts, ends, (which,))[0]
+
+
 def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each ``n`` neighbours, by doubling: equal ones are those of equal hashes in the same order."""
     reach = 1

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from korrel.llm.common import slices, span_hash
+from korrel.llm.common import slices, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Characters that are cut at a time.
@@ -52,7 +52,8 @@ def code_points(text: str) -> np.ndarray:
 def piece_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each span of code points."""
     raw = np.concatenate([points, np.zeros(2, np.uint32)]).view(np.uint8)
-    return span_hash(raw, 4 * starts, 4 * ends, 0), span_hash(raw, 4 * starts, 4 * ends, 1)
+    one, other = span_hashes(raw, 4 * starts, 4 * ends, (0, 1))
+    return one, other
 
 
 def first_of_each(codes: np.ndarray, count: int) -> np.ndarray:
@@ -134,15 +135,16 @@ class Encoder:
 
     def forget(self):
         self.slots: dict[int, int] = {}
-        self.checks = np.zeros(0, np.uint64)
-        self.ids, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        # what is known so far: checks[:known], and the ids of each from first[k] to first[k + 1]
+        self.known, self.checks, self.first = 0, np.zeros(1 << 14, np.uint64), np.zeros((1 << 14) + 1, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
 
-    def _learn(self, hashes: list[int], checks: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: list[int], checks: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Encode new pre-tokens; where each is kept."""
         # words with one space before them stay apart when they are joined; there tokens with a space begin words
         spaced = [x[0] == " " and x[1:].isalpha() for x in pieces]
         order = sorted(range(len(pieces)), key=spaced.__getitem__)
         hashes, pieces = [hashes[k] for k in order], [pieces[k] for k in order]
-        self.checks = np.concatenate([self.checks, checks[order]])
         alone = len(pieces) - sum(spaced)
         found = [x.ids for x in self.library.encode_batch_fast(pieces[:alone], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -155,12 +157,21 @@ class Encoder:
                 raise ValueError("joined words don't come back as many")
             sizes = np.concatenate([sizes, np.diff(begins, append=len(joined))])
             new = np.concatenate([new, joined])
-        begin = self.first[-1]
+        low, high = self.known, self.known + len(pieces)
+        begin = self.first[low]
         while len(self.ids) < begin + len(new):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.checks) < high:
+            self.checks = np.concatenate([self.checks, np.zeros_like(self.checks)])
+            self.first = np.concatenate([self.first, np.zeros(len(self.first) - 1, np.int64)])
         self.ids[begin : begin + len(new)] = new
-        self.slots.update(zip(hashes, range(len(self.first) - 1, len(self.first) - 1 + len(pieces))))
-        self.first = np.concatenate([self.first, begin + np.cumsum(sizes)])
+        self.checks[low:high] = checks[order]
+        self.first[low + 1 : high + 1] = begin + np.cumsum(sizes)
+        self.slots.update(zip(hashes, range(low, high)))
+        self.known = high
+        where = np.empty(len(pieces), np.int64)
+        where[order] = np.arange(low, high)
+        return where
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one more entry than texts)."""
@@ -209,8 +220,7 @@ class Encoder:
         if len(missing):
             at = where[missing]
             pieces = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            self._learn([keys[k] for k in missing.tolist()], sure[missing], pieces)
-            slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+            slots[missing] = self._learn([keys[k] for k in missing.tolist()], sure[missing], pieces)
         slot = slots[codes]
         size = self.first[slot + 1] - self.first[slot]
         total = np.cumsum(size)
