@@ -73,11 +73,31 @@ def op2_benchmark_decontamination(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    from korrel.llm.merkle import proofs
+
+    return proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_quantile_summaries(spark, sf_dir):
+    from korrel.llm.quantiles import stream_quantiles
+
+    return stream_quantiles(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"))
+
+
+def op13_warc_archives(spark, sf_dir):
+    from korrel.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     from korrel.llm.chat import PREFERENCE_SQL
+    from korrel.llm.merkle import MERKLE_SQL
+    from korrel.llm.warc import WARC_SQL
 
-    return {"op7_preference_format": PREFERENCE_SQL}
+    return {"op7_preference_format": PREFERENCE_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_warc_archives": WARC_SQL}
