@@ -215,16 +215,20 @@ def _typed(pages: DataFrame) -> DataFrame:
     # Of equal payloads: the page that is archived, and whether rows repeat it. Copies are counted before they meet.
     each = rows.filter(F.col("bytes") >= LEAST).groupBy("digest", "page_id", "url").agg(F.count("*").alias("copies"))
     best = each.groupBy("digest").agg(F.max(F.struct("page_id", "url", "copies")).alias("top"), F.sum("copies").alias("all"))
-    repeated = best.filter(F.col("all") > 1).select("digest", F.lit(True).alias("again"), F.col("top.page_id").alias("winner"), F.col("top.url").alias("winner_url"), F.col("top.copies").alias("copies"))
+    repeated = keep(best.filter(F.col("all") > 1).select("digest", F.lit(True).alias("again"), F.col("top.page_id").alias("winner"), F.col("top.url").alias("winner_url"), F.col("top.copies").alias("copies")), "warc-repeated")
     wins = F.col("page_id").eqNullSafe(F.col("winner")) & F.col("url").eqNullSafe(F.col("winner_url"))
     kind = F.when(F.col("again") & ~wins, "revisit").otherwise("response")
     tied = F.coalesce(F.col("again") & wins & (F.col("copies") > 1), F.lit(False))
     met = rows.join(repeated, "digest", "left").filter(~tied)
     columns = ["page_id", "url", F.when(kind == "response", F.col("payload")).alias("payload"), "sha1", "bytes", kind.alias("kind"), "winner"]
+    archived_once = met.select(*columns, F.lit(1).alias("copies"))
+    ties = repeated.filter("copies > 1")
+    if ties.isEmpty():
+        return archived_once
     # Rows that repeat the archived page whole become one row that stands for them.
-    one = rows.join(repeated.filter("copies > 1"), "digest").filter(tied).groupBy("page_id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("sha1").alias("sha1"), F.first("bytes").alias("bytes"), F.first("winner").alias("winner"), F.count("*").cast("int").alias("copies"))
+    one = rows.join(ties, "digest").filter(tied).groupBy("page_id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("sha1").alias("sha1"), F.first("bytes").alias("bytes"), F.first("winner").alias("winner"), F.count("*").cast("int").alias("copies"))
     first = one.select("page_id", "url", "payload", "sha1", "bytes", F.lit("response").alias("kind"), "winner", "copies")
-    return met.select(*columns, F.lit(1).alias("copies")).unionByName(first)
+    return archived_once.unionByName(first)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
