@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from korrel.operators import extract, syntax
 from korrel.operators.text import lines
 
 PAGE = 100
@@ -24,9 +25,15 @@ def _whole(df: DataFrame, key: str, text: str, name: str, test: Column) -> DataF
 
 
 def check(df: DataFrame, key: str, text: str, rule: str) -> DataFrame:
-    """The violations of one rule ``name:argument``. Comments and literals are found by line patterns, not syntax."""
+    """The violations of one rule ``name:argument``. Comments and literals are found by line patterns, not syntax.
+
+    ``q:`` takes a pattern of ``syntax`` over the elements of pages; what it captures as ``@violation`` is one.
+    """
     name, _, a = rule.partition(":")
     c = F.col(text)
+    if name == "q":
+        found = syntax.matches(extract.elements(df, key, text), df, key, text, a)
+        return found.filter("capture = 'violation'").select(key, F.lit(rule).alias("rule"), F.col("line").alias("line_no"), F.col("text"))
     if name == "forbid":
         return _lines_that(df, key, text, rule, lambda x: F.contains(x, F.lit(a)), F.contains(c, F.lit(a)))
     if name == "forbid_any_case":
