@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korrel.session import checkpointed
+from korrel.operators.prefix import running
+from korrel.session import checkpointed, shared_folder
 
 EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
 
@@ -55,6 +58,79 @@ def merkle_root(leaves: DataFrame, order: str, digest: str = "leaf") -> str:
     return level.first()["h"]
 
 
+class MerkleTree:
+    """The tree of ``merkle_root`` with its levels kept as tables, so that a change hashes the nodes above it alone.
+
+    Level 0 are the leaves (i, h), numbered from 0; each level is a folder of versions, of which the last that has a
+    node holds. A batch of k changed or appended leaves writes some k nodes a level. Leaves whose order is null or
+    not unique are refused: they have no one order.
+    """
+
+    def __init__(self, leaves: DataFrame, order: str, digest: str = "leaf"):
+        self.spark = leaves.sparkSession
+        self.folder = f"{shared_folder(self.spark)}/korrel-merkle-{uuid.uuid4().hex}"
+        rows = leaves.select(F.col(order).alias("o"), F.col(digest).alias("h"))
+        if not rows.groupBy("o").count().filter("o is null or count > 1").isEmpty():
+            raise ValueError("the leaves' order isn't unique")
+        self.version, self.versions, self.count = 0, [], 0
+        self._apply(running(rows, [], ["o"], F.lit(1).cast("long"), "i", "n").select("i", "h"))
+
+    def _level(self, k: int) -> DataFrame:
+        """(i, h) of a level, each node as it was written last."""
+        parts = [self.spark.read.schema("i long, h string").parquet(f"{self.folder}/level-{k}/{v}").withColumn("v", F.lit(v)) for v in self.versions[k]]
+        if len(parts) == 1:
+            return parts[0].drop("v")
+        return reduce(DataFrame.unionByName, parts).groupBy("i").agg(F.max_by("h", "v").alias("h"))
+
+    def _apply(self, changed: DataFrame) -> None:
+        self.version += 1
+        k, size, below = 0, None, changed
+        while True:
+            path = f"{self.folder}/level-{k}/{self.version}"
+            below.select("i", "h").write.parquet(path)
+            written = self.spark.read.schema("i long, h string").parquet(path)
+            if k == 0:
+                most = written.agg(F.max("i")).first()[0]
+                self.count = max(self.count, 0 if most is None else most + 1)
+                size = self.count
+            if k == len(self.versions):
+                self.versions.append([])
+            self.versions[k].append(self.version)
+            if size <= 1:
+                break
+            pairs = written.select(F.expr("i div 2").alias("j")).distinct()
+            both = self._level(k).withColumn("j", F.expr("i div 2")).join(pairs, "j", "left_semi")
+            pair = both.groupBy("j").agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"), F.count("*").alias("n"))
+            node = F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex("a"), F.unhex("b")), 256)
+            below = pair.select(F.col("j").alias("i"), F.when(F.col("n") == 2, node).otherwise(F.col("a")).alias("h"))
+            k, size = k + 1, (size + 1) // 2
+
+    def update(self, changes: DataFrame) -> None:
+        """Leaves (i, h) that changed, or that come after the last without a gap."""
+        rows = checkpointed(changes.select(F.col("i").cast("long"), "h"))
+        new = rows.agg(F.count("*").alias("n"), F.count_distinct("i").alias("known"), F.min("i").alias("low"), F.max("i").alias("high"), F.count_if(F.col("i") >= self.count).alias("added")).first()
+        if new["n"] == 0:
+            return
+        if new["known"] < new["n"] or new["low"] < 0 or new["added"] != max(0, new["high"] + 1 - self.count):
+            raise ValueError("leaves are changed once, and added without a gap")
+        self._apply(rows)
+
+    def root(self) -> str:
+        if not self.count:
+            return EMPTY_ROOT
+        top = (self.count - 1).bit_length()
+        return self._level(top).filter("i = 0").first()["h"]
+
+    def audit_paths(self, leaves: DataFrame) -> DataFrame:
+        """(i, path): what else is hashed on the way from each leaf (i) to the root, from the leaf up."""
+        paths = leaves.select(F.col("i").cast("long"), F.col("i").cast("long").alias("at"), F.array().cast("array<string>").alias("path"))
+        for k in range(max(0, self.count - 1).bit_length()):
+            beside = self._level(k).select(F.col("i").alias("beside"), F.col("h"))
+            met = paths.withColumn("beside", F.col("at").bitwiseXOR(F.lit(1))).join(beside, "beside", "left")
+            paths = met.select("i", F.expr("at div 2").alias("at"), F.when(F.col("h").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("h"))).alias("path"))
+        return paths.select("i", "path")
+
+
 def merkle_of(digests: list[str]) -> str:
     """The same root by the recursive definition, for few leaves."""
     if not digests:

@@ -93,6 +93,37 @@ def search_lines(df: DataFrame, key: str, text: str, pattern: str, regex: bool =
     return found.select(key, "line_no", first_of(F.col("line"), parts).alias("column"), "line").filter("column > 0")
 
 
+def search_within(df: DataFrame, key: str, text: str, pattern: str, seconds: float) -> DataFrame:
+    """(key, line_no, column, outcome, line): lines that match (``match``), and those whose search took longer than
+    ``seconds`` (``not_searched``), so that a pattern that explodes is never taken for one that doesn't match.
+
+    The budget is time, as neither Spark's nor Python's matchers tell their steps.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import regex
+
+        find = regex.compile(pattern)
+        for batch in batches:
+            rows = []
+            for at, line in enumerate(batch.column("line").to_pylist()):
+                try:
+                    hit = find.search(line, timeout=seconds)
+                except TimeoutError:
+                    rows.append((at, None, "not_searched"))
+                    continue
+                if hit:
+                    rows.append((at, hit.start() + 1, "match"))
+            taken = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), taken.column(2)], names=[key, "line_no", "column", "outcome", "line"])
+
+    need = required_literals(pattern)
+    rows = lines(df.filter(first_of(F.col(text), need) > 0) if need else df, key, text)
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` {kind}, line_no int, column int, outcome string, line string")
+
+
 def trigrams(c: Column) -> Column:
     """The text's distinct runs of three characters, sorted; none where it is shorter."""
     places = F.when(F.char_length(c) >= 3, F.sequence(F.lit(1), F.char_length(c) - 2)).otherwise(F.array().cast("array<int>"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from korrel.queries import documents, explore, facts, functions, guarded, linking, logs, ranking, relational, rules, streams, syntax, text  # noqa: F401
+from korrel.queries import documents, explore, facts, functions, guarded, indexes, linking, logs, ranking, relational, rules, streams, syntax, text  # noqa: F401
 from korrel.queries.guarded import flagship
 from korrel.queries.registry import QUERIES, SQL
 
