@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from korrel.functions.dialect import Shim, quotient, renamed, template
 
-WORDS: dict[str, str] = {}
+WORDS: dict[str, str] = {"::": "::"}
 
 
 def _concat(a, s):
@@ -88,6 +90,40 @@ def _right(a, s):
     return f"CASE WHEN ({a[1]}) < 0 THEN substring({a[0]}, 1 - ({a[1]})) ELSE right({a[0]}, {a[1]}) END"
 
 
+def _extract(a, s):
+    """extract(part FROM x) where PostgreSQL counts otherwise than Spark."""
+    found = re.match(r"(?is)(\w+)\s+from\s+(.*)$", a[0])
+    return _part(found[1], found[2], f"extract({a[0]})") if found else f"extract({', '.join(a)})"
+
+
+def _part(part: str, value: str, otherwise: str) -> str:
+    part = part.strip("' ").lower()
+    if part == "dow":  # Sunday is 0
+        return f"(dayofweek({value}) - 1)"
+    if part == "isodow":
+        return f"(weekday({value}) + 1)"
+    if part == "epoch":
+        return f"(unix_micros(cast({value} AS TIMESTAMP)) / 1000000D)"
+    return otherwise
+
+
+def _to_char(a, s):
+    """Numbers have a place for the sign before them; with FM nothing is padded."""
+    form = a[1].strip("'") if len(a) == 2 else ""
+    plain = re.fullmatch(r"(?i)(fm)?([90.,dg]+)", form)
+    if not plain:
+        return f"to_char({', '.join(a)})"
+    whole = re.split(r"[.dD]", plain[2])[0]
+    least = len(re.sub(r"[^09]", "", whole[whole.find("0") :])) if "0" in whole else 0
+    digits = f"ltrim(to_char(abs({a[0]}), '{plain[2].replace('0', '9')}'))"
+    if least:  # from the first 0 on there are digits
+        before = f"substring_index({digits}, '.', 1)"
+        after = f", '.', substring_index({digits}, '.', -1)" if len(whole) < len(plain[2]) else ""
+        digits = f"concat(lpad({before}, greatest({least}, char_length({before})), '0'){after})"
+    signed = f"concat(CASE WHEN ({a[0]}) < 0 THEN '-' ELSE '' END, {digits})"
+    return signed if plain[1] else f"lpad({signed}, {len(plain[2]) + 1}, ' ')"
+
+
 def _substr(a, s):
     """Places before the first character count, but hold nothing."""
     if len(a) == 1:  # substring(x FROM a FOR b)
@@ -147,6 +183,9 @@ _RENAMED = {
 
 SHIMS: dict[str, Shim] = {k: renamed(v) for k, v in _RENAMED.items() if v != k and v != "explode_keys"}
 SHIMS |= {
+    "extract": _extract,
+    "date_part": lambda a, s: _part(a[0], a[1], f"date_part({a[0]}, {a[1]})"),
+    "to_char": _to_char,
     "log": _log,
     "trunc": _trunc,
     "gcd": lambda a, s: f"korrel_gcd({a[0]}, {a[1]})",

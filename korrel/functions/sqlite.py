@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from korrel.functions.dialect import Shim, quotient, renamed, template
 
 #: SQLite's LIKE ignores ASCII case.
@@ -143,9 +145,39 @@ def _typeof(a, s):
     return f"CASE WHEN ({a[0]}) IS NULL THEN 'null' ELSE CASE typeof({a[0]}) {cases} ELSE CASE WHEN typeof({a[0]}) LIKE 'decimal%' THEN 'real' ELSE 'text' END END END"
 
 
+def _printf(a, s):
+    """Each value as its conversion wants it: whole numbers, doubles or text; nulls as 0 or nothing."""
+    if not a or not re.fullmatch(r"'(?:[^']|'')*'", a[0]):
+        return f"format_string({', '.join(a)})"
+    rest, out, form = list(a[1:]), [], ""
+    for plain, flags, letter in re.findall(r"((?:[^%]|%%)+)|%([-+ 0#,]*\d*(?:\.\d+)?)l*([a-zA-Z])", a[0]):
+        if plain:
+            form += plain
+            continue
+        value = rest.pop(0) if rest else "NULL"
+        if letter in "diuxXo":
+            out.append(f"coalesce(cast({value} AS BIGINT), 0L)")
+            form += f"%{flags}{'d' if letter in 'diu' else letter}"
+        elif letter in "feEgG":
+            out.append(f"coalesce(cast({value} AS DOUBLE), 0D)")
+            form += f"%{flags}{letter}"
+        else:
+            text = f"coalesce(cast({value} AS STRING), '')"
+            out.append(f"substring({text}, 1, 1)" if letter == "c" else text)
+            form += f"%{flags}s"
+    return f"format_string({', '.join([form, *out])})"
+
+
+def _char(a, s):
+    """The characters of code points."""
+    return "concat(" + ", ".join(f"decode(unhex(lpad(hex(cast({x} AS BIGINT)), 8, '0')), 'UTF-32')" for x in a) + ")" if a else "''"
+
+
 SHIMS: dict[str, Shim] = {
     "iif": renamed("if"),
-    "format": renamed("format_string"),
+    "format": _printf,
+    "printf": _printf,
+    "char": _char,
     "glob": _glob,
     "unicode": renamed("ascii"),
     "quote": template("CASE WHEN ({0}) IS NULL THEN 'NULL' WHEN typeof({0}) = 'string' THEN concat('''', replace(cast({0} AS STRING), '''', ''''''), '''') ELSE cast({0} AS STRING) END"),

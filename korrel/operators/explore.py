@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korrel.operators.prefix import running
 from korrel.operators.ranking import STOP_WORDS, bm25, concepts, top_per_group
 
 TOP_DEPTH, EVIDENCE_CHARS, MAP_TOKENS = 3, 9_500, 16_000
@@ -27,9 +28,9 @@ def concept_terms(rows: DataFrame, region: str, term: str, n: int = 5) -> DataFr
 
 
 def under_budget(rows: DataFrame, order: list, size, budget: int) -> DataFrame:
-    """The first rows whose sizes fit the budget together, one at least."""
-    w = Window.orderBy(*order)
-    placed = rows.withColumn("place", F.row_number().over(w)).withColumn("spent", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """The first rows whose sizes fit the budget together, one at least; ``order`` tells rows apart."""
+    counted = running(rows, [], order, F.lit(1).cast("long"), "place", "__all").withColumn("place", (F.col("place") + 1).cast("int")).drop("__all")
+    placed = running(counted, [], ["place"], size, "spent", "__all").withColumn("spent", F.col("spent") + size).drop("__all")
     return placed.filter((F.col("spent") <= budget) | (F.col("place") == 1))
 
 

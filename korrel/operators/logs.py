@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korrel.operators.prefix import latest, running
 from korrel.plans.errors import SubjectNotFound
 
 SLACK_MS = 5_000
@@ -54,7 +59,8 @@ def price_of(rows: DataFrame, model: str, prices: DataFrame) -> DataFrame:
     rest = F.substring(F.col(model), F.length("prefix") + 1, F.lit(1))
     fits = F.startswith(F.col(model), F.col("prefix")) & rest.isin("", "-", "@", ":", "[")
     models = rows.select(model).distinct()
-    found = models.join(F.broadcast(prices), fits).groupBy(model).agg(F.min_by(F.struct("input_price", "output_price", "cache_price"), "place").alias("price"))
+    heads = models.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length(model)), lambda k: F.substring(F.col(model), F.lit(1), k))))
+    found = heads.join(prices, "prefix").filter(fits).groupBy(model).agg(F.min_by(F.struct("input_price", "output_price", "cache_price"), "place").alias("price"))
     return rows.join(found, model, "left")
 
 
@@ -82,15 +88,18 @@ def pick_session(sessions: DataFrame, name: str, last: str, wanted: str | None =
 def as_of_join(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str) -> DataFrame:
     """Each row of ``left`` with the latest row of ``right`` of its key that isn't later; nulls where there is none.
 
-    Both sides are sorted together once for each key; of several right rows at one time any one is taken.
+    Null keys and times match nothing. Both sides are put in one order of key and time, dealt into ranges, and each
+    left row takes the right row before it; so a key may hold any share of the rows. Of several right rows at one
+    time any one is taken.
     """
     rest = [c for c in right.columns if c not in key]
-    r = right.select(*key, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*rest).alias("__r"))
-    own = F.struct(*left.columns).alias("__l")
-    l = left.select(*key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), own)  # noqa: E741
-    order = Window.partitionBy(*key).orderBy("__t", "__side")
-    both = r.unionByName(l, allowMissingColumns=True).withColumn("__r", F.last("__r", ignorenulls=True).over(order))
-    return both.filter("__side = 1").select("__l.*", "__r.*")
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))
+    r = right.filter(known & F.col(right_time).isNotNull()).select(*key, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*rest).alias("__r"))
+    own, whole = F.struct(*left.columns).alias("__l"), known & F.col(left_time).isNotNull()
+    l = left.filter(whole).select(*key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), own)  # noqa: E741
+    both = latest(r.unionByName(l, allowMissingColumns=True), key, ["__t", "__side"], F.col("__r"), "__before")
+    alone = left.filter(~F.coalesce(whole, F.lit(False))).select(own, F.lit(None).cast(r.schema["__r"].dataType).alias("__before"))
+    return both.filter("__side = 1").select("__l", "__before").unionByName(alone).select("__l.*", "__before.*")
 
 
 def interval_join(events: DataFrame, ts: str, windows: DataFrame, start: str, end: str, key: list[str], slack: Column) -> DataFrame:
@@ -140,14 +149,39 @@ def uncovered(changed: DataFrame, receipts: DataFrame, path: str) -> DataFrame:
     return changed.join(receipts.select(path), path, "left_anti").withColumn("verdict", F.lit("unverified"))
 
 
-def hash_chain(df: DataFrame, group: str, order: str, parts: list[str]) -> DataFrame:
-    """(group, head): SHA-256 folded over a group's rows in order; the chain of nothing is empty."""
-    item = F.struct(F.col(order).alias("o"), F.concat_ws("\x1f", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts)).alias("t"))
-    rows = F.array_sort(F.collect_list(item))
-    return df.groupBy(group).agg(F.aggregate(rows, F.lit(""), lambda head, x: F.sha2(F.concat(head, F.lit("\x1e"), x["t"]), 256)).alias("head"))
+def _chained(batches):
+    """Heads of groups whose rows come one after the other: (group as text, its number, text of the row)."""
+    mark, head, name = None, "", None
+    for batch in batches:
+        done = []
+        for group, number, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if mark != number:
+                if mark is not None:
+                    done.append((name, head))
+                mark, head, name = number, "", group
+            head = hashlib.sha256(f"{head}\x1e{text}".encode()).hexdigest()
+        if done:
+            yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*done)], names=["g", "head"])
+    if mark is not None:
+        yield pa.record_batch([pa.array([name], pa.string()), pa.array([head], pa.string())], names=["g", "head"])
 
 
-def sweep(entries: DataFrame, used: str, size: str, cap: int) -> DataFrame:
-    """What a cache drops: all beyond ``cap`` bytes, the longest unused first."""
-    kept = F.sum(size).over(Window.orderBy(F.desc(used)).rowsBetween(Window.unboundedPreceding, 0))
-    return entries.withColumn("kept", kept).filter(F.col("kept") > cap).drop("kept")
+def hash_chain(df: DataFrame, group: str, order: str, parts: list[str]) -> DataFrame:
+    """(group, head): SHA-256 folded over a group's rows in order; the chain of nothing is empty.
+
+    A chain is one pass, in which nothing but its head is held. Rows of equal order go by their text.
+    """
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), text.alias("t")).repartition("g").sortWithinPartitions("g", "o", "t")
+    number = rows.select(F.col("g").cast("string").alias("g"), F.xxhash64("g", F.col("g").isNull()).alias("n"), "t")
+    found = number.mapInArrow(_chained, "g string, head string")
+    return found.select(F.col("g").cast(df.schema[group].dataType).alias(group), "head")
+
+
+def sweep(entries: DataFrame, used: str, size: str, cap: int, oldest: Column | None = None) -> DataFrame:
+    """What a cache drops: all last used before ``oldest``, and of the rest what lies beyond ``cap`` bytes, the longest
+    unused first. Entries used at one moment go by their other columns."""
+    late = F.lit(False) if oldest is None else F.coalesce(F.col(used) < oldest, F.lit(True))
+    others = [c for c in entries.columns if c != used]
+    kept = running(entries.filter(~late), [], [F.desc(used), *others], F.col(size), "__before", "__all")
+    return kept.filter(F.col("__before") + F.col(size) > cap).select(*entries.columns).unionByName(entries.filter(late))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from korrel.operators.prefix import running
 from korrel.operators.expressions import Scope, compile_expression, compile_filter, literal
 from korrel.plans.errors import CommandInvalid, HiddenFieldUsed, MaskedFieldUsed, OperatorDenied, TableNotFound, TableRefused
 from korrel.plans.policy import Access, Mask
@@ -406,15 +407,12 @@ def _bucket_auto(self, df, spec, state):
     scope, n = state.scope(df), spec["buckets"]
     value = compile_expression(spec["groupBy"], scope)
     counts = df.groupBy(value.alias("__v")).agg(F.count("*").alias("__n"))
-    # values are far fewer than documents; their running counts come from one window over them
-    running = F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    placed = counts.withColumn("__before", F.coalesce(running, F.lit(0))).crossJoin(F.broadcast(total)).withColumn("__b", F.floor(F.col("__before") * n / F.col("__total")))
+    placed = running(counts, [], ["__v"], F.col("__n"), "__before", "__total").withColumn("__b", F.floor(F.col("__before") * n / F.col("__total")))
     rows = df.withColumn("__v", value).join(placed.select(F.col("__v").alias("__w"), "__b"), F.col("__v").eqNullSafe(F.col("__w"))).drop("__w")
     own = _outputs(spec.get("output", {"count": {"$sum": 1}}), Scope(rows.columns, state.hidden, set(state.masks)))
     state.fresh()
     found = rows.groupBy("__b").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *own)
-    upper = F.coalesce(F.lead("__lo").over(Window.orderBy("__b")), F.col("__hi"))
+    upper = F.coalesce(F.lead("__lo").over(Window.orderBy("__b")), F.col("__hi"))  # as many rows as buckets
     return found.withColumn("_id", F.struct(F.col("__lo").alias("min"), upper.alias("max"))).orderBy("__b").drop("__b", "__lo", "__hi")
 
 

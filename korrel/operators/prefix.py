@@ -17,6 +17,11 @@ from korrel.session import checkpointed
 _RANGE, _GROUP, _VALUE, _BASE = "__range", "__group", "__value", "__base"
 
 
+def _dealt(rows: DataFrame, by: list[str], order: list[str | Column], value: Column, keep) -> DataFrame:
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("one"))  # a struct is never null, so it joins
+    return keep(rows.withColumns({_VALUE: value, _GROUP: group}).repartitionByRange(_GROUP, *order).withColumn(_RANGE, F.spark_partition_id()))
+
+
 def running(rows: DataFrame, by: list[str], order: list[str | Column], value: Column, before: str = "before", total: str = "total", keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """``rows`` with ``before``, the sum of ``value`` (never null) over the rows of the group that come earlier,
     and ``total``, the group's sum.
@@ -25,9 +30,7 @@ def running(rows: DataFrame, by: list[str], order: list[str | Column], value: Co
     where many may tie, sum them up first. Null keys are a group. ``keep`` cuts the lineage, so that ranges are
     drawn once. An empty table gives no rows.
     """
-    group = F.struct(*by) if by else F.struct(F.lit(0).alias("one"))  # a struct is never null, so it joins
-    made = rows.withColumns({_VALUE: value, _GROUP: group}).repartitionByRange(_GROUP, *order).withColumn(_RANGE, F.spark_partition_id())
-    dealt = keep(made)
+    dealt = _dealt(rows, by, order, value, keep)
     first = Window.unboundedPreceding
     sums = dealt.groupBy(_RANGE, _GROUP).agg(F.sum(_VALUE).alias(_VALUE))
     ranges = Window.partitionBy(_GROUP).orderBy(_RANGE)
@@ -35,3 +38,18 @@ def running(rows: DataFrame, by: list[str], order: list[str | Column], value: Co
     inside = Window.partitionBy(_RANGE, _GROUP).orderBy(*order).rowsBetween(first, -1)
     own = dealt.withColumn(before, F.coalesce(F.sum(_VALUE).over(inside), F.lit(0)))
     return own.join(bases, [_RANGE, _GROUP]).withColumn(before, F.col(before) + F.col(_BASE)).drop(_RANGE, _GROUP, _VALUE, _BASE)
+
+
+def latest(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+    """``rows`` with ``name``: of the group's rows up to this one the last ``value`` that isn't null.
+
+    Each range looks back in itself first; the last value of every range is handed on to those behind it.
+    """
+    dealt = _dealt(rows, by, order, value, keep)
+    first = Window.unboundedPreceding
+    ends = dealt.groupBy(_RANGE, _GROUP).agg(F.max_by(_VALUE, F.when(F.col(_VALUE).isNotNull(), F.struct(*order))).alias(_BASE))
+    before = Window.partitionBy(_GROUP).orderBy(_RANGE).rowsBetween(first, -1)
+    handed = ends.select(_RANGE, _GROUP, F.last(_BASE, ignorenulls=True).over(before).alias(_BASE))
+    inside = Window.partitionBy(_RANGE, _GROUP).orderBy(*order).rowsBetween(first, 0)
+    own = dealt.withColumn(name, F.last(_VALUE, ignorenulls=True).over(inside)).join(handed, [_RANGE, _GROUP])
+    return own.withColumn(name, F.coalesce(name, _BASE)).drop(_RANGE, _GROUP, _VALUE, _BASE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,19 @@ def json_keys(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(column)).alias("pointer"))
 
 
+def _step(c: Column, key: str) -> Column:
+    """What an object has under ``key``, or an array at that place."""
+    if not re.fullmatch(r"[\w -]+", key):  # no path can name it
+        return F.try_element_at(F.from_json(c, "map<string,string>"), F.lit(key))
+    own = F.get_json_object(c, f"$['{key}']")
+    return F.coalesce(F.get_json_object(c, f"$[{key}]"), own) if re.fullmatch(r"0|[1-9][0-9]*", key) else own
+
+
 def json_pointer(c: Column, pointer: str) -> Column:
-    """The text at an RFC 6901 pointer."""
-    steps = [x.replace("~1", "/").replace("~0", "~") for x in pointer.split("/")[1:]]
-    path = "$" + "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in steps)
-    return F.get_json_object(c, path)
+    """The text at an RFC 6901 pointer, step by step: a number is a place in an array and a key of an object."""
+    for step in pointer.split("/")[1:]:
+        c = _step(c, step.replace("~1", "/").replace("~0", "~"))
+    return c
 
 
 def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:

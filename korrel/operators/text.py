@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korrel.operators.prefix import running
 from korrel.plans.errors import CommandInvalid
 
 SHOWN, SNIPPET = 200, 120
@@ -182,11 +183,10 @@ def order_of_groups(key: str) -> list[Column]:
 
 
 def page(groups: DataFrame, order: list[Column], cost: Column, budget: int, offset: int = 0) -> DataFrame:
-    """The groups from ``offset`` on that fit the budget together, one at least."""
-    ordered = Window.orderBy(*order)
-    numbered = groups.withColumn("place", F.row_number().over(ordered)).filter(F.col("place") > offset)
-    running = F.sum(cost).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("spent", running).filter((F.col("spent") <= budget) | (F.col("place") == offset + 1))
+    """The groups from ``offset`` on that fit the budget together, one at least; ``order`` tells groups apart."""
+    numbered = running(groups, [], order, F.lit(1).cast("long"), "__before", "__all").withColumn("place", (F.col("__before") + 1).cast("int")).drop("__before", "__all")
+    spent = running(numbered.filter(F.col("place") > offset), [], ["place"], cost, "spent", "__all").drop("__all").withColumn("spent", F.col("spent") + cost)
+    return spent.filter((F.col("spent") <= budget) | (F.col("place") == offset + 1))
 
 
 def snippet(line: Column, column: Column, length: int, width: int = SNIPPET) -> Column:
@@ -244,12 +244,12 @@ def condensed(pairs: DataFrame, old: str, new: str) -> DataFrame:
 
 def normalized(text: Column) -> Column:
     """Without comments and spare white space, for finding a passage that was set differently."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"//[^\n]*|#[^\n]*|/\*.*?\*/", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/", " "), r"\s+", " "))
 
 
 def locate_unique(text: Column, passage: str) -> Column:
     """Where the normalised passage stands if it stands in one place alone; else 0."""
-    spot = " ".join(re.sub(r"//[^\n]*|#[^\n]*|/\*.*?\*/", " ", passage).split())
+    spot = " ".join(re.sub(r"//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/", " ", passage).split())
     return F.when(occurrences(normalized(text), spot) == 1, F.instr(normalized(text), spot)).otherwise(0)
 
 

@@ -96,6 +96,9 @@ class Database:
         hide(df, name, self.access, generated).createOrReplaceTempView(name)
 
     def add_view(self, name: str, sql: str) -> None:
+        """A view of one reading statement over what is registered."""
+        plan = guard.parse(self.spark, sql)
+        guard.check_parsed(plan, self._names(), Access(), self.functions)
         self.views[name.lower()] = sql
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {sql}")
 
@@ -130,10 +133,10 @@ class Database:
         df, found = self._checked(sql)
         return self._treated(df, found)
 
-    def _checked(self, sql: str):
+    def _checked(self, sql: str, rewritten: bool = False):
         if not sql:
             raise MissingSql()
-        text = rewrite(sql, self.dialect) if self.dialect != "spark" else sql
+        text = rewrite(sql, self.dialect) if self.dialect != "spark" and not rewritten else sql
         plan = guard.parse(self.spark, text)
         guard.check_parsed(plan, self._names(), self.access, self.functions)
         df = guard.analyze(self.spark, text)

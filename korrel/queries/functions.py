@@ -66,3 +66,8 @@ sqlite("edges", "SELECT r_regionkey, 7 / 2 AS a, 1 / 0 AS b, date('2020-01-31',
        "SELECT r_regionkey, CAST(3 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, '2020-03-02' AS c, '\u00e9A' AS d, '[1,\"x\",null]' AS e, CAST((r_regionkey + 7) // 2 AS DOUBLE) AS f, CAST(3 * r_regionkey // 2 AS DOUBLE) AS g, CAST(r_regionkey / 2.0 AS DOUBLE) AS h, CAST(NULL AS DOUBLE) AS i FROM region".replace("CAST(r_regionkey / 2.0 AS DOUBLE) AS h", "CAST(r_regionkey AS DOUBLE) / 2 AS h"))
 postgres("edges", "SELECT r_regionkey, encode(sha256('abc'), 'hex') AS a, left('hello', -2) AS b, right('hello', -2) AS c, substr('hello', -1, 3) AS d, initcap('hello-world foo') AS e, 7 / 2 AS f, age(TIMESTAMP '2020-02-01 00:00:00', TIMESTAMP '2020-01-01 00:00:00') AS g, array_to_string(ARRAY[1, NULL, 3], ',', '*') AS h, network('10.1.2.3/16') AS i, netmask('10.1.2.3/20') AS j, ts_headline('The cat sat', websearch_to_tsquery('CAT')) AS k, age(TIMESTAMP '2021-03-03 00:00:00', TIMESTAMP '2020-01-01 00:00:00') AS l FROM region",
          "SELECT r_regionkey, sha256('abc') AS a, 'hel' AS b, 'llo' AS c, 'h' AS d, 'Hello-World Foo' AS e, CAST(3 AS BIGINT) AS f, '1 mon' AS g, '1,*,3' AS h, '10.1.0.0/16' AS i, '255.255.240.0' AS j, 'The <b>cat</b> sat' AS k, '1 year 2 mons 2 days' AS l FROM region")
+
+postgres("parts", "SELECT o_orderkey, extract(dow FROM o_orderdate) AS d, date_part('isodow', o_orderdate) AS i, to_char(CAST(o_orderkey % 1000 - 500 AS DECIMAL(10,2)) / 4, '9990.99') AS c, to_char(o_orderkey % 1000, 'FM9990') AS f, to_char(o_orderkey % 1000 - 500, '0999') AS z, o_orderkey::text AS t, (o_orderkey % 7)::double precision AS v FROM orders",
+         "SELECT o_orderkey, CAST(dayofweek(o_orderdate) AS INT) AS d, CAST(isodow(o_orderdate) AS INT) AS i, lpad(printf('%.2f', (o_orderkey % 1000 - 500) / 4), 8, ' ') AS c, CAST(o_orderkey % 1000 AS VARCHAR) AS f, lpad(CASE WHEN o_orderkey % 1000 < 500 THEN '-' ELSE '' END || lpad(CAST(abs(o_orderkey % 1000 - 500) AS VARCHAR), 4, '0'), 5, ' ') AS z, CAST(o_orderkey AS VARCHAR) AS t, CAST(o_orderkey % 7 AS DOUBLE) AS v FROM orders")
+sqlite("printf", "SELECT o_orderkey, printf('%.2f|%5d|%-6s|%05.1f%%', o_totalprice, o_orderkey, o_orderstatus, o_custkey) AS p, printf('%d %s', NULL, NULL) AS n, char(65, 233, 128578, o_orderkey % 26 + 97) AS c FROM orders",
+       "SELECT o_orderkey, printf('%.2f|%5d|%-6s|%05.1f%%', o_totalprice, o_orderkey, o_orderstatus, o_custkey::DOUBLE) AS p, '0 ' AS n, 'Aé🙂' || chr(CAST(o_orderkey % 26 + 97 AS INT)) AS c FROM orders")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korrel.plans.database import Database
+from korrel.plans.errors import Refusal
 from korrel.plans.policy import Access, Mask
 from korrel.plans.writes import WriteGrant, Writer
 from korrel.queries.registry import query, statement
@@ -127,6 +128,30 @@ def delete(spark, sf_dir):
     return db.frame("SELECT o_orderkey FROM orders")
 
 
+@query("db_write_statements", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT r_regionkey + 100, lower(r_name), NULL FROM region")
+def statements(spark, sf_dir):
+    """SQL over a table with another name in it, with the columns that an INSERT names."""
+    db = Database.of(spark, sf_dir, "region", "nation")
+    for sql in ("INSERT INTO nation /* (n_regionkey) */ (n_name, n_nationkey) SELECT r_name, r_regionkey + 100 FROM region", "UPDATE nation AS n SET n_name = lower(n.n_name) WHERE n.n_nationkey >= 100", "DELETE FROM nation n WHERE n.n_regionkey = 0"):
+        Writer(db, WriteGrant()).run(sql)
+    return db.frame("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+
+
+@query("db_write_refusals", "SELECT n_nationkey, 'SqlFailed' AS unknown_column, 'GuardedColumnInWrite' AS guarded_column, 'WriteNotGranted' AS no_grant, 'DestructiveNotGranted' AS all_rows FROM nation")
+def write_refusals(spark, sf_dir):
+    """What is refused leaves the table as it was."""
+    db = Database.of(spark, sf_dir, "nation", access=Access(masked={"nation.n_name": Mask("full")}))
+    told = []
+    for sql, grant in (("INSERT INTO nation (n_nationkey, nosuch) VALUES (90, 1)", WriteGrant()), ("INSERT INTO nation (n_nationkey, /* x */ n_name) VALUES (90, 'x')", WriteGrant()), ("DELETE FROM nation WHERE n_nationkey = 1", None), ("DELETE FROM nation", WriteGrant())):
+        try:
+            Writer(db, grant).run(sql)
+            told.append("none")
+        except Refusal as refusal:
+            told.append(refusal.name)
+    names = ("unknown_column", "guarded_column", "no_grant", "all_rows")
+    return db.frame("SELECT n_nationkey FROM nation").select("n_nationkey", *(F.lit(x).alias(n) for x, n in zip(told, names)))
+
+
 @query("db_write_insert", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation")
 def insert(spark, sf_dir):
     db = Database.of(spark, sf_dir, "region", "nation")

@@ -64,3 +64,10 @@ def asof(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("at")).agg(F.max("o_orderkey").alias("o_orderkey"))
     events = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return as_of_join(events, orders, ["user_id"], "ts", "at").select("event_id", "o_orderkey")
+
+
+@query("rel_asof_nulls", "WITH c AS (SELECT client_id, valid_at, max(change_id) AS change_id FROM client_changes WHERE client_id IS NOT NULL AND valid_at IS NOT NULL GROUP BY 1, 2) SELECT k.click_id, c.change_id FROM clicks k ASOF LEFT JOIN c ON k.client_id = c.client_id AND k.ts >= c.valid_at")
+def asof_nulls(spark, sf_dir):
+    """Each click with its client's latest change before it; clicks of nobody have none."""
+    changes = load(spark, sf_dir, "client_changes").groupBy("client_id", "valid_at").agg(F.max("change_id").alias("change_id"))
+    return as_of_join(load(spark, sf_dir, "clicks").select("click_id", "client_id", "ts"), changes, ["client_id"], "ts", "valid_at").select("click_id", "change_id")

@@ -225,3 +225,21 @@ def kind_filter(spark, sf_dir):
     hits = load(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.array(*map(F.lit, ("code", "comment", "string"))), (F.col("item_id") % 3 + 1).cast("int")).alias("kind"))
     kept, removed = T.filter_kinds(hits, "comment")
     return kept.withColumn("removed", F.lit(None).cast("long")).unionByName(removed, allowMissingColumns=True)
+
+
+_NESTED = """'{"a":{"0":"o' || event_id || '","it''s":[1,{"~":2}]},"b":[10,{"1":null}]}'"""
+
+
+@query("source_json_pointer_edges", """SELECT event_id, 'o' || event_id AS object_key, '10' AS place, '2' AS quoted, CAST(NULL AS VARCHAR) AS none FROM events""")
+def json_pointer_edges(spark, sf_dir):
+    """Numbers as keys of objects and places of arrays, keys with quotes, and what isn't there."""
+    rows = load(spark, sf_dir, "events").select("event_id", F.expr(_NESTED.replace("''", "\\'")).alias("j"))
+    at = lambda p: structured.json_pointer(F.col("j"), p)
+    return rows.select("event_id", at("/a/0").alias("object_key"), at("/b/0").alias("place"), at("/a/it's/1/~0").alias("quoted"), at("/b/01").alias("none"))
+
+
+@query("text_normalized", "SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, CAST(1 AS INT) AS at FROM benchmark WHERE NOT contains(text, '#') AND NOT contains(text, '//') AND NOT contains(text, '/*')")
+def normalized(spark, sf_dir):
+    """A comment over two lines between two words is no part of a text."""
+    rows = load(spark, sf_dir, "benchmark").filter(~F.contains("text", F.lit("#")) & ~F.contains("text", F.lit("//")) & ~F.contains("text", F.lit("/*")))
+    return rows.select("item_id", T.normalized(F.concat(F.lit("/* one\n two */"), "text", F.lit("// end"))).alias("plain"), F.lit(1).alias("at"))

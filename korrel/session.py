@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations "
+    "clicks sales sale_lines clients client_changes vendors items stamps"
 ).split()
 
 

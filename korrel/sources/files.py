@@ -37,40 +37,78 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+#: Whole numbers up to this are the same as doubles.
+_EXACT = 1 << 53
+
+
+def _settled(declared: str, seen: set[str]) -> str:
+    """The type of a column. Of numeric affinity (NUMERIC, DATE, BOOLEAN ..) it is what holds all values that are there."""
+    if not declared or any(mark in declared.upper() for mark, _ in _AFFINITY) or not seen:
+        return _type(declared)
+    if "blob" in seen:
+        return "binary"
+    if "text" in seen or {"large", "real"} <= seen:
+        return "string"
+    return "double" if "real" in seen else "long"
+
+
 def sqlite_table(spark: SparkSession, path: str, table: str, parts: int = 8) -> DataFrame:
-    """A table of a SQLite file that all executors can read, cut into ranges of row ids; types by affinity.
+    """A table of a SQLite file that all executors can read, cut into ranges of row ids.
 
-    Values that aren't of their column's type are null, as they would be in a typed table. Tables without row ids
-    are one range.
+    Columns of numeric affinity, such as dates, may hold anything; their type is what holds all their values: whole
+    numbers, doubles, text (numbers among it as SQLite writes them), or bytes, which takes a pass over the ranges.
+    In columns declared as whole numbers, reals, text or bytes, values of another type are null. Tables without row
+    ids are one range.
     """
     uri = f"file:{path}?mode=ro"
     with sqlite3.connect(uri, uri=True) as con:
-        columns = [(name, _type(kind or "")) for _, name, kind, *_ in con.execute(f"PRAGMA table_info({_quoted(table)})")]
-        if not columns:
+        declared = [(name, kind or "") for _, name, kind, *_ in con.execute(f"PRAGMA table_info({_quoted(table)})")]
+        if not declared:
             raise ValueError(f"no table {table}")
         try:
             low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(table)}").fetchone()
         except sqlite3.OperationalError:
             low = high = None
-    names = ", ".join(_quoted(n) for n, _ in columns)
-    sql = f"SELECT {names} FROM {_quoted(table)}"
+    names = [_quoted(n) for n, _ in declared]
     step = 1 if low is None else max(1, -(-(high - low + 1) // parts))
     ranges = [(None, None)] if low is None else [(k, min(high, k + step - 1)) for k in range(low, high + 1, step)]
-
-    def fits(value, kind):
-        return {"long": int, "string": str, "binary": bytes, "double": (int, float)}[kind] if value is not None else object
+    dealt = spark.createDataFrame(ranges, "low long, high long").repartition(len(ranges))
+
+    def asked(sql):
+        """Rows of ``sql`` over each range of a task."""
+        def run(batches):
+            with sqlite3.connect(uri, uri=True) as con:
+                for batch in batches:
+                    for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                        yield con.execute(sql) if a is None else con.execute(sql + " WHERE rowid BETWEEN ? AND ?", (a, b))
+        return run
+
+    kinds = ", ".join(f"group_concat(DISTINCT CASE WHEN typeof({n}) = 'integer' AND abs({n} + 0.0) > {_EXACT} THEN 'large' ELSE typeof({n}) END)" for n in names)
+    counted = asked(f"SELECT {kinds} FROM {_quoted(table)}")
+
+    def look(batches):
+        for rows in counted(batches):
+            yield pa.record_batch([pa.array([list(rows.fetchone())], pa.list_(pa.string()))], names=["kinds"])
+
+    seen: list[set[str]] = [set() for _ in names]
+    for row in dealt.mapInArrow(look, "kinds array<string>").collect():  # one row a range
+        for k, found in enumerate(row["kinds"]):
+            seen[k] |= set((found or "null").split(",")) - {"null"}
+    columns = [(n, _settled(kind, seen[k])) for k, (n, kind) in enumerate(declared)]
+    free = [not any(mark in kind.upper() for mark, _ in _AFFINITY) and bool(kind) for _, kind in declared]
+    wanted = ", ".join(f"CAST({q} AS {'TEXT' if t == 'string' else 'BLOB'})" if any_ and t in ("string", "binary") else q for q, any_, (_, t) in zip(names, free, columns))
+    chosen = asked(f"SELECT {wanted} FROM {_quoted(table)}")
+
+    kind = {"long": int, "string": str, "binary": bytes, "double": (int, float)}
 
     def read(batches):
-        with sqlite3.connect(uri, uri=True) as con:
-            for batch in batches:
-                for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    rows = con.execute(sql) if a is None else con.execute(sql + " WHERE rowid BETWEEN ? AND ?", (a, b))
-                    while some := rows.fetchmany(10_000):
-                        kept = [[v if isinstance(v, fits(v, t)) else None for v in column] for column, (_, t) in zip(zip(*some), columns)]
-                        yield pa.record_batch([pa.array([float(v) if t == "double" and v is not None else v for v in x], _ARROW[t]) for x, (_, t) in zip(kept, columns)], names=[n for n, _ in columns])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in columns)
-    return spark.createDataFrame(ranges, "low long, high long").repartition(len(ranges)).mapInArrow(read, schema)
+        for rows in chosen(batches):
+            while some := rows.fetchmany(10_000):
+                kept = [[(float(v) if t == "double" else v) if isinstance(v, kind[t]) else None for v in x] for x, (_, t) in zip(zip(*some), columns)]
+                yield pa.record_batch([pa.array(x, _ARROW[t]) for x, (_, t) in zip(kept, columns)], names=[n for n, _ in columns])
+
+    schema = ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in columns)
+    return dealt.mapInArrow(read, schema)
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:

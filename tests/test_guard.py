@@ -17,10 +17,10 @@ from korrel.sources.render import Renderer
 SECRETS = ("badge-", "pin-", "key-of-", "555-01", "ines@", "tomas@")
 
 
-def make(spark, strict):
+def make(spark, strict, **settings):
     """A clinic: staff with hidden badges and pins and masked numbers, their visits, and a vault nobody may read."""
     rules = Access(hidden=["staff.badge", "*.pin"], masked={"staff.phone": Mask("partial", 2), "staff.contact": Mask("email")}, blocked=["vault"], strict=strict)
-    db = Database(spark, rules, Limits(timeout_ms=120_000, rate_per_minute=10_000))
+    db = Database(spark, rules, Limits(timeout_ms=120_000, rate_per_minute=10_000), **settings)
     staff = [(11, "Ines", "555-0142", "ines@clinic.test", "badge-a", "pin-1"), (12, "Tomas", "555-0177", "tomas@clinic.test", "badge-b", "pin-2"), (13, "Wu", None, "no mail", "badge-c", None)]
     db.add("staff", db.spark.createDataFrame(staff, "emp long, nick string, phone string, contact string, badge string, pin string"))
     db.add("visits", db.spark.createDataFrame([(70, 11, 15.0), (71, 11, 40.5), (72, 13, 5.0)], "visit long, emp long, minutes double"))
@@ -279,6 +279,68 @@ def test_sql_writes(spark):
     assert run("DROP TABLE visits", destructive=True).destructive and "visits" not in db.tables()[0]
 
 
+def test_sql_writes_by_the_statements_own_names(spark):
+    db = make(spark, True)
+    run = lambda sql, **grant: Writer(db, WriteGrant(**grant)).run(sql)
+    for sql, wanted in [
+        ("INSERT INTO visits (visit, nosuch, minutes) VALUES (90, 5, 1.5)", "SqlFailed"), ("INSERT INTO staff (emp, /*x*/ phone) VALUES (1, 'x')", "GuardedColumnInWrite"), ("INSERT INTO visits (visit, visit) VALUES (1, 2)", "SqlFailed"),
+        ("INSERT INTO staff (emp, `phone`) VALUES (1, 'x')", "GuardedColumnInWrite"), ("UPDATE visits v SET w.minutes = 1 WHERE w.emp = 1", "SqlFailed"), ("DELETE FROM staff s WHERE s.phone = 'x'", "GuardedColumnInWrite"), ("CREATE TABLE vault AS SELECT 1 AS a", "TableRefused"), ("CREATE TABLE copy AS SELECT phone FROM staff", "GuardedColumnInWrite"), ("CREATE TABLE visits AS SELECT 1 AS a", "SqlFailed"),
+    ]:
+        try:
+            run(sql)
+            found = "none"
+        except errors.Refusal as refusal:
+            found = refusal.name
+        assert found == wanted, sql
+    before = db.count("visits")
+    assert run("INSERT INTO visits /* (emp) */ (minutes, visit) SELECT 1.5, 90 WHERE '(values' <> ')'").rows_affected == 1
+    assert db.count("visits") == before + 1 and [tuple(r) for r in db.frame("SELECT emp, minutes FROM visits WHERE visit = 90").collect()] == [(None, 1.5)]
+    assert run("UPDATE visits AS v SET minutes = v.minutes + 1 WHERE v.visit = 90").rows_affected == 1
+    assert run("DELETE FROM visits v WHERE v.visit = 90").rows_affected == 1
+    assert run("CREATE TABLE late AS SELECT visit, minutes FROM visits WHERE minutes > 0").rows_affected == db.count("late")
+
+
+def test_written_values_stay(spark):
+    db = make(spark, True)
+    Writer(db, WriteGrant(destructive=True)).run("UPDATE visits SET minutes = cast(unix_micros(now()) AS double) + rand()")
+    read = lambda: sorted(r["minutes"] for r in db.frame("SELECT minutes FROM visits").collect())
+    assert read() == read()
+    Writer(db, WriteGrant()).insert("visits", spark.range(3).selectExpr("id AS visit", "rand() AS minutes"))
+    assert read() == read()
+
+
+def test_writes_in_a_dialect(spark):
+    db = make(spark, True, dialect="postgres")
+    run = lambda sql: Writer(db, WriteGrant(destructive=True)).run(sql)
+    assert run("UPDATE visits SET minutes = strpos('abc', 'b')::double precision WHERE visit = 70").rows_affected == 1
+    assert [r["minutes"] for r in db.frame("SELECT minutes FROM visits WHERE visit = 70").collect()] == [2.0]
+    assert run("DELETE FROM visits v WHERE strpos(v.visit::text, '7') = 1").rows_affected > 0
+
+
+def test_tables_with_readers_of_their_own(spark, tmp_path):
+    import sqlite3
+
+    from korrel.sources.files import sqlite_table
+
+    path = str(tmp_path / "own.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE t (id INTEGER, day DATE, at DATETIME, price NUMERIC, mixed DECIMAL, big NUMERIC, flag BOOLEAN, note TEXT, ratio REAL, vacant NUMERIC)")
+        con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?, NULL)", [(1, "2020-01-02", "2020-01-02 03:04:05", 1.5, 7, 1 << 60, 1, "a", 2), (2, None, "x", 2, "n/a", 1, 0, None, 0.5)])
+    db = Database(spark, Access(masked={"t.note": Mask("full")}))
+    df = sqlite_table(db.spark, path, "t")
+    assert dict(df.dtypes) == {"id": "bigint", "day": "string", "at": "string", "price": "double", "mixed": "string", "big": "bigint", "flag": "bigint", "note": "string", "ratio": "double", "vacant": "double"}
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "2020-01-02", "2020-01-02 03:04:05", 1.5, "7", 1 << 60, 1, "a", 2.0, None), (2, None, "x", 2.0, "n/a", 1, 0, None, 0.5, None)]
+    db.add("t", df)
+    assert [tuple(r) for r in db.frame("SELECT id, note, count(*) OVER () AS n FROM t ORDER BY id").collect()] == [(1, "***", 2), (2, None, 2)]
+    with pytest.raises(errors.MaskedColumnUsed):
+        db.frame("SELECT upper(note) FROM t")
+    db.add_view("w", "SELECT id, note AS other FROM t")
+    with pytest.raises(errors.MaskedColumnUsed):
+        db.frame("SELECT length(other) FROM w")
+    with pytest.raises(errors.Refusal):
+        db.add_view("x", "DROP TABLE t")
+
+
 def test_dialect_rewriting():
     assert rewrite("SELECT total(x) FILTER (WHERE y > 1) FROM t", "sqlite") == "SELECT (coalesce(sum(cast(x AS DOUBLE)) FILTER (WHERE y > 1), 0.0D)) FROM t"
     assert rewrite("SELECT 'iif(1,2,3)', iif(a, 'x)', b)", "sqlite") == "SELECT 'iif(1,2,3)', if(a, 'x)', b)"
