@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import keep, mix, slices, span_hash, texts_of, tidied, word_runs
+from korrel.llm.common import keep, slices, span_hash, texts_of, tidied, word_runs
 
 #: Labelled documents that are fitted to and held out: the bound of the sample. Rounds and labels cover all documents.
 SAMPLE, HELD_OUT = 8000, 0.3
@@ -228,7 +228,7 @@ def _take(pairs: tuple[np.ndarray, np.ndarray], chosen: np.ndarray, count: int)
     return at[pairs[0][keep]], pairs[1][keep]
 
 
-FEATURES = "id long, exact long, sign long, text array<int>, meta array<int>"
+FEATURES = "id long, exact long, text array<int>, meta array<int>"
 
 
 def _steps(pairs: tuple[np.ndarray, np.ndarray], count: int) -> pa.ListArray:
@@ -251,20 +251,8 @@ def _pairs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return rows, sums[1:][edges[0] : edges[-1]] - np.repeat(sums[edges[:-1]], size)
 
 
-def _signs(count: int, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Four min-hashes of each row's words in one number: near copies mostly agree."""
-    words = pairs[1] < 1 << BITS
-    rows, features = pairs[0][words], pairs[1][words].astype(np.uint64)
-    begin = np.flatnonzero(np.diff(rows, prepend=-1))
-    sign = np.zeros(count, np.uint64)
-    for k in range(4):
-        if len(begin):
-            sign[rows[begin]] = mix(sign[rows[begin]] ^ np.minimum.reduceat(mix(features + np.uint64((k + 1) << 32)), begin))
-    return sign.view(np.int64)
-
-
 def _features(docs: DataFrame, id_col: str, text_col: str, meta: tuple[str, ...]) -> DataFrame:
-    """(id, exact, sign, text, meta): one row for each row of ``docs``, written to the shared folder."""
+    """(id, exact, text, meta): one row for each row of ``docs``, written to the shared folder."""
 
     @tidied
     def run(batches):
@@ -275,28 +263,28 @@ def _features(docs: DataFrame, id_col: str, text_col: str, meta: tuple[str, ...]
                 text = text_features(texts[low:high])
                 page = meta_features({c: batch.column(2 + k)[low:high].to_pylist() for k, c in enumerate(meta)})
                 exact = [xxhash.xxh3_64_intdigest(x) for x in texts[low:high]]
-                columns = [batch.column(0)[low:high], pa.array(np.array(exact, np.uint64).view(np.int64)), pa.array(_signs(count, text)), _steps(text, count), _steps(page, count)]
-                yield pa.record_batch(columns, names=["id", "exact", "sign", "text", "meta"])
+                columns = [batch.column(0)[low:high], pa.array(np.array(exact, np.uint64).view(np.int64)), _steps(text, count), _steps(page, count)]
+                yield pa.record_batch(columns, names=["id", "exact", "text", "meta"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"m{k}") for k, c in enumerate(meta)))
     return keep(rows.mapInArrow(run, FEATURES), "features")
 
 
 def _unlabelled(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Features of all documents that have no label, near copies once."""
+    """Features of all documents that have no label, equal texts once."""
     known = labels.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct()
     known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
     named = features.filter("id is not null").join(known, "id", "left_anti")
     rows = named.unionByName(features.filter("id is null"))  # which would all meet under one key
-    once = rows.groupBy("sign").agg(F.min_by(F.struct("text", "meta"), F.struct("id", "exact")).alias("row"))
+    once = rows.groupBy("exact").agg(F.min_by(F.struct("text", "meta"), F.struct("id", F.hash("meta"))).alias("row"))
     return keep(once.select("row.text", "row.meta"), "unlabelled")
 
 
 def _sample(features: DataFrame, labels: DataFrame) -> pa.Table:
-    """(id, text, meta, quality, toxic) of SAMPLE labelled documents at most; rows of one id count once."""
+    """(id, exact, text, meta, quality, toxic) of SAMPLE labelled documents at most; rows of one id count once."""
     said = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     said = said.filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    rows = features.join(F.broadcast(said), "id").groupBy("id").agg(F.min_by(F.struct("text", "meta", "quality", "toxic"), F.struct("exact", F.hash("meta"))).alias("row"))
+    rows = features.join(F.broadcast(said), "id").groupBy("id").agg(F.min_by(F.struct("exact", "text", "meta", "quality", "toxic"), F.struct("exact", F.hash("meta"))).alias("row"))
     return rows.select("id", "row.*").toArrow().sort_by("id")
 
 
@@ -355,7 +343,7 @@ def _train(features: DataFrame, labels: DataFrame) -> Models:
     count = found.num_rows
     pairs = [_pairs(found[c].combine_chunks()) if count else (np.zeros(0, np.int64),) * 2 for c in ("text", "meta")]
     first = np.zeros(count, bool)
-    first[np.unique(_signs(count, pairs[0]), return_index=True)[1]] = True  # copies would count as evidence
+    first[np.unique(found["exact"].to_numpy(), return_index=True)[1]] = True  # copies would count as evidence
     held = np.arange(count) % 10 < 10 * HELD_OUT
     models, splits, taught = {}, [], []
     fitted = [[NOTHING] * 4 for _ in SIZES]  # for each view: target by target the fitted and the counted model
@@ -391,7 +379,7 @@ def _train(features: DataFrame, labels: DataFrame) -> Models:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = META) -> Models:
     """Models of quality and toxic from SAMPLE labelled documents at most and all documents that have no label.
 
-    Labels of one id are taken together (the worst); documents of one id count once, near copies too. A labelled
+    Labels of one id are taken together (the worst); documents of one id count once, equal texts too. A labelled
     document beyond the sample takes no part. Null ids of labels are left out; documents with a null id have none.
     """
     return _train(_features(docs, id_col, text_col, meta), labels)

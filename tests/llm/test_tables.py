@@ -285,3 +285,22 @@ def test_a_damaged_archive_is_refused(spark, tmp_path):
 @pytest.mark.parametrize("run, sql", [(op11_merkle_manifest, merkle.MERKLE_SQL), (op13_warc_archives, warc.WARC_SQL)])
 def test_queries_by_sql(spark, small, run, sql):
     same(run(spark, small), connect(small), sql)
+
+
+# 6 Co-training: who takes part
+
+
+@pytest.mark.parametrize("kind", ["drawn from one vocabulary", "alike but for a few words", "numbered"])
+def test_every_different_text_is_taught_from(spark, kind):
+    """Documents without a label take part however alike they are; equal texts once."""
+    from korrel.llm import cotrain
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    common = " ".join(words[:60])
+    make = {"drawn from one vocabulary": lambda k: " ".join(rng.choice(words) for _ in range(200)), "alike but for a few words": lambda k: f"{common} {' '.join(rng.sample(words, 6))} {k}", "numbered": lambda k: f"fine text number {k}"}[kind]
+    texts = [make(k) for k in range(1000)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate([*texts, *texts[:50]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    features = cotrain._features(docs, "doc_id", "text", cotrain.META)
+    assert cotrain._unlabelled(features, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")).count() == 1000
