@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korrel.operators.prefix import running
+from korrel.operators.prefix import running, smoothed
 from korrel.operators.expressions import Scope, compile_expression, compile_filter, literal
 from korrel.plans.errors import CommandInvalid, HiddenFieldUsed, MaskedFieldUsed, OperatorDenied, TableNotFound, TableRefused
 from korrel.plans.policy import Access, Mask
@@ -529,18 +529,49 @@ def _window_fields(self, df, spec, state):
     order = _order(spec["sortBy"], state, scope) if spec.get("sortBy") else []
     base = Window.partitionBy(*keys).orderBy(*order) if order else Window.partitionBy(*keys)
     sort_field = scope.field(next(iter(spec["sortBy"]))) if order else None
-    new = {}
-    for name, e in spec["output"].items():
+    new, averages = {}, []
+    for k, (name, e) in enumerate(spec["output"].items()):
         state.name(name)
         op, a = next((k, v) for k, v in e.items() if k != "window")
         window = e.get("window")
+        if op == "$expMovingAvg":
+            averages.append((name, _number(compile_expression(a["input"], scope)), a["alpha"] if "alpha" in a else 2.0 / (a["N"] + 1)))
+            continue
         if window and "range" in window and window.get("unit"):
             base_range = Window.partitionBy(*keys).orderBy(F.unix_timestamp(sort_field.cast("timestamp")))
             frame = _frame(window, base_range, True)
         else:
             frame = _frame(window, base, bool(order))
+        if op == "$integral":
+            df = df.withColumn(f"__area{k}", _area(a, scope, base, sort_field))
+            new[name] = _integral(F.col(f"__area{k}"), frame)
+            continue
         new[name] = _window_operator(op, a, scope, base, frame, sort_field)
-    return df.withColumns(new)
+    shown = [c for c in df.columns if not c.startswith("__area")]
+    made = df.withColumns(new).select(*(F.col(f"`{c}`") for c in dict.fromkeys([*shown, *new])))
+    for name, x, alpha in averages:
+        keyed = made.withColumns({f"__by{k}": c for k, c in enumerate(keys)})
+        made = smoothed(keyed, [f"__by{k}" for k in range(len(keys))], order, x, alpha, name).drop(*(f"__by{k}" for k in range(len(keys))))
+    return made
+
+
+def _unit(a, sort_field) -> Column:
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}.get(a.get("unit"), 1)
+    return F.unix_micros(sort_field.cast("timestamp")) / 1e6 / seconds if a.get("unit") else sort_field.cast("double")
+
+
+def _area(a, scope, base, sort_field) -> Column:
+    """The area between a row and the one before it; none before the first."""
+    x, t = _number(compile_expression(a["input"], scope)), _unit(a, sort_field)
+    area = (t - F.lag(t).over(base)) * (F.lag(x).over(base) + x) / 2
+    return F.when(F.lag(F.lit(1)).over(base).isNull(), 0.0).otherwise(area)
+
+
+def _integral(area: Column, frame) -> Column:
+    """Areas add up, but for the first row's, which lies before the frame; one that isn't known makes the sum unknown."""
+    first = F.first(area).over(frame)
+    unknown = F.count_if(area.isNull()).over(frame) - first.isNull().cast("int")
+    return F.when(F.count(F.lit(1)).over(frame) <= 1, 0.0).when(unknown == 0, F.sum(area).over(frame) - F.coalesce(first, F.lit(0.0)))
 
 
 def _window_operator(op, a, scope, base, frame, sort_field) -> Column:
@@ -559,19 +590,9 @@ def _window_operator(op, a, scope, base, frame, sort_field) -> Column:
             return found
         there = (F.lead(F.lit(1), by) if by >= 0 else F.lag(F.lit(1), -by)).over(base)
         return F.when(there.isNull(), literal(default)).otherwise(found)
-    if op in ("$derivative", "$integral"):
-        unit = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}.get(a.get("unit"), 1)
-        x = _number(go(a["input"]))
-        t = F.unix_micros(sort_field.cast("timestamp")) / 1e6 / unit if a.get("unit") else sort_field.cast("double")
-        if op == "$derivative":
-            return F.try_divide(F.last(x).over(frame) - F.first(x).over(frame), F.last(t).over(frame) - F.first(t).over(frame))
-        rows = F.collect_list(F.struct(t.alias("t"), x.alias("x"))).over(frame)
-        areas = F.zip_with(F.slice(rows, 1, F.size(rows) - 1), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda p, q: (q["t"] - p["t"]) * (p["x"] + q["x"]) / 2)
-        return F.when(F.size(rows) > 1, F.aggregate(areas, F.lit(0.0), lambda s, v: s + v)).otherwise(0.0)
-    if op == "$expMovingAvg":
-        alpha = a["alpha"] if "alpha" in a else 2.0 / (a["N"] + 1)
-        rows = F.collect_list(_number(go(a["input"]))).over(base.rowsBetween(Window.unboundedPreceding, 0))
-        return F.aggregate(F.slice(rows, F.lit(2), F.size(rows)), F.element_at(rows, 1), lambda s, x: x * alpha + s * (1 - alpha))
+    if op == "$derivative":
+        x, t = _number(go(a["input"])), _unit(a, sort_field)
+        return F.try_divide(F.last(x).over(frame) - F.first(x).over(frame), F.last(t).over(frame) - F.first(t).over(frame))
     if op == "$locf":
         return F.last(go(a), ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
     if op == "$linearFill":

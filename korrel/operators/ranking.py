@@ -171,6 +171,29 @@ def greedy_cover(candidates: list[tuple[str, float, set[str]]], gains: dict[str,
     return chosen if sum(gains.get(x, 0.0) for x in seen) >= single[0] else [single[1]]
 
 
+def cover_rounds(items: DataFrame, costs: DataFrame, gains: DataFrame, budget: float) -> list[str]:
+    """The same names in the same order for candidates that are tables: items(name, item), costs(name, cost),
+    gains(item, gain).
+
+    A round sums up for each name what it would still add and picks the best for its cost (ties by name); what the
+    picked one covers leaves the table. So there are as many rounds as names that are chosen, and only one row of
+    each comes to the driver.
+    """
+    known = items.distinct().join(gains.groupBy("item").agg(F.first("gain").cast("double").alias("gain")), "item")
+    known = checkpointed(known.join(costs.filter(F.col("cost") <= budget).select("name", F.col("cost").cast("double").alias("cost")), "name"))
+    by_worth = lambda rows: rows.groupBy("name").agg(F.sum("gain").alias("worth"), F.first("cost").alias("cost"))
+    single = by_worth(known).orderBy(F.desc("worth"), F.desc("name")).first()
+    chosen, left, covered = [], budget, 0.0
+    while (best := by_worth(known.filter(F.col("cost") <= left)).filter("worth > 0").orderBy(F.desc(F.col("worth") / F.col("cost")), "name").first()) is not None:
+        chosen.append(best["name"])
+        left, covered = left - best["cost"], covered + best["worth"]
+        taken = known.filter(F.col("name") == best["name"]).select("item")
+        known = checkpointed(known.join(taken, "item", "left_anti"))
+    if single is None or covered >= single["worth"]:
+        return chosen
+    return [single["name"]]
+
+
 def stem(word: Column) -> Column:
     """A light suffix stem: plural and verb endings of words long enough."""
     w = F.lower(word)
@@ -240,3 +263,24 @@ def partition_tree(sizes: list[tuple[str, int]], capacity: int) -> dict[str, str
 
     cut("", sorted(sizes))
     return out
+
+
+def tree_regions(rows: DataFrame, path: str, size: Column, capacity: int) -> DataFrame:
+    """``rows`` with ``region``, as ``partition_tree`` tells it: the highest directory that fits the capacity or has
+    one path alone, else the path's own directory; ``.`` is the root.
+
+    Sizes are summed up by directory, then for all directories above; a directory that doesn't fit is cut. What is
+    cut lies under what is cut, so how many of a directory's ancestors are cut says which one is its region. At each
+    depth the cut ones are no more than the total divided by the capacity.
+    """
+    steps = F.split(F.regexp_replace(F.col(path), "^/+", ""), "/")
+    placed = rows.withColumns({"__size": size, "__dir": F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), "/")})
+    own = placed.groupBy("__dir").agg(F.sum("__size").alias("s"), F.count("*").alias("n"))
+    parts = F.filter(F.split("__dir", "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    chain = checkpointed(own.select("__dir", "s", "n", F.explode(above).alias("up")))
+    cut = chain.groupBy("up").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter((F.col("s") > capacity) & (F.col("n") > 1)).select("up")
+    depth = chain.join(cut, "up", "left_semi").groupBy("__dir").agg(F.count("*").cast("int").alias("cuts"))
+    region = F.array_join(F.slice(parts, F.lit(1), F.least(F.coalesce("cuts", F.lit(0)), F.size(parts))), "/")
+    told = placed.join(depth, "__dir", "left").withColumn("region", F.when(region == "", ".").otherwise(region))
+    return told.select(*rows.columns, "region")

@@ -83,15 +83,34 @@ def mutual(spark, sf_dir):
     return c.select("p_brand", F.round(R.mutual_information(F.col("x"), F.col("a"), F.col("b"), F.col("n")), 9).alias("bits"))
 
 
-@query("rank_greedy_cover")
+@query("rank_greedy_cover", """WITH RECURSIVE b AS (SELECT p_brand AS brand, count(*)::DOUBLE AS cost, list_distinct(list(p_size)) AS items FROM part GROUP BY 1), g AS (SELECT p_size AS item, sum(p_retailprice) AS gain FROM part GROUP BY 1), i AS (SELECT brand, cost, unnest(items) AS item FROM b),
+r(place, brand, money, seen) AS (SELECT -1, NULL::VARCHAR, (SELECT sum(cost) / 4 FROM b), []::INT[] UNION ALL
+SELECT place + 1, best.brand, money - best.cost, list_concat(seen, best.items) FROM (SELECT r.place, r.money, r.seen, (SELECT arg_max({'brand': x.brand, 'cost': x.cost, 'items': x.items}, {'v': x.worth / x.cost, 'n': -x.n}) FROM (SELECT i.brand, any_value(i.cost) AS cost, list(i.item) AS items, sum(g.gain) AS worth, (SELECT count(*) FROM b WHERE b.brand < i.brand) AS n FROM i JOIN g USING (item) WHERE NOT list_contains(r.seen, i.item) AND i.cost <= r.money GROUP BY i.brand) x WHERE x.worth > 0) AS best FROM r) WHERE best IS NOT NULL),
+c AS (SELECT coalesce(sum(gain), 0) AS covered FROM g WHERE list_contains((SELECT arg_max(seen, place) FROM r), item)), s AS (SELECT arg_max(brand, {'w': w, 'b': brand}) AS brand, max(w) AS w FROM (SELECT brand, sum(gain) AS w FROM i JOIN g USING (item) WHERE cost <= (SELECT sum(cost) / 4 FROM b) GROUP BY 1))
+SELECT CAST(place AS INT) AS place, r.brand AS brand FROM r, c, s WHERE place >= 0 AND covered >= s.w UNION ALL SELECT 0, s.brand FROM c, s WHERE covered < s.w""")
 def cover(spark, sf_dir):
-    """Brands that cover most retail price by size under a budget; brands are few."""
-    rows = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("cost"), F.collect_set(F.col("p_size").cast("string")).alias("items")).collect()
-    gains = {str(r["p_size"]): r["g"] for r in load(spark, sf_dir, "part").groupBy("p_size").agg(F.sum("p_retailprice").alias("g")).collect()}
-    picked = R.greedy_cover([(r["p_brand"], float(r["cost"]), set(r["items"])) for r in rows], gains, sum(r["cost"] for r in rows) / 4)
+    """Brands that cover most retail price by size under a budget."""
+    part = load(spark, sf_dir, "part")
+    costs = part.groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("cost"))
+    items = part.select(F.col("p_brand").alias("name"), F.col("p_size").alias("item"))
+    gains = part.groupBy(F.col("p_size").alias("item")).agg(F.sum("p_retailprice").alias("gain"))
+    picked = R.cover_rounds(items, costs, gains, part.count() / 4)
     return spark.createDataFrame([(k, x) for k, x in enumerate(picked)], "place int, brand string")
 
 
+_URL = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+
+
+@query("rank_tree_regions", f"""WITH p AS (SELECT page_id, {_URL} AS path, length(html) AS size FROM pages), d AS (SELECT *, list_filter(string_split(path, '/')[:-2], lambda x: x <> '') AS dirs FROM p),
+u AS (SELECT page_id, size, k, array_to_string(dirs[:k], '/') AS up FROM d, LATERAL (SELECT unnest(range(0, len(dirs) + 1)) AS k)), c AS (SELECT up FROM u GROUP BY up HAVING sum(size) > 30000 AND count(*) > 1),
+m AS (SELECT page_id, count(*) AS cuts FROM u WHERE up IN (SELECT up FROM c) GROUP BY 1)
+SELECT d.page_id, CASE WHEN len(dirs) = 0 OR coalesce(cuts, 0) = 0 THEN '.' ELSE array_to_string(dirs[:least(cuts, len(dirs))], '/') END AS region FROM d LEFT JOIN m USING (page_id)""")
+def regions(spark, sf_dir):
+    """Pages in regions of some 30,000 characters, by host and folder."""
+    pages = load(spark, sf_dir, "pages").select("page_id", F.expr(_URL).alias("path"), F.char_length("html").alias("size"))
+    return R.tree_regions(pages, "path", F.col("size"), 30_000).select("page_id", "region")
+
+
 @query("rank_stems", "SELECT n_nationkey, regexp_replace(lower(n_name) || 'ies', 'ies$', 'y') AS a, lower(n_name) AS b FROM nation WHERE NOT regexp_matches(lower(n_name), '([aeiou]|ss|us|is)$')")
 def stems(spark, sf_dir):
     rows = load(spark, sf_dir, "nation").filter(~F.lower("n_name").rlike("([aeiou]|ss|us|is)$"))

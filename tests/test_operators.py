@@ -167,6 +167,68 @@ def test_pagerank(spark):
         ranking.pagerank(edges, teleport=spark.createDataFrame([(3, -1.0)], "node int, weight double"))
 
 
+def test_cover_in_rounds_is_the_lazy_one(spark):
+    import random
+
+    rng = random.Random(12)
+    for _ in range(4):
+        candidates = [(f"n{k}", rng.randint(1, 5), {f"i{rng.randrange(20)}" for _ in range(rng.randint(1, 6))}) for k in range(12)]
+        gains = {f"i{k}": float(rng.randint(0, 9)) for k in range(18)}
+        tables = [
+            spark.createDataFrame([(n, i) for n, _, items in candidates for i in items], "name string, item string"),
+            spark.createDataFrame([(n, float(c)) for n, c, _ in candidates], "name string, cost double"), spark.createDataFrame(list(gains.items()), "item string, gain double"),
+        ]
+        assert ranking.cover_rounds(*tables, 9.0) == ranking.greedy_cover(candidates, gains, 9.0)
+    assert ranking.cover_rounds(*(t.filter("false") for t in tables), 9.0) == []
+
+
+def test_regions_are_the_trees(spark):
+    import random
+
+    rng = random.Random(3)
+    paths = {"/".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) + ("/" if rng.random() < 0.9 else "") + f"f{k}" for k in range(120)} | {"top", "a/x/y/z/deep"}
+    paths = {p.lstrip("/") for p in paths}
+    sizes = [(p, rng.randint(1, 9)) for p in sorted(paths)]
+    df = spark.createDataFrame(sizes, "p string, n int").repartition(3)
+    for capacity in (1, 25, 90, 10_000):
+        assert {r["p"]: r["region"] for r in ranking.tree_regions(df, "p", F.col("n"), capacity).collect()} == ranking.partition_tree(sizes, capacity)
+
+
+def test_as_of_join_with_nulls_and_one_key(spark):
+    from korrel.operators.logs import as_of_join
+
+    left = [(k, 1 if k % 9 else None, k * 2 if k % 7 else None) for k in range(300)]
+    right = [(k, 1 if k % 5 else None, k * 3 if k % 4 else None) for k in range(200)]
+    l, r = spark.createDataFrame(left, "i int, k int, t int").repartition(5), spark.createDataFrame(right, "j int, k int, u int").repartition(3)  # noqa: E741
+    found = {x["i"]: x["j"] for x in as_of_join(l, r, ["k"], "t", "u").collect()}
+    for i, k, t in left:
+        fits = [(u, j) for j, rk, u in right if rk is not None and rk == k and u is not None and t is not None and u <= t]
+        assert found[i] == (max(fits)[1] if fits else None)
+    assert as_of_join(l, r.filter("false"), ["k"], "t", "u").count() == 300 and as_of_join(l.filter("false"), r, ["k"], "t", "u").count() == 0
+
+
+def test_averages_over_ranges(spark):
+    from korrel.operators.prefix import smoothed
+
+    rows = [(g, k, None if (g, k) == ("b", 30) else float((k * 7919) % 101)) for g, n in (("a", 5000), ("b", 60), ("c", 1), (None, 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, x double").repartition(9)
+    found = {(r["g"], r["k"]): r["s"] for r in smoothed(df, ["g"], ["k"], F.col("x"), 0.3, "s").collect()}
+    state, seen = {}, set()
+    for g, k, x in rows:
+        state[g] = x if g not in seen else None if state[g] is None or x is None else 0.3 * x + 0.7 * state[g]
+        seen.add(g)
+        assert (found[g, k] is None) == (state[g] is None) and (state[g] is None or abs(found[g, k] - state[g]) < 1e-9)
+    assert len(found) == len(rows) and smoothed(df.filter("false"), [], ["k"], F.col("x"), 0.5, "s").count() == 0
+
+
+def test_sweep_by_age_and_size(spark):
+    from korrel.operators.logs import sweep
+
+    df = spark.createDataFrame([(k, k // 2, 10) for k in range(10)] + [(99, None, 1)], "id int, used int, size int")
+    assert sorted(x["id"] for x in sweep(df, "used", "size", 40).collect()) == [0, 1, 2, 3, 4, 5, 99]
+    assert sorted(x["id"] for x in sweep(df, "used", "size", 1000, oldest=F.lit(2)).collect()) == [0, 1, 2, 3, 99]
+
+
 def test_cover_intent_partition():
     assert ranking.greedy_cover([("a", 1, {"x"}), ("b", 1, {"y"}), ("c", 3, {"x", "y", "z"})], {"x": 1, "y": 1, "z": 9}, 3) == ["c"]
     assert ranking.intent("who really calls parse") == "callers" and ranking.intent("where is it") == "definition" and ranking.intent("tell me") == "explain"
