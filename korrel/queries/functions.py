@@ -55,7 +55,7 @@ postgres("json", "SELECT event_id, json_extract_path_text(props, 'k') AS k, json
          "SELECT event_id, json_extract_string(props, '$.k') AS k, 'object' AS t, '{\"k\":' || json_extract_string(props, '$.k') || ',\"z\":1}' AS s, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS o, true AS e, '{}' AS n FROM events")
 postgres("arrays", "SELECT vec_id, cardinality(embedding) AS n, array_length(array_cat(slice(embedding, 1, 2), slice(embedding, 1, 3)), 1) AS c, size(trim_array(embedding, 3)) AS t, array_upper(embedding, 1) AS u, size(array_positions(array(1, label, 1), 1)) AS p FROM embeddings",
          "SELECT vec_id, len(embedding) AS n, 5 AS c, len(embedding) - 3 AS t, len(embedding) AS u, CASE WHEN label = 1 THEN 3 ELSE 2 END AS p FROM embeddings")
-postgres("series", "SELECT g, g * g AS s FROM (SELECT generate_series(1, 30, 3) AS g)", "SELECT CAST(g AS INT) AS g, CAST(g * g AS INT) AS s FROM generate_series(1, 30, 3) t(g)")
+postgres("series", "SELECT p_partkey, g, g * g AS s FROM (SELECT p_partkey, generate_series(1, p_size, 10) AS g FROM part)", "SELECT p_partkey, CAST(g AS INT) AS g, CAST(g * g AS INT) AS s FROM (SELECT p_partkey, unnest(generate_series(1, p_size, 10)) AS g FROM part)")
 postgres("casts", "SELECT l_orderkey, l_linenumber, int4(l_quantity) AS i, text(l_linenumber) AS t, float8(l_linenumber) AS f, bool(l_linenumber - 1) AS b FROM lineitem",
          "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS i, CAST(l_linenumber AS VARCHAR) AS t, CAST(l_linenumber AS DOUBLE) AS f, l_linenumber <> 1 AS b FROM lineitem")
 postgres("ranges_and_networks", "SELECT s_suppkey, lower_inc(r) AS li, upper_inf(r) AS ui, isempty(r) AS e, host(a) AS h, masklen(a) AS m, family(a) AS f FROM (SELECT s_suppkey, named_struct('lo', s_nationkey, 'hi', 12, 'lower_inc', true, 'upper_inc', false) AS r, concat('10.0.', s_nationkey, '.0/24') AS a FROM supplier)",

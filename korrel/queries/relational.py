@@ -38,9 +38,9 @@ statement("rel_except", "SELECT p_size AS k FROM part EXCEPT SELECT n_nationkey
 statement("rel_except_all", "SELECT l_linestatus AS k FROM lineitem EXCEPT ALL SELECT o_orderstatus FROM orders")
 statement("rel_order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 statement("rel_offset", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20 OFFSET 10")
-statement("rel_values", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)")
+statement("rel_values", "SELECT o_orderkey, b FROM orders JOIN (VALUES ('F', 'x'), ('O', 'y'), ('P', NULL)) AS t(a, b) ON o_orderstatus = a")
 statement("rel_cte", "WITH big AS (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY l_orderkey), top AS (SELECT * FROM big WHERE total > 150000) SELECT o_orderkey, round(total, 2) AS total FROM orders JOIN top ON o_orderkey = l_orderkey")
-statement("rel_recursive", "WITH RECURSIVE t(n, s) AS (SELECT 1, 1 UNION ALL SELECT n + 1, s + n + 1 FROM t WHERE n < 50) SELECT n, s FROM t")
+statement("rel_recursive", "WITH RECURSIVE t(client, master, depth) AS (SELECT client_id, master_id, 0 FROM clients WHERE master_id IS NOT NULL UNION ALL SELECT t.client, c.master_id, depth + 1 FROM t JOIN clients c ON c.client_id = t.master WHERE c.master_id IS NOT NULL AND depth < 3) SELECT client, master, depth FROM t")
 statement("rel_scalar_subquery", "SELECT c_custkey, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
 statement("rel_lateral", "SELECT c_custkey, t.top FROM customer c, LATERAL (SELECT max(o_totalprice) AS top FROM orders WHERE o_custkey = c.c_custkey) t")
 statement("rel_generate", "SELECT vec_id, label, x FROM (SELECT vec_id, label, explode(slice(embedding, 1, 3)) AS x FROM embeddings) t", "SELECT vec_id, label, unnest(embedding[1:3]) AS x FROM embeddings")
