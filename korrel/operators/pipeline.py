@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import count as counting
 import json
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -400,18 +401,75 @@ def _bucket(self, df, spec, state):
     return df.groupBy(key.alias("_id")).agg(*out).orderBy("_id")
 
 
+#: The preferred numbers of one decade.
+_SERIES = {
+    "R5": [1.0, 1.6, 2.5, 4.0, 6.3],
+    "R10": [1.0, 1.25, 1.6, 2.0, 2.5, 3.15, 4.0, 5.0, 6.3, 8.0],
+    "R20": [1.0, 1.12, 1.25, 1.4, 1.6, 1.8, 2.0, 2.24, 2.5, 2.8, 3.15, 3.55, 4.0, 4.5, 5.0, 5.6, 6.3, 7.1, 8.0, 9.0],
+    "1-2-5": [1.0, 2.0, 5.0],
+    "E6": [1.0, 1.5, 2.2, 3.3, 4.7, 6.8],
+    "E12": [1.0, 1.2, 1.5, 1.8, 2.2, 2.7, 3.3, 3.9, 4.7, 5.6, 6.8, 8.2],
+}
+
+
+def preferred(x: float, granularity: str, up: bool) -> float:
+    """The next number of a series above or below ``x``; 0 stays, and below nothing is 0."""
+    if x == 0:
+        return 0.0
+    if granularity == "POWERSOF2":
+        k = math.floor(math.log2(x))
+        near = [2.0**j for j in range(k - 1, k + 3)]
+    else:
+        k = math.floor(math.log10(x))
+        near = [float(f"{m}e{j}") for j in range(k - 1, k + 2) for m in _SERIES[granularity]]
+    return min(v for v in near if v > x) if up else max(v for v in near if v < x)
+
+
+def _preferred_bounds(counts: DataFrame, n: int, granularity: str) -> list[float]:
+    """Where the buckets begin and the last one ends. A bucket takes its share of the rows and what is left below the
+    next preferred number; of each bucket two sums over the counted values come to the driver."""
+    ends = counts.agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.max("__total").alias("total"), F.count_if(F.col("__v").isNull() | (F.col("__v") < 0)).alias("wrong")).first()
+    if ends["total"] is None:
+        return []
+    if ends["wrong"]:
+        raise CommandInvalid("granularity takes numbers from 0 on")
+    bounds, taken, share = [preferred(ends["low"], granularity, False)], 0, max(1, round(ends["total"] / n))
+    while taken < ends["total"] and len(bounds) <= n:
+        if len(bounds) == n or taken + share >= ends["total"]:
+            bounds.append(preferred(ends["high"], granularity, True))
+            break
+        last = counts.filter((F.col("__before") < taken + share) & (F.col("__before") + F.col("__n") >= taken + share)).first()["__v"]
+        bounds.append(preferred(last, granularity, True))
+        taken = counts.filter(F.col("__v") < bounds[-1]).agg(F.sum("__n")).first()[0]
+    return bounds
+
+
 def _bucket_auto(self, df, spec, state):
-    """About equal numbers; equal values share a bucket. Granularities aren't known here."""
-    if "granularity" in spec:
-        raise OperatorDenied("granularity")
+    """About equal numbers; equal values share a bucket. With a granularity buckets begin and end at preferred numbers."""
+    granularity = spec.get("granularity")
+    if granularity is not None and granularity not in {*_SERIES, "POWERSOF2"}:
+        raise OperatorDenied(f"granularity {granularity}")
     scope, n = state.scope(df), spec["buckets"]
     value = compile_expression(spec["groupBy"], scope)
+    value = _number(value) if granularity else value
     counts = df.groupBy(value.alias("__v")).agg(F.count("*").alias("__n"))
-    placed = running(counts, [], ["__v"], F.col("__n"), "__before", "__total").withColumn("__b", F.floor(F.col("__before") * n / F.col("__total")))
-    rows = df.withColumn("__v", value).join(placed.select(F.col("__v").alias("__w"), "__b"), F.col("__v").eqNullSafe(F.col("__w"))).drop("__w")
+    placed = running(counts, [], ["__v"], F.col("__n"), "__before", "__total")
+    if granularity:
+        placed = checkpointed(placed)
+        bounds = _preferred_bounds(placed, n, granularity)
+        at = F.lit(-1)
+        for low in bounds[:-1]:
+            at = at + (F.col("__v") >= low).cast("int")
+        rows = df.withColumn("__v", value).withColumn("__b", F.greatest(at, F.lit(0)))
+    else:
+        placed = placed.withColumn("__b", F.floor(F.col("__before") * n / F.col("__total")))
+        rows = df.withColumn("__v", value).join(placed.select(F.col("__v").alias("__w"), "__b"), F.col("__v").eqNullSafe(F.col("__w"))).drop("__w")
     own = _outputs(spec.get("output", {"count": {"$sum": 1}}), Scope(rows.columns, state.hidden, set(state.masks)))
     state.fresh()
     found = rows.groupBy("__b").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *own)
+    if granularity:
+        edge = lambda k: F.element_at(F.array(*map(F.lit, bounds or [0.0])), (F.col("__b") + k).cast("int"))
+        return found.withColumn("_id", F.struct(edge(1).alias("min"), edge(2).alias("max"))).orderBy("__b").drop("__b", "__lo", "__hi")
     upper = F.coalesce(F.lead("__lo").over(Window.orderBy("__b")), F.col("__hi"))  # as many rows as buckets
     return found.withColumn("_id", F.struct(F.col("__lo").alias("min"), upper.alias("max"))).orderBy("__b").drop("__b", "__lo", "__hi")
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korrel.operators import extract, syntax
+from korrel.operators.prefix import running
 from korrel.operators.text import lines
+from korrel.session import checkpointed
 
 PAGE = 100
 CONVENTIONAL = r"^(build|chore|ci|docs|feat|fix|perf|refactor|revert|style|test)(\([^)]+\))?!?: \S"
@@ -75,6 +77,18 @@ def scan(df: DataFrame, key: str, text: str, rules: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (check(df, key, text, r) for r in rules))
 
 
+def scan_page(violations: DataFrame, key: str, offset: int = 0) -> tuple[DataFrame, int]:
+    """The ``PAGE`` violations from ``offset`` on, by key, rule and line, with their ``place`` from 1; and how many there
+    are in all. Equal ones go by their text."""
+    order = [key, "rule", "line_no", "text"]
+    counted = violations.groupBy(*order).agg(F.count("*").alias("__n"))  # a line may break a rule twice
+    placed = checkpointed(running(counted, [], order, F.col("__n"), "__before", "__all"))
+    total = placed.agg(F.max("__all")).first()[0] or 0
+    near = placed.filter((F.col("__before") < offset + PAGE) & (F.col("__before") + F.col("__n") > offset))
+    each = near.withColumn("place", F.explode(F.sequence(F.col("__before") + 1, F.col("__before") + F.col("__n"))))
+    return each.filter((F.col("place") > offset) & (F.col("place") <= offset + PAGE)).select(*order, "place"), total
+
+
 def added(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Violations after that weren't there before, as a multiset by text: moved ones aren't new."""
     return after.select(key, "rule", "text").exceptAll(before.select(key, "rule", "text"))

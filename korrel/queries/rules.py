@@ -59,6 +59,13 @@ def scan(spark, sf_dir):
     return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query("rule_scan_page", f"WITH {LINES}, v AS (SELECT doc_id, 'forbid:the' AS rule, CAST(line_no AS INT) AS line_no, line AS text FROM l WHERE contains(line, 'the') UNION ALL SELECT doc_id, 'require:ation', 1, '' FROM documents WHERE NOT contains(text, 'ation')), n AS (SELECT *, row_number() OVER (ORDER BY doc_id, rule, line_no, text) AS place, count(*) OVER () AS found FROM v) SELECT * FROM n WHERE place > 100 AND place <= 200")
+def page(spark, sf_dir):
+    """The second page of what a scan finds, and how much that is."""
+    rows, found = R.scan_page(R.scan(load(spark, sf_dir, "documents"), "doc_id", "text", ["forbid:the", "require:ation"]), "doc_id", R.PAGE)
+    return rows.withColumn("found", F.lit(found).cast("long"))
+
+
 @query("rule_added", f"WITH {LINES} SELECT doc_id, 'forbid:idiot' AS rule, 'idiot' AS text FROM documents")
 def added(spark, sf_dir):
     """Texts that got one line more; their lines moved down, which adds nothing."""

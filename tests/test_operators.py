@@ -221,6 +221,19 @@ def test_averages_over_ranges(spark):
     assert len(found) == len(rows) and smoothed(df.filter("false"), [], ["k"], F.col("x"), 0.5, "s").count() == 0
 
 
+def test_buckets_at_preferred_numbers(spark):
+    from korrel.operators import pipeline as P
+
+    assert [P.preferred(x, g, up) for x, g, up in ((1.0, "R5", True), (1.0, "R5", False), (7, "R5", True), (0.02, "1-2-5", True), (0, "E6", True), (8, "POWERSOF2", True), (8, "POWERSOF2", False), (99, "E12", True))] == [1.6, 0.63, 10.0, 0.05, 0.0, 16.0, 4.0, 100.0]
+    db = P.Documents({"t": spark.createDataFrame([(k,) for k in range(100)], "v int").repartition(3)})
+    go = lambda g: db.run({"aggregate": "t", "pipeline": [{"$bucketAuto": {"groupBy": "$v", "buckets": 5, "granularity": g}}]})
+    for granularity, wanted in [("R20", [(0.0, 20.0, 20), (20.0, 40.0, 20), (40.0, 63.0, 23), (63.0, 90.0, 27), (90.0, 100.0, 10)]), ("POWERSOF2", [(0.0, 32.0, 32), (32.0, 64.0, 32), (64.0, 128.0, 36)]), ("1-2-5", [(0.0, 20.0, 20), (20.0, 50.0, 30), (50.0, 100.0, 50)])]:
+        found = go(granularity).collect()
+        assert [(r["_id"]["min"], r["_id"]["max"], r["count"]) for r in found] == wanted
+    with pytest.raises(errors.OperatorDenied):
+        go("R7")
+
+
 def test_sweep_by_age_and_size(spark):
     from korrel.operators.logs import sweep
 
