@@ -66,6 +66,8 @@ class SizeClass:
     owners: list[np.ndarray] | None = None  # and their items (times the stride, plus the first word's number)
     maps: list[np.ndarray] | None = None  # and a bit table that most other keys miss
     recall: float = 1.0  # of edited items, as measured
+    #: where the samples miss TARGET, for each length of part: sorted hashes, their pieces and places there
+    parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
 
 def _odd(seed: int, count: int) -> np.ndarray:
@@ -151,6 +153,35 @@ def _met(size: SizeClass, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndar
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
+def _parted(items: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Items cut into one part more than they can have edits: in any passage one of the parts is unchanged."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for k, words in enumerate(items):
+        cuts = int(EDITS * len(words)) + 1
+        edges = [len(words) * j // cuts for j in range(cuts + 1)]
+        for a, b in zip(edges, edges[1:]):
+            found.setdefault(b - a, []).append((int(run_hash(words[a:b], b - a)[0]), k, a))
+    out = {}
+    for n, some in found.items():
+        keys, item, at = np.array([x[0] for x in some], np.uint64), *(np.array([x[j] for x in some], np.int64) for j in (1, 2))
+        order = np.argsort(keys, kind="stable")
+        out[n] = keys[order], item[order], at[order]
+    return out
+
+
+def _unchanged(size: SizeClass, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in rows, piece, first word of the part) wherever a part of a piece stands."""
+    found = []
+    for n, (keys, item, first) in size.parts.items():
+        every = run_hash(rows, n)
+        low, high = (np.searchsorted(keys, every, side) for side in ("left", "right"))
+        at = np.flatnonzero(high > low)
+        number = (high - low)[at]
+        k = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low[at], number)
+        found.append((np.repeat(at, number), item[k], first[k]))
+    return tuple(np.concatenate([x[j] for x in found]) for j in range(3))
+
+
 def _recall(size: SizeClass, items: list[np.ndarray], rng) -> float:
     """The share found of items edited as far as they may be, among words of their own."""
     some = np.resize(rng.permutation(len(items)), 60)
@@ -176,7 +207,8 @@ def _pieces(count: int) -> list[tuple[int, int]]:
 def build_index(items: list[np.ndarray]) -> list[tuple[SizeClass, np.ndarray, np.ndarray]]:
     """Size classes of the pieces of ``items`` (hashed words), each with its pieces' items and places there.
 
-    Samples are added until TARGET is met; a class that misses it with MANY is reported by a warning.
+    Samples are added until TARGET is met. A class that misses it with MANY is reported by a warning, and searched
+    exactly besides: by the parts of its pieces that no allowed number of edits can all change.
     """
     cuts = [(k, a, b) for k, x in enumerate(items) for a, b in _pieces(len(x))]
     source, offset = (np.array([c[j] for c in cuts], np.int64) for j in (0, 1))
@@ -197,7 +229,8 @@ def build_index(items: list[np.ndarray]) -> list[tuple[SizeClass, np.ndarray, np
                 if size.recall >= TARGET:
                     break
             else:
-                warnings.warn(f"items of {least} to {most - 1} words: {size.recall:.2f} of edited ones found, not {TARGET}", stacklevel=2)
+                warnings.warn(f"items of {least} to {most - 1} words: {size.recall:.2f} of edited ones found by samples, not {TARGET}; they are searched by unchanged parts too", stacklevel=2)
+                size.parts = _parted(chosen)
             found.append((size, source[own], offset[own]))
         least = most
     return found
@@ -271,6 +304,10 @@ def _search(index, items: list[np.ndarray], rows: np.ndarray, begin: np.ndarray,
         window, owner = _met(size, rows, starts)
         item, shift = own[owner // size.stride], owner % size.stride
         doc, place = text[window], starts[window] - shift - offset[owner // size.stride]
+        if size.parts is not None:
+            at, piece, word = _unchanged(size, rows)
+            doc, item = np.concatenate([doc, np.searchsorted(begin, at, "right") - 1]), np.concatenate([item, own[piece]])
+            place = np.concatenate([place, at - word - offset[piece]])
         place = place // grid[item] * grid[item]
         pairs = np.unique(np.stack([doc, item, place]), axis=1) if len(doc) else np.zeros((3, 0), np.int64)
         some = max(1, min(2000, 2000 * PIECE // int(lengths[own].max())))

@@ -304,3 +304,26 @@ def test_every_different_text_is_taught_from(spark, kind):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     features = cotrain._features(docs, "doc_id", "text", cotrain.META)
     assert cotrain._unlabelled(features, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")).count() == 1000
+
+
+# 2 Benchmark decontamination: where samples don't reach the target
+
+
+@pytest.mark.parametrize("length", [5, 11, 40, 150, 400])
+@pytest.mark.filterwarnings("ignore:items of")
+def test_classes_below_the_target_are_searched_exactly(monkeypatch, length):
+    """Without any samples that count, unchanged parts still find every item edited as far as it may be."""
+    from korrel.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "TARGET", 1.01)
+    monkeypatch.setattr(decontaminate, "MANY", 4)
+    monkeypatch.setattr(decontaminate, "_met", lambda size, rows, starts: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    rng = np.random.default_rng(length)
+    words = lambda n: rng.integers(1, 1 << 62, n, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    items, edits = [words(length) for _ in range(30)], int(decontaminate.EDITS * length)
+    texts = [np.concatenate([words(rng.integers(0, 90)), decontaminate._edited(x, edits, rng), words(rng.integers(0, 9))]) for x in items]
+    count = np.array([len(x) for x in texts])
+    begin = np.cumsum(count + 1) - count - 1
+    rows = np.concatenate([y for x in texts for y in (x, [np.uint64(0)])]).astype(np.uint64)
+    doc, item, found, _ = decontaminate._search(decontaminate.build_index(items), items, rows, begin, count)
+    assert doc.tolist() == item.tolist() == list(range(30)) and (found <= edits).all()
