@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from korrel.operators.text import trigrams
 from korrel.session import shared_folder
 
 #: Files of postings for each segment, and keys that share a list of a trigram's postings.
@@ -24,6 +23,13 @@ def _new(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/korrel-{name}-{uuid.uuid4().hex}"
 
 
+def _grams(batches):
+    """The runs of three characters of each text, each once; in one pass, however long it is."""
+    for batch in batches:
+        grams = [sorted({text[k : k + 3] for k in range(len(text) - 2)}) for text in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(grams, pa.list_(pa.string()))], names=["key", "grams"])
+
+
 class TrigramIndex:
     """Which rows have which runs of three characters. Texts are added and taken out in segments.
 
@@ -39,8 +45,8 @@ class TrigramIndex:
 
     def add(self, df: DataFrame, key: str, text: str) -> None:
         """A segment of the rows' texts. Null texts and keys have none."""
-        grams = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.explode(trigrams(F.col(text))).alias("gram"))
-        self._write(grams)
+        rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+        self._write(rows.mapInArrow(_grams, "key long, grams array<string>").select("key", F.explode("grams").alias("gram")))
 
     def _write(self, grams: DataFrame) -> None:
         block, low = F.shiftright("key", 16), F.col("key") - F.shiftleft(F.shiftright("key", 16), 16)
