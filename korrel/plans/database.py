@@ -76,6 +76,8 @@ class Database:
         for key in _COPIED:
             if value := spark.conf.get(key, None):
                 self.spark.conf.set(key, value)
+        # recursion ends by levels; Spark's cap on its rows in all would fail a statement over large tables
+        self.spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
         self.limiter = Limiter(self.limits.rate_per_minute)
         self.frames: dict[str, DataFrame] = {}
         self.views: dict[str, str] = {}

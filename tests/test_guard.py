@@ -345,3 +345,9 @@ def test_dialect_rewriting():
     assert rewrite("SELECT total(x) FILTER (WHERE y > 1) FROM t", "sqlite") == "SELECT (coalesce(sum(cast(x AS DOUBLE)) FILTER (WHERE y > 1), 0.0D)) FROM t"
     assert rewrite("SELECT 'iif(1,2,3)', iif(a, 'x)', b)", "sqlite") == "SELECT 'iif(1,2,3)', if(a, 'x)', b)"
     assert "startswith(a, 'b')" in rewrite("SELECT starts_with(a, 'b')", "postgres")
+
+
+def test_recursion_has_as_many_rows_as_it_has(spark):
+    db = Database(spark)
+    db.add("many", db.spark.range(300_000).toDF("a"))
+    assert db.frame("WITH RECURSIVE t(a, d) AS (SELECT a, 0 FROM many UNION ALL SELECT a, d + 1 FROM t WHERE d < 3) SELECT a, d FROM t").count() == 1_200_000
