@@ -75,6 +75,12 @@ def _explicit(r: Relations) -> DataFrame:
     return rows.select("file_id", "name", state.alias("state"), F.when(F.col("kind") == "binding", F.col("target_file")).alias("end_file"), F.when(F.col("kind") == "binding", F.col("imported")).alias("end_name"), F.when(F.col("kind") == "local", F.col("slot")).alias("slot"), F.array("file_id").alias("path"))
 
 
+def _to_repeat(path: Column) -> Column:
+    """``path`` up to the first file that it has had before, and no longer than ``CHAIN``: nothing behind was looked into."""
+    again = F.array_position(F.transform(path, lambda x, k: F.array_position(path, x) == k + 1), False)
+    return F.slice(path, F.lit(1), F.least(F.when(again > 0, again - 1).otherwise(F.size(path)), F.lit(CHAIN)).cast("int"))
+
+
 _JUMP = ["file_id", "name", "state", "end_file", "end_name", "slot", "path"]
 
 
@@ -94,7 +100,7 @@ def _jumped(rows: DataFrame, files: DataFrame, known: DataFrame | None = None) -
         state = F.when(round_, "reexport_cycle").when(there, F.col("p.state")).otherwise("open")
         moved = waiting.select(
             "file_id", "name", state.alias("state"), F.when(there, F.col("p.end_file")).otherwise(F.col("end_file")).alias("end_file"),
-            F.when(there, F.col("p.end_name")).otherwise(F.col("end_name")).alias("end_name"), F.col("p.slot").alias("slot"), F.array_distinct(path).alias("path"),
+            F.when(there, F.col("p.end_name")).otherwise(F.col("end_name")).alias("end_name"), F.col("p.slot").alias("slot"), _to_repeat(path).alias("path"),
         )
         rows = checkpointed(rows.filter("state <> 'next'").unionByName(moved))
     return rows
@@ -124,7 +130,7 @@ def _searched(asks: DataFrame, r: Relations, jumps: DataFrame) -> tuple[DataFram
         state = F.when(round_, "reexport_cycle").when(F.col("read").isNull(), "unindexed_module").when(through, F.col("j.state")).otherwise("open")
         step = checkpointed(met.select(
             *_ASK, "place", state.alias("state"), F.when(through & (F.col("j.state") != "def"), F.col("j.end_file")).otherwise(F.col("file")).alias("at"),
-            F.coalesce("j.end_name", "wanted").alias("wanted"), F.col("j.slot").alias("slot"), F.array_distinct(path).alias("path"),
+            F.coalesce("j.end_name", "wanted").alias("wanted"), F.col("j.slot").alias("slot"), _to_repeat(path).alias("path"),
         ))
         # a definition lies in the file where its chain ended
         step = step.withColumn("at", F.when(F.col("state") == "def", F.element_at("path", -1)).otherwise(F.col("at")))

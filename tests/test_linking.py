@@ -161,6 +161,18 @@ def test_long_chains_and_loops(spark):
     assert told[0, 0][2] == "reexport_cycle" and told[3, 0] == (n - 1, 7, None) and told[3, 1][2] == "reexport_cycle" and told[3, 2][2] == "global"
 
 
+def test_what_lies_behind_a_cycle_is_not_looked_into(spark):
+    """File 1 hands on all of 2, whose a is 3's b, which is 1's c; that 1 has c from 4 is of no use here."""
+    rows = {k: [] for k in SCHEMAS} | {"files": [(f, "parsed") for f in range(5)]}
+    rows["specs"] = [(0, 0, "file", 1), (1, 0, "file", 2), (1, 1, "file", 4), (2, 0, "file", 3), (3, 0, "file", 1)]
+    rows["exports"] = [(1, 0, None, "star", None, 0, None), (1, 1, "c", "binding", None, 1, "d"), (2, 0, "a", "binding", None, 0, "b"), (3, 0, "b", "binding", None, 0, "c"), (4, 0, "d", "local", 7, None, None)]
+    rows["decls"] = [(0, "x", 0, 9, None, 0, "a")]
+    rows["refs"] = [(0, 0, "x", 3, None)]
+    linked = L.link(frames(spark, rows))
+    assert found(linked) == by_hand(rows) == {(0, 0): (None, None, "reexport_cycle")}
+    assert {(r["file_id"], r["on_file"]) for r in linked.deps.collect()} == {(0, 1), (0, 2), (0, 3)}
+
+
 @pytest.mark.parametrize("empty", [("refs",), tuple(SCHEMAS)])
 def test_empty_relations(spark, empty):
     rows = scattered(random.Random(1), 3) | {k: [] for k in empty}
