@@ -177,19 +177,23 @@ def cover_rounds(items: DataFrame, costs: DataFrame, gains: DataFrame, budget: f
 
     A round sums up for each name what it would still add and picks the best for its cost (ties by name); what the
     picked one covers leaves the table. So there are as many rounds as names that are chosen, and only one row of
-    each comes to the driver.
+    each comes to the driver. Gains are counted in whole multiples of 2 ** -62 of the largest, so that sums don't depend
+    on the order of rows and names that cover the same items are equal.
     """
-    known = items.distinct().join(gains.groupBy("item").agg(F.first("gain").cast("double").alias("gain")), "item")
+    gains = gains.groupBy("item").agg(F.first("gain").cast("double").alias("gain"))
+    most = gains.agg(F.max(F.abs("gain"))).first()[0]
+    unit = math.ldexp(1.0, math.frexp(most or 1.0)[1] - 62)
+    known = items.distinct().join(gains.select("item", F.rint(F.col("gain") / unit).cast("decimal(20,0)").alias("gain")), "item")
     known = checkpointed(known.join(costs.filter(F.col("cost") <= budget).select("name", F.col("cost").cast("double").alias("cost")), "name"))
     by_worth = lambda rows: rows.groupBy("name").agg(F.sum("gain").alias("worth"), F.first("cost").alias("cost"))
     single = by_worth(known).orderBy(F.desc("worth"), F.desc("name")).first()
-    chosen, left, covered = [], budget, 0.0
-    while (best := by_worth(known.filter(F.col("cost") <= left)).filter("worth > 0").orderBy(F.desc(F.col("worth") / F.col("cost")), "name").first()) is not None:
+    chosen, left, covered = [], budget, 0
+    while (best := by_worth(known.filter(F.col("cost") <= left)).filter("worth > 0").orderBy(F.desc(F.col("worth").cast("double") / F.col("cost")), "name").first()) is not None:
         chosen.append(best["name"])
-        left, covered = left - best["cost"], covered + best["worth"]
+        left, covered = left - best["cost"], covered + int(best["worth"])
         taken = known.filter(F.col("name") == best["name"]).select("item")
         known = checkpointed(known.join(taken, "item", "left_anti"))
-    if single is None or covered >= single["worth"]:
+    if single is None or covered >= int(single["worth"]):
         return chosen
     return [single["name"]]
 

@@ -182,6 +182,16 @@ def test_cover_in_rounds_is_the_lazy_one(spark):
     assert ranking.cover_rounds(*(t.filter("false") for t in tables), 9.0) == []
 
 
+def test_names_that_cover_the_same_tie_by_name(spark):
+    """Sums of doubles in another order differ in their last bits; that picks nobody."""
+    gains = [(k, 0.1 * 3**k) for k in range(30)]
+    names = [f"n{k}" for k in range(12)]
+    rows = [(n, i) for n in names for i in random.Random(n).sample(range(30), 30)]
+    items = spark.createDataFrame(rows, "name string, item int").repartition(3)
+    costs = spark.createDataFrame([(n, 5.0) for n in names], "name string, cost double")
+    assert ranking.cover_rounds(items, costs, spark.createDataFrame(gains, "item int, gain double"), 9.0) == ["n0"]
+
+
 def test_regions_are_the_trees(spark):
     import random
 
