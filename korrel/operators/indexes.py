@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,28 +102,104 @@ class TrigramIndex:
             raise
 
 
-#: Characters of a suffix that are kept, and positions that are cut out at a time.
-WIDTH, STEP = 24, 1 << 16
+#: Characters by which suffixes are sorted, and characters of texts that are sorted at a time.
+WIDTH, SEGMENT = 4, 1 << 20
+SUFFIXES = "suffix string, places binary"
 
 
-def _cut(width: int):
-    def run(batches):
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for low in range(0, len(text or ""), STEP):
-                    at = range(low, min(low + STEP, len(text)))
-                    yield pa.record_batch([pa.array([text[k : k + width] for k in at]), pa.array([key] * len(at), pa.int64()), pa.array([k + 1 for k in at], pa.int32())], names=["suffix", "key", "at"])
+def _varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven bits to a byte, the lowest first; and where each number's bytes end."""
+    size = np.ones(len(numbers), np.int64)
+    for bits in range(7, 64, 7):
+        more = numbers >= np.uint64(1) << np.uint64(bits)
+        if not more.any():
+            break
+        size += more
+    ends = np.cumsum(size)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        byte = numbers[some] >> np.uint64(7 * k) & np.uint64(127)
+        out[(ends - size)[some] + k] = byte | (size[some] > k + 1).astype(np.uint64) << np.uint64(7)
+    return out, ends
 
-    return run
+
+def _numbers(data: np.ndarray) -> np.ndarray:
+    first = np.flatnonzero(np.concatenate([[True], data[:-1] < 128]))
+    place = np.arange(len(data)) - np.repeat(first, np.diff([*first, len(data)]))
+    return np.add.reduceat((data & np.uint8(127)).astype(np.uint64) << (7 * place).astype(np.uint64), first)
+
+
+def _segment(pieces: list[tuple[int, int, str, int]]) -> pa.RecordBatch:
+    """(suffix, places) of pieces (key, characters before it, text, how many of its places are its own), sorted.
+
+    Places are (key, at) as steps from one to the next; where the key changes, ``at`` begins anew.
+    """
+    text, lengths = "".join(p[2] for p in pieces), np.array([len(p[2]) for p in pieces])
+    starts = np.cumsum(lengths) - lengths
+    codes, at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1), np.arange(len(text))
+    piece = np.repeat(np.arange(len(pieces)), lengths)
+    ends = (starts + lengths)[piece]
+    rank, width = codes, 1
+    while width < WIDTH:  # ranks by some characters give those by twice as many
+        pair = rank << np.uint64(32) | np.where(at + width < ends, rank[np.minimum(at + width, len(at) - 1)], np.uint64(0))
+        rank, width = np.unique(pair, return_inverse=True)[1].astype(np.uint64) + np.uint64(1), 2 * width
+    own = np.flatnonzero(at - starts[piece] < np.array([p[3] for p in pieces])[piece])
+    order = own[np.argsort(rank[own], kind="stable")]
+    rank, piece = rank[order], piece[order]
+    row = np.flatnonzero(np.concatenate([[True], np.diff(rank) != 0]))
+    keys, place = np.array([p[0] for p in pieces], np.int64)[piece], order - starts[piece] + np.array([p[1] for p in pieces])[piece] + 1
+    new = np.zeros(len(order), bool)
+    new[row] = True
+    step = np.where(new, keys, keys - np.roll(keys, 1))
+    move = np.where(new | (step != 0), place, place - np.roll(place, 1))
+    sign = (step << 1 ^ step >> 63).view(np.uint64)
+    data, stops = _varints(np.stack([sign, (move << 1 ^ move >> 63).view(np.uint64)], 1).ravel())
+    cuts = np.concatenate([[0], stops[2 * np.append(row[1:], len(order)) - 1]]).astype(np.int32)
+    first = order[row]
+    suffixes = [text[k:e] for k, e in zip(first.tolist(), np.minimum(first + WIDTH, ends[first]).tolist())]
+    blobs = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+    return pa.record_batch([pa.array(suffixes, pa.string()), blobs], names=["suffix", "places"])
+
+
+def _segments(batches):
+    """Texts are sorted some at a time; a long one in pieces, which go on for WIDTH - 1 characters that aren't their own."""
+    pieces, size = [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1)):
+            key, text = key.as_py(), text.as_py()
+            for low in range(0, len(text), SEGMENT):
+                piece = text[low : low + SEGMENT + WIDTH - 1]
+                pieces.append((key, low, piece, min(len(piece), SEGMENT)))
+                size += len(piece)
+                if size >= SEGMENT:
+                    yield _segment(pieces)
+                    pieces, size = [], 0
+    if pieces:
+        yield _segment(pieces)
+
+
+def _places(batches):
+    for batch in batches:
+        for places in batch.column(0):
+            step, move = (x.view(np.int64) for x in _numbers(np.frombuffer(places.as_buffer(), np.uint8)).reshape(-1, 2).T.copy())
+            step, move = (x >> 1 & (1 << 63) - 1 ^ -(x & 1) for x in (step, move))
+            new = step != 0
+            new[0] = True
+            total = np.cumsum(move)
+            at = total - np.repeat((total - move)[new], np.diff([*np.flatnonzero(new), len(new)]))
+            yield pa.record_batch([pa.array(np.cumsum(step)), pa.array(at.astype(np.int32))], names=["key", "at"])
 
 
 class SuffixIndex:
     """Every position of the folded texts, sorted by the ``WIDTH`` characters from there on.
 
-    The table is dealt into ranges by a sample of the suffixes and sorted in each, so that a literal's positions lie
-    together: a search reads the row groups whose bounds its literal falls between. A longer literal is looked for
-    in parts, whose positions must follow each other. Overlapping hits all count. Whole suffixes aren't compared: equal
-    beginnings stay in the order of their places, which is the order that places are told in.
+    What begins alike is one row for each ``SEGMENT`` of characters, with its positions as steps; rows are made where the
+    texts are read and sorted in each file. So no characters are shuffled, and the index takes some two bytes for each
+    position, while every suffix's own characters took as many times the texts. A search reads the row groups whose
+    bounds its literal falls between. A longer literal is looked for in parts, whose positions must follow each other.
+    Overlapping hits all count. Whole suffixes aren't compared: equal beginnings stay in the order of their places, which
+    is the order that places are told in.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -133,9 +210,8 @@ class SuffixIndex:
         spark = df.sparkSession
         path = path or _new(spark, "suffixes")
         folded = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(text).alias("text"))
-        rows = folded.mapInArrow(_cut(WIDTH), "suffix string, key long, at int")
-        order = ["suffix", "key", "at"]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(path)
+        rows = folded.mapInArrow(_segments, SUFFIXES)
+        rows.sortWithinPartitions("suffix").write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(path)
         return cls(spark, path)
 
     def places(self, literal: str) -> DataFrame:
@@ -143,16 +219,16 @@ class SuffixIndex:
         literal = literal.lower()
         if not literal:
             raise ValueError("an empty literal is everywhere")
+        lows = sorted({max(0, min(low, len(literal) - WIDTH)) for low in range(0, len(literal), WIDTH)})  # the last part is a whole one too
         found = None
-        for low in range(0, len(literal), WIDTH):
-            part = literal[low : low + WIDTH]
-            rows = self.spark.read.schema("suffix string, key long, at int").parquet(self.path).filter(F.startswith("suffix", F.lit(part))).select("key", (F.col("at") - low).alias("at"))
-            found = rows if found is None else found.join(rows, ["key", "at"], "left_semi")
-        return found
+        for low in lows:
+            rows = self.spark.read.schema(SUFFIXES).parquet(self.path).filter(F.startswith("suffix", F.lit(literal[low : low + WIDTH])))
+            rows = rows.select("places").mapInArrow(_places, "key long, at int").select("key", (F.col("at") - low).alias("at"))
+            found = rows if found is None else found.unionByName(rows)
+        return found if len(lows) == 1 else found.groupBy("key", "at").agg(F.count("*").alias("n")).filter(F.col("n") == len(lows)).select("key", "at")
 
     def tally(self, literal: str) -> DataFrame:
         return self.places(literal).groupBy("key").agg(F.count("*").alias("hits"))
 
     def first(self, literal: str, n: int = 40) -> DataFrame:
         return self.places(literal).orderBy("key", "at").limit(n)
-

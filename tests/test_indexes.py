@@ -94,3 +94,15 @@ def test_merkle_tree_after_changes(spark):
     with pytest.raises(ValueError):
         certify.MerkleTree(df([(1, H(1)), (1, H(2))]).withColumnsRenamed({"i": "o", "h": "leaf"}), "o")
     assert certify.MerkleTree(df([]).withColumnsRenamed({"i": "o", "h": "leaf"}), "o").root() == certify.EMPTY_ROOT
+
+
+def test_suffixes_are_no_larger_than_a_few_texts(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdefghij klmnop") for _ in range(rng.choice((0, 900, 3000))))) for k in range(400)] + [(400, "ab c" * 40_000), (401, "x" * 65_536)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    index = SuffixIndex.build(df, "id", "text", str(tmp_path / "suffixes"))
+    size = sum(f.stat().st_size for f in (tmp_path / "suffixes").glob("*.parquet"))
+    assert size < 3.5 * sum(len(t) for _, t in rows)
+    for literal in ("b ca", "x" * 30, "hgf"):
+        wanted = sorted((k, i + 1) for k, t in rows for i in range(len(t)) if t.startswith(literal, i))
+        assert sorted(map(tuple, index.places(literal).collect())) == wanted
