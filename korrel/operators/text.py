@@ -14,6 +14,8 @@ from korrel.operators.prefix import running
 from korrel.plans.errors import CommandInvalid
 
 SHOWN, SNIPPET = 200, 120
+#: Lines whose search took too long that a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 4096, 4096
 CODE_CHARS, PROSE_CHARS, SYMBOL_SHARE = 3.2, 3.8, 0.18
 
 
@@ -98,20 +100,26 @@ def search_within(df: DataFrame, key: str, text: str, pattern: str, seconds: flo
     """(key, line_no, column, outcome, line): lines that match (``match``), and those whose search took longer than
     ``seconds`` (``not_searched``), so that a pattern that explodes is never taken for one that doesn't match.
 
-    The budget is time, as neither Spark's nor Python's matchers tell their steps.
+    The budget is time, as neither Spark's nor Python's matchers tell their steps. A line that took longer isn't tried
+    again where the same task meets it again.
     """
 
     def run(batches):
         import pyarrow as pa
         import regex
 
-        find = regex.compile(pattern)
+        find, endless = regex.compile(pattern), set()
         for batch in batches:
             rows = []
             for at, line in enumerate(batch.column("line").to_pylist()):
+                if line in endless:
+                    rows.append((at, None, "not_searched"))
+                    continue
                 try:
                     hit = find.search(line, timeout=seconds)
                 except TimeoutError:
+                    if len(line) <= LONGEST and len(endless) < REMEMBERED:
+                        endless.add(line)
                     rows.append((at, None, "not_searched"))
                     continue
                 if hit:
