@@ -17,6 +17,8 @@ from korrel.session import shared_folder
 
 #: Files of postings for each segment, and keys that share a list of a trigram's postings.
 BUCKETS, BLOCK = 64, 1 << 16
+#: Trigrams that a task's Python holds before it hands them on.
+HELD = 1 << 17
 POSTINGS = "gram string, block long, gaps array<int>, bucket int"
 
 
@@ -25,10 +27,17 @@ def _new(spark: SparkSession, name: str) -> str:
 
 
 def _grams(batches):
-    """The runs of three characters of each text, each once; in one pass, however long it is."""
+    """The runs of three characters of each text, each once; in one pass, however long it is. They are handed on every
+    ``HELD`` of them, as a batch's texts have many times its size."""
     for batch in batches:
-        grams = [sorted({text[k : k + 3] for k in range(len(text) - 2)}) for text in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(grams, pa.list_(pa.string()))], names=["key", "grams"])
+        low, grams, held = 0, [], 0
+        for at, text in enumerate(batch.column(1)):
+            text = text.as_py()
+            grams.append(sorted({text[k : k + 3] for k in range(len(text) - 2)}))
+            held += len(grams[-1])
+            if held >= HELD or at + 1 == batch.num_rows:
+                yield pa.record_batch([batch.column(0).slice(low, len(grams)), pa.array(grams, pa.list_(pa.string()))], names=["key", "grams"])
+                low, grams, held = at + 1, [], 0
 
 
 class TrigramIndex:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from korrel.operators import certify, text
+from korrel.operators import certify, indexes, text
 from korrel.operators.indexes import BUCKETS, SuffixIndex, TrigramIndex
 
 
@@ -106,3 +108,22 @@ def test_suffixes_are_no_larger_than_a_few_texts(spark, tmp_path):
     for literal in ("b ca", "x" * 30, "hgf"):
         wanted = sorted((k, i + 1) for k, t in rows for i in range(len(t)) if t.startswith(literal, i))
         assert sorted(map(tuple, index.places(literal).collect())) == wanted
+
+
+def test_trigrams_are_handed_on_in_small_batches():
+    texts = ["".join(map(chr, range(k, k + 2000))) for k in range(300, 700)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array(texts)], names=["key", "text"])
+    made = list(indexes._grams([batch]))
+    assert max(sum(map(len, b["grams"].to_pylist())) for b in made) < indexes.HELD + 2000
+    assert [k for b in made for k in b["key"].to_pylist()] == list(range(400))
+    assert [g for b in made for g in b["grams"].to_pylist()] == [sorted({t[k : k + 3] for k in range(1998)}) for t in texts]
+
+
+def test_an_endless_line_is_tried_once(spark):
+    """Sixty equal lines would take fifteen seconds."""
+    df = spark.createDataFrame([(k, "a" * 400 + "b\nba") for k in range(60)], "id long, text string").coalesce(1)
+    text.search_within(df.limit(1), "id", "text", "a", 1.0).collect()
+    began = time.monotonic()
+    rows = text.search_within(df, "id", "text", r"(a|aa)+\.?$", 0.25).collect()
+    assert time.monotonic() - began < 10
+    assert sorted((r["id"], r["line_no"], r["outcome"]) for r in rows) == sorted((k, n, o) for k in range(60) for n, o in ((1, "not_searched"), (2, "match")))
