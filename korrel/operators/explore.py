@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from korrel.operators.prefix import running
 from korrel.operators.ranking import STOP_WORDS, bm25, concepts, top_per_group
+from korrel.session import checkpointed
 
 TOP_DEPTH, EVIDENCE_CHARS, MAP_TOKENS = 3, 9_500, 16_000
 
@@ -48,6 +49,7 @@ def explore(docs: DataFrame, key: str, text: str, question: str, n: int = 10) ->
 
 def corpus_map(docs: DataFrame, key: str, text: str, region: str, question: str, tokens, budget: int = MAP_TOKENS) -> DataFrame:
     """(region, score, n, spent): regions by their best documents, as many as fit the budget of tokens."""
-    hits = bm25(docs, key, text, concepts(question)).join(docs.select(key, region, tokens.alias("__tokens")), key)
+    # the texts are read for the scores, and once more for the tokens of what has some
+    hits = checkpointed(bm25(docs, key, text, concepts(question)).join(docs.select(key, region, tokens.alias("__tokens")), key))
     scored = region_scores(hits, region, "score", key).join(hits.groupBy(region).agg(F.sum("__tokens").alias("tokens")), region)
     return under_budget(scored, [F.desc("score"), region], F.col("tokens"), budget).select(region, "score", "n", "spent")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+from collections import Counter
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +46,61 @@ def frequencies(df: DataFrame, key: str, text: str, name: str | None = None) ->
     return rows.select(key, F.size("__t").alias("size"), F.explode("__t").alias("term")).groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
 
 
+_WORD = re.compile(r"[A-Za-z0-9_$]+")
+_SEAM = re.compile(r"[_$]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+
+
+def _parts(word: str) -> list[str]:
+    """A word's terms, as ``terms`` has them."""
+    if word[0].isdigit():
+        return []
+    own = [p for p in _SEAM.split(word) if p and not p[0].isdigit()] if not word.isalpha() or not (word.islower() or word[1:].islower()) else []
+    return [t.lower() for t in ([word, *own] if len(own) > 1 else [word]) if LEAST <= len(t) <= MOST]
+
+
+def _counted(wanted: list[str], weights: list[int]):
+    """(.., size, hits): how many terms a row's texts have, and how often each wanted one, in one pass over its words."""
+
+    def run(batches):
+        parts = lru_cache(1 << 16)(_parts)
+        for batch in batches:
+            sizes, hits = [], []
+            for texts in zip(*(batch.column(k) for k in range(len(weights)))):
+                texts = [x.as_py() for x in texts]
+                size, found = (0, dict.fromkeys(wanted, 0)) if None not in texts else (None, {})
+                for text, weight in zip(texts, weights) if size is not None else ():
+                    for word, n in Counter(_WORD.findall(text)).items():
+                        own = parts(word)
+                        size += weight * n * len(own)
+                        for t in own:
+                            if t in found:
+                                found[t] += weight * n
+                sizes.append(size)
+                hits.append([{"term": t, "tf": n} for t, n in found.items() if n])
+            kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+            yield pa.record_batch([batch.column(batch.num_columns - 1), pa.array(sizes, pa.int64()), pa.array(hits, kind)], names=["key", "size", "hits"])
+
+    return run
+
+
 def bm25(df: DataFrame, key: str, text: str, question: list[str], name: str | None = None) -> DataFrame:
-    """(key, score) of the rows with some of the question's terms, each counted once.
+    """(key, score) of the rows with some of the question's terms, each counted once; rows of equal keys and size are one.
 
-    Only the question's terms leave the scan; document counts and the mean length come with them as one row.
+    The texts are read once. Only sizes and the question's terms leave the scan; document counts and the mean length
+    come with them as one row. A null text is a document without a size.
     """
     wanted = sorted({t.lower() for t in question})
-    every = terms(F.col(text))
-    if name:
-        every = F.concat(*[terms(F.col(name))] * NAME_WEIGHT, every)
-    rows = df.select(key, every.alias("__t")).withColumn("size", F.size("__t"))
+    fields = [(text, 1)] + ([(name, NAME_WEIGHT)] if name else [])
+    kind = df.schema[key].dataType.simpleString()
+    texts = df.select(*(F.col(c).cast("string").alias(f"t{k}") for k, (c, _) in enumerate(fields)), F.col(key).alias("key"))
+    rows = checkpointed(texts.mapInArrow(_counted(wanted, [w for _, w in fields]), f"key {kind}, size long, hits array<struct<term:string,tf:long>>"))
     stats = rows.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("size"), F.lit(1.0)).alias("mean"))
-    hits = rows.select(key, "size", F.explode(F.filter("__t", lambda t: t.isin(wanted))).alias("term")).groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
+    hits = rows.select("key", "size", F.inline("hits")).groupBy("key", "size", "term").agg(F.sum("tf").alias("tf"))
     df_counts = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most as many rows as the question has terms
     scored = hits.join(F.broadcast(df_counts), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return scored.groupBy(key).agg(F.sum(idf * weight).alias("score"))
+    return scored.groupBy(F.col("key").alias(key)).agg(F.sum(idf * weight).alias("score"))
 
 
 def bm25_ceiling(df: DataFrame, key: str, text: str, question: list[str]) -> DataFrame:
@@ -218,8 +260,6 @@ def top_per_group(df: DataFrame, group: str, score: str, tie: str, n: int) -> Da
 
 def concepts(question: str) -> list[str]:
     """A question's terms in order, without stop words."""
-    import re
-
     found = [w.lower() for w in re.findall(r"[A-Za-z_$][A-Za-z0-9_$]*", question)]
     return list(dict.fromkeys(w for w in found if w not in STOP_WORDS and LEAST <= len(w) <= MOST))
 

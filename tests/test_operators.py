@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -182,6 +183,27 @@ def test_cover_in_rounds_is_the_lazy_one(spark):
     assert ranking.cover_rounds(*(t.filter("false") for t in tables), 9.0) == []
 
 
+def test_bm25_counts_the_terms_that_terms_has(spark):
+    """In one pass over the texts, by the same rules; a null text is a document of no size."""
+    words = "getUserName XMLHttp snake_case__x $a _b a1b2 12ab ab12 A aB HTTP é_caféBar x9_Y foo Foo FOO fooBar $$ a_1 " + "q" * 70 + " q_" + "w" * 70
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(words.split(), k=9)), rng.choice(words.split())) for k in range(40)] + [(40, None, "foo"), (41, "", "")]
+    df = spark.createDataFrame(rows, "id int, text string, name string")
+    for name in (None, "name"):
+        plain = ranking.frequencies(df, "id", "text", name).collect()
+        wanted = ["foo", "bar", "user", "http", "a1b2", "ab"]
+        sizes = {r["id"]: r["size"] for r in plain} | {k: 0 for k in (41,)}
+        n, mean = len(rows), max(1.0, sum(sizes.values()) / len(sizes))
+        hits = {(r["id"], r["term"]): r["tf"] for r in plain if r["term"] in wanted}
+        df_ = {t: sum(1 for _, x in hits if x == t) for t in wanted}
+        told = {}
+        for (k, t), tf in hits.items():
+            told[k] = told.get(k, 0.0) + math.log(1 + (n - df_[t] + 0.5) / (df_[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[k] / mean))
+        made = ranking.bm25(df, "id", "text", wanted, name)
+        assert {r["id"]: round(r["score"], 9) for r in made.collect()} == {k: round(s, 9) for k, s in told.items()}
+        assert "regexp_extract_all" not in str(made._jdf.queryExecution().toString())
+
+
 def test_names_that_cover_the_same_tie_by_name(spark):
     """Sums of doubles in another order differ in their last bits; that picks nobody."""
     gains = [(k, 0.1 * 3**k) for k in range(30)]
