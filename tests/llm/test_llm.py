@@ -915,3 +915,23 @@ def test_one_of_each_row(spark, odd, prose, empty):
     assert set(rows) <= set(every) and sorted(r[0] for r in rows if r[0] is not None) == [1, 3, 5, 6, 7, 8, 10] and sum(r[0] is None for r in rows) == 1
     texts = spark.createDataFrame([(1, prose[1][0] * 3), (1, "quite another text of this id"), (2, prose[1][0] * 3), (None, prose[1][0] * 3), (None, "a text without any id at all")], SCHEMA)
     assert sorted((r["doc_id"] or 0, r["text"][:9]) for r in similar.one_of_each(texts).collect()) == sorted([(1, prose[1][0][:9]), (1, "quite ano"), (0, "a text wi")])
+
+
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    """What no order brings side by side is found among all pairs of blocks."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    common = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for k in range(40):
+        own = common[:30] + [f"own{k}x{j}" for j in range(30)]
+        texts += [" ".join(own), " ".join([*own[:-1], "end"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    default = similar.similar_sets
+    wanted = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()}
+    assert len(set(wanted.values())) == 40
+    monkeypatch.setattr(similar, "_neighbours", lambda met, *order: met.withColumn("prev", F.struct(*met.columns)).filter("false"))
+    monkeypatch.setattr(similar, "similar_sets", lambda *r: default(*r, 0))
+    monkeypatch.setattr(similar, "BLOCK", 3)
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()} == wanted
