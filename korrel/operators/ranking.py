@@ -123,12 +123,15 @@ def fielded_bm25(fields: DataFrame, concepts: list[list[str]]) -> DataFrame:
     wanted = spark.createDataFrame([(t.lower(), k) for k, group in enumerate(concepts) for t in group], "term string, concept int")
     known = F.create_map(*(F.lit(x) for f, w in FIELD_WEIGHTS.items() for x in (f, w)))
     slope = F.create_map(*(F.lit(x) for f, b in FIELD_B.items() for x in (f, b)))
-    lengths = fields.groupBy("doc", "field").agg(F.count("*").alias("length"))
+    # the rows are read once: of other terms than the question's only their number in a field is kept
+    asked = F.col("term").isin(sorted({t.lower() for group in concepts for t in group}))
+    counted = checkpointed(fields.groupBy("doc", "field", F.when(asked, F.col("term")).alias("term"), F.when(asked, F.col("line")).alias("line")).agg(F.count("*").alias("n")))
+    lengths = counted.groupBy("doc", "field").agg(F.sum("n").alias("length"))
     means = lengths.groupBy("field").agg(F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
-    docs = fields.groupBy("doc").agg(F.count("*").alias("size"))
+    docs = counted.groupBy("doc").agg(F.sum("n").alias("size"))
     total = docs.agg(F.count("*").alias("n_docs"))
-    hits = fields.join(F.broadcast(wanted), "term")
-    tf = hits.groupBy("doc", "field", "term", "concept").agg(F.count("*").alias("tf")).join(lengths, ["doc", "field"]).join(F.broadcast(means), "field")
+    hits = counted.join(F.broadcast(wanted), "term")
+    tf = hits.groupBy("doc", "field", "term", "concept").agg(F.sum("n").alias("tf")).join(lengths, ["doc", "field"]).join(F.broadcast(means), "field")
     b = slope[F.col("field")]
     pseudo = tf.groupBy("doc", "term", "concept").agg(F.sum(known[F.col("field")] * F.col("tf") / (1 - b + b * F.col("length") / F.col("mean"))).alias("tf"))
     df_counts = pseudo.groupBy("term").agg(F.count("*").alias("df"))
