@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korrel.operators import facts as G
 from korrel.queries.registry import query
-from korrel.session import load
+from korrel.session import checkpointed, load, parts_for
 
 #: A call graph of parts and suppliers: part p calls supplier s where a line item has both.
 _EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem)"
@@ -75,8 +75,10 @@ def refused(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b")).distinct()
-    return rows.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(rows.select("b", "a"))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b"))
+    # dealt before equal ones are dropped, by parts of some 16 MB, so that no task's table grows with the input; kept, as every round reads it
+    rows = rows.repartition(parts_for(rows), "a", "b").distinct()
+    return checkpointed(rows.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*"))
 
 
 @query("facts_depths", f"WITH RECURSIVE {_EDGES}, u AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e), w(n, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN u ON src = n WHERE depth < 4) SELECT n, CAST(min(depth) AS INT) AS depth FROM w GROUP BY n")

@@ -55,3 +55,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def parts_for(df: DataFrame, mb: int = 16) -> int:
+    """Shuffle partitions for ``df``: the session's number, or more so that each takes about ``mb`` of input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(-(-size // (mb << 20)), 200_000)) if size < 1 << 60 else least

@@ -486,3 +486,13 @@ def test_routes_and_closures_have_no_silent_end(spark):
     mounts = spark.createDataFrame([("", "r0", "/")] + [(f"r{k}", f"r{k + 1}", f"{k}/") for k in range(18)] + [("r3", "r1", "loop/")], "parent string, child string, prefix string")
     found = facts.routes(mounts, spark.createDataFrame([("h", "r18", "end")], "handler string, router string, path string")).collect()
     assert [r["route"] for r in found] == ["/" + "".join(f"{k}/" for k in range(18)) + "end"]
+
+
+def test_what_is_used_again_is_read_once(spark, small):
+    """The graph of the walks, and the counts of fielded scores, are kept."""
+    from korrel.queries import facts as graph
+    from korrel.queries import queries
+
+    plan = lambda df: str(df._jdf.queryExecution().optimizedPlan())
+    assert "parquet" not in plan(graph._graph(spark, small))
+    assert "parquet" not in plan(queries()["rank_fielded"](spark, small))
