@@ -935,3 +935,24 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(similar, "similar_sets", lambda *r: default(*r, 0))
     monkeypatch.setattr(similar, "BLOCK", 3)
     assert {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()} == wanted
+
+
+def test_what_many_texts_share_makes_no_pairs(spark, monkeypatch):
+    """Texts with a long passage in common meet in large buckets; those that aren't similar aren't paired there."""
+    rng = random.Random(22)
+    common = [f"w{rng.randrange(10**6)}" for _ in range(45)]
+    texts = [" ".join([*common, *(f"own{k}x{j}" for j in range(20))]) for k in range(240)]
+    texts += [x + " end" for x in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, keep = [], similar.keep
+
+    def counted(df, name):
+        kept = keep(df, name)
+        if name == "similar-pairs":
+            made.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(similar, "keep", counted)
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()}
+    assert found == {k: k - 240 if k >= 240 else k for k in range(250)}
+    assert made[-1] < 250
