@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korrel.session import checkpointed
+
 #: What is one mark in a page. Comments and the texts of scripts and styles hide tags.
 TAGS = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</?[a-z][^>]*>"
 BRACKETS = r"[()\[\]{}]"
@@ -45,14 +47,15 @@ def _nested(rows: DataFrame, key: str, lone: Column) -> DataFrame:
 
     Marks that ``lone`` is true of are nodes by themselves, as are opening ones that nothing closes.
     """
+    rows = checkpointed(rows)  # read many times below, as are the spans and nodes
     kept = paired(rows.filter(~lone), [key, "kind"]).select(key, F.col("k"), F.lit(True).alias("whole"))
     all_ = rows.join(kept, [key, "k"], "left")
-    spans = paired(all_.filter("whole").drop("whole"), [key])  # levels of all names together, so no two spans cross
+    spans = checkpointed(paired(all_.filter("whole").drop("whole"), [key]))  # levels of all names together, so no two spans cross
     closing = spans.filter("step = -1").select(key, F.col("mate").alias("k"), (F.col("start") + F.char_length("mark")).alias("end"), F.col("line").alias("end_line"))
     tail = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit("\n")))
     single = all_.filter(F.col("whole").isNull() & (lone | (F.col("step") == 1))).select(key, "k", "mark", "kind", "start", "line", F.lit(None).cast("int").alias("level"), (F.col("start") + F.char_length("mark")).alias("end"), (F.col("line") + tail(F.col("mark"))).cast("int").alias("end_line"))
     opened = spans.filter("step = 1").join(closing, [key, "k"]).select(key, "k", "mark", "kind", "start", "line", "level", "end", "end_line")
-    nodes = opened.unionByName(single)
+    nodes = checkpointed(opened.unionByName(single))
     # What a node lies in: of the spans that are open where it begins, the last. Depth runs up over openings and ends.
     turns = nodes.select(key, F.col("start").alias("at"), F.lit(1).alias("side"), F.when(F.col("level").isNotNull(), 1).otherwise(0).alias("turn"), "k").unionByName(
         nodes.filter("level is not null").select(key, F.col("end").alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("turn"), "k")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korrel.plans.errors import CommandInvalid
+from korrel.session import checkpointed
 
 _TOKEN = re.compile(r'\s*(?:([()])|("(?:[^"\\]|\\.)*")|([^\s()"]+))')
 
@@ -72,6 +73,10 @@ def _nodes(items: list, predicates: list[list[str]]) -> list[Pattern]:
     return out
 
 
+def _kinds(p: Pattern) -> set[str]:
+    return {p.kind}.union(*map(_kinds, p.children))
+
+
 def _value(word: str, texts: dict[str, Column]) -> Column:
     if not word.startswith("@"):
         return F.lit(word)
@@ -95,6 +100,9 @@ def matches(nodes: DataFrame, texts: DataFrame, key: str, text: str, query: str)
     ``nodes`` are those of ``extract.elements`` or ``brackets`` of ``texts`` (key, text).
     """
     pattern, predicates = read(query)
+    kinds = _kinds(pattern)
+    nodes = nodes if "_" in kinds else nodes.filter(F.col("kind").isin(*kinds))
+    nodes = checkpointed(nodes.select(key, "kind", "slot", "start", "end", "line", "parent"))  # each part of the pattern reads them
     captured: dict[str, int] = {}
     count = 0
 

@@ -95,3 +95,13 @@ def test_no_pair_is_made_that_doesnt_match(spark):
     """Ten thousand siblings: a child is joined by its parent, not by its text."""
     df = spark.range(1).select(F.col("id"), F.concat(F.lit("<ul>"), F.repeat(F.lit("<li><a>1</a></li>"), 10_000), F.lit("</ul>")).alias("html"))
     assert syntax.matches(extract.elements(df, "id", "html"), df, "id", "html", "(ul (li (a) @x))").count() == 10_000
+
+
+def test_a_pattern_reads_the_pages_once(spark):
+    """The tags of a page aren't taken apart again for each part of a pattern."""
+    from korrel.operators import extract, syntax
+
+    pages = spark.createDataFrame([(1, "<ul><li><a>X</a></li><li><a>y</a></li></ul>")], "page_id long, html string")
+    found = syntax.matches(extract.elements(pages, "page_id", "html"), pages, "page_id", "html", '(ul (li (a) @violation) (#match? @violation "[A-Z]"))')
+    assert [r["text"] for r in found.collect()] == ["<a>X</a>"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 0
