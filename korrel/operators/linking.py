@@ -22,8 +22,8 @@ Nothing is collected on the driver but whether a round left anything open.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from korrel.session import checkpointed
 
 CHAIN = 64
+#: Rows that are sent to a table instead of dealing it anew.
+FEW = 100_000
+#: Declarations of one name in one file that are held as a list.
+LIST = 256
 WHOLE_MODULE, DEFAULT = "*", "default"
 #: A module as the target of a reference has no slot of its own.
 MODULE_SLOT = -1
@@ -51,12 +55,17 @@ class Relations:
 @dataclass
 class Linked:
     """``links``: (file_id, idx, target_file, target_slot, reason), one for each reference; ``deps``: (file_id, on_file),
-    the files that were looked into for some reference of a file; ``jumps``: where each explicit export leads."""
+    the files that were looked into for some reference of a file, made when first read; ``jumps``: where each explicit
+    export leads. ``looked`` is what the deps are made of."""
 
     links: DataFrame
-    deps: DataFrame
+    looked: DataFrame
     jumps: DataFrame
 
+    @cached_property
+    def deps(self) -> DataFrame:
+        return checkpointed(self.looked)
+
 
 def _miss(outcome: Column) -> Column:
     return reduce(lambda made, x: made.when(outcome == x[0], x[1]), list(MISSES.items())[1:], F.when(outcome == "external", MISSES["external"])).otherwise("module_not_found")
@@ -84,67 +93,82 @@ def _to_repeat(path: Column) -> Column:
 _JUMP = ["file_id", "name", "state", "end_file", "end_name", "slot", "path"]
 
 
+def _asked_of(table: DataFrame, keys: DataFrame, on: list[str], n: int) -> DataFrame:
+    """The rows of ``table`` that ``n`` rows of ``keys`` can meet: few keys are sent to it, so that it isn't dealt anew."""
+    return table if n > FEW else table.join(F.broadcast(keys.select(*on).distinct()), on, "left_semi")
+
+
 def _jumped(rows: DataFrame, files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``rows`` of ``_explicit`` with every ``next`` followed to its end; ``known`` are followed already."""
-    parsed = files.select(F.col("file_id").alias("end_file"), (F.col("status") == "parsed").alias("read"))
-    open_ = rows.join(parsed, "end_file", "left")  # a pointer into a file that wasn't read ends there
+    parsed = files.select(F.col("file_id").alias("__to"), (F.col("status") == "parsed").alias("read"))
+    # a pointer into a file that wasn't read ends there; what points nowhere is spread by its own file
+    open_ = rows.join(parsed, F.coalesce("end_file", "file_id") == F.col("__to"), "left")
     unread = (F.col("state") == "next") & ~F.coalesce("read", F.lit(False))
     rows = checkpointed(open_.withColumn("path", F.when(unread, F.array_append("path", F.col("end_file"))).otherwise(F.col("path"))).withColumn("state", F.when(unread, "unindexed_module").otherwise(F.col("state"))).select(*_JUMP))
-    while not rows.filter("state = 'next'").isEmpty():
-        all_ = rows if known is None else rows.unionByName(known)
+    done, going = rows.filter("state <> 'next'"), rows.filter("state = 'next'")
+    while n := going.count():  # what has come to its end isn't moved again
+        all_ = done.unionByName(going)
+        all_ = all_ if known is None else all_.unionByName(known)
         p = all_.select(F.col("file_id").alias("end_file"), F.col("name").alias("end_name"), F.struct("state", "end_file", "end_name", "slot", "path").alias("p"))
-        waiting = rows.filter("state = 'next'").join(p, ["end_file", "end_name"], "left")
+        waiting = going.join(_asked_of(p, going, ["end_file", "end_name"], n), ["end_file", "end_name"], "left")
         there = F.col("p").isNotNull()
         path = F.when(there, F.concat("path", "p.path")).otherwise(F.array_append("path", F.col("end_file")))
         round_ = (F.size(F.array_distinct(path)) < F.size(path)) | (F.size(path) > CHAIN)
         state = F.when(round_, "reexport_cycle").when(there, F.col("p.state")).otherwise("open")
-        moved = waiting.select(
+        moved = checkpointed(waiting.select(
             "file_id", "name", state.alias("state"), F.when(there, F.col("p.end_file")).otherwise(F.col("end_file")).alias("end_file"),
             F.when(there, F.col("p.end_name")).otherwise(F.col("end_name")).alias("end_name"), F.col("p.slot").alias("slot"), _to_repeat(path).alias("path"),
-        )
-        rows = checkpointed(rows.filter("state <> 'next'").unionByName(moved))
-    return rows
+        ))
+        done, going = done.unionByName(moved.filter("state <> 'next'")), moved.filter("state = 'next'")
+    return done
 
 
 _ASK = ["ask_file", "ask_name"]
+_LINK = ["file_id", "idx", "target_file", "target_slot", "reason"]
+
 
+def _behind(r: Relations) -> DataFrame:
+    """(from, by_star, star, outcome, to): what a search finds behind a file that was read: itself, and each of its stars."""
+    parsed = r.files.filter("status = 'parsed'").select("file_id")
+    stars = r.exports.filter("kind = 'star'").join(parsed, "file_id", "left_semi").join(r.specs.select("file_id", "spec", "outcome", "target_file"), ["file_id", "spec"], "left")
+    return checkpointed(
+        stars.select(F.col("file_id").alias("from"), F.lit(True).alias("by_star"), F.col("idx").alias("star"), "outcome", F.col("target_file").alias("to")).unionByName(
+            parsed.select(F.col("file_id").alias("from"), F.lit(False).alias("by_star")), allowMissingColumns=True
+        )
+    )
 
-def _searched(asks: DataFrame, r: Relations, jumps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each (ask_file, ask_name) is: (.., state, target_file, target_slot); and (.., on_file), what was looked into.
+
+def _searched(asks: DataFrame, behind: DataFrame, jumps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each (ask_file, ask_name) is: (.., reason, target_file, target_slot); and (.., on_file), what was looked into.
 
     The first success in the order of the star exports, else the first failure that says more than that nothing
-    was found.
+    was found. Each level is kept once: what ends there, and what goes on to the files behind the stars (``go``).
     """
-    stars = r.exports.filter("kind = 'star'").join(r.specs.select("file_id", "spec", "outcome", "target_file"), ["file_id", "spec"], "left")
-    stars = stars.select(F.col("file_id").alias("at"), F.col("idx").alias("star"), "outcome", F.col("target_file").alias("to"))
-    parsed = r.files.filter("status = 'parsed'").select(F.col("file_id").alias("file"), F.lit(True).alias("read"))
     jump = jumps.select(F.col("file_id").alias("file"), F.col("name").alias("wanted"), F.struct("state", "end_file", "end_name", "slot", "path").alias("j"))
-    front = asks.select(*_ASK, F.array().cast("array<long>").alias("place"), F.col("ask_file").alias("file"), F.col("ask_name").alias("wanted"), F.array().cast("array<long>").alias("path"))
-    leaves = []
-    while True:
-        met = front.join(parsed, "file", "left").join(jump, ["file", "wanted"], "left")
+    front = checkpointed(asks.select(*_ASK, F.array().cast("array<long>").alias("place"), F.col("ask_file").alias("file"), F.col("ask_name").alias("wanted"), F.array().cast("array<long>").alias("path")))
+    levels = []
+    while (n := front.count()) or not levels:
+        met = front.join(_asked_of(jump, front, ["file", "wanted"], n), ["file", "wanted"], "left")
         seen = F.array_contains("path", F.col("file")) | (F.size("path") >= CHAIN)
         through = F.col("j").isNotNull()
         path = F.when(seen, F.col("path")).when(through, F.concat("path", "j.path")).otherwise(F.array_append("path", F.col("file")))
         round_ = seen | (through & (F.size(F.array_distinct(path)) < F.size(path))) | (F.size(path) > CHAIN)
-        state = F.when(round_, "reexport_cycle").when(F.col("read").isNull(), "unindexed_module").when(through, F.col("j.state")).otherwise("open")
-        step = checkpointed(met.select(
+        state = F.when(round_, "reexport_cycle").when(through, F.col("j.state")).otherwise("open")
+        step = met.select(
             *_ASK, "place", state.alias("state"), F.when(through & (F.col("j.state") != "def"), F.col("j.end_file")).otherwise(F.col("file")).alias("at"),
-            F.coalesce("j.end_name", "wanted").alias("wanted"), F.col("j.slot").alias("slot"), _to_repeat(path).alias("path"),
-        ))
+            F.coalesce("j.end_name", "wanted").alias("wanted"), F.col("j.slot").cast("long").alias("slot"), _to_repeat(path).alias("path"),
+        )
         # a definition lies in the file where its chain ended
         step = step.withColumn("at", F.when(F.col("state") == "def", F.element_at("path", -1)).otherwise(F.col("at")))
-        spread = step.filter((F.col("state") == "open") & (F.col("wanted") != DEFAULT)).join(stars, "at")
-        ended = step.join(spread.select(*_ASK, "place").distinct(), [*_ASK, "place"], "left_anti")
-        leaves.append(ended.withColumn("state", F.when(F.col("state") == "open", "export_not_found").otherwise(F.col("state"))).drop("wanted"))
-        below = F.array_append("place", F.col("star").cast("long"))
-        leaves.append(spread.filter("outcome is null or outcome not in ('file', 'namespace')").select(*_ASK, below.alias("place"), _miss(F.col("outcome")).alias("state"), "at", F.lit(None).cast("long").alias("slot"), "path"))
+        open_, by_star = F.col("state") == "open", F.coalesce("by_star", F.lit(False))
+        step = step.join(behind, (F.col("at") == F.col("from")) & open_ & (~F.col("by_star") | (F.col("wanted") != DEFAULT)), "left")
         # a star of nothing but a namespace leaves the search where it was
-        leaves.append(spread.filter("outcome = 'namespace'").select(*_ASK, below.alias("place"), F.lit("export_not_found").alias("state"), "at", F.lit(None).cast("long").alias("slot"), "path"))
-        front = checkpointed(spread.filter("outcome = 'file'").select(*_ASK, below.alias("place"), F.col("to").alias("file"), "wanted", "path"))
-        if front.isEmpty():
-            break
-    told = checkpointed(reduce(DataFrame.unionByName, [x.select(*_ASK, "place", "state", "at", F.col("slot").cast("long").alias("slot"), "path") for x in leaves]))
+        star = F.when(F.col("outcome") == "file", "go").when(F.col("outcome") == "namespace", "export_not_found").otherwise(_miss(F.col("outcome")))
+        state = F.when(~open_, F.col("state")).when(F.col("from").isNull(), "unindexed_module").when(by_star, star).otherwise("export_not_found")
+        place = F.when(by_star, F.array_append("place", F.col("star").cast("long"))).otherwise(F.col("place"))
+        levels.append(checkpointed(step.select(*_ASK, place.alias("place"), state.alias("state"), "at", "wanted", "slot", "path", "to")))
+        front = levels[-1].filter("state = 'go'").select(*_ASK, "place", F.col("to").alias("file"), "wanted", "path")
+    told = reduce(DataFrame.unionByName, [x.filter("state <> 'go'") for x in levels])
     rank = F.when(F.col("state").isin("def", "module"), 0).when(F.col("state") != "export_not_found", 1).otherwise(2)
     best = told.groupBy(*_ASK).agg(F.min_by(F.struct("state", "at", "slot"), F.struct(rank, "place")).alias("b"))
     slot = F.when(F.col("b.state") == "module", F.lit(MODULE_SLOT)).otherwise(F.col("b.slot"))
@@ -154,47 +178,70 @@ def _searched(asks: DataFrame, r: Relations, jumps: DataFrame) -> tuple[DataFram
     return found, told.select(*_ASK, on.alias("on_file")).distinct()
 
 
-def scoped(refs: DataFrame, decls: DataFrame, name: str) -> DataFrame:
-    """``refs`` with the declaration ``d`` of the innermost scope over each that declares ``name``; of two in one
-    scope the smaller slot, then the smaller import. None where no scope does."""
-    d = decls.select(F.col("file_id").alias("__file"), F.col("name").alias("__name"), "scope_start", "scope_end", F.struct("slot", "spec", "imported").alias("d"))
-    over = refs.join(d, (F.col("file_id") == F.col("__file")) & (F.col(name) == F.col("__name")) & (F.col("scope_start") <= F.col("start")) & (F.col("start") < F.col("scope_end")))
-    order = F.struct(-F.col("scope_start"), F.col("scope_end"), F.col("d.slot").isNull(), F.col("d.slot"), F.col("d.spec"), F.col("d.imported"))
-    inner = over.groupBy("file_id", "idx").agg(F.min_by("d", order).alias("d"))
-    return refs.join(inner, ["file_id", "idx"], "left")
+def scoped(refs: DataFrame, decls: DataFrame, name: str, *kept: str) -> DataFrame:
+    """``refs`` with the declaration ``d`` (slot, spec, imported and ``kept``) of the innermost scope over each that
+    declares ``name``; of two in one scope the smaller slot, then the smaller import. None where no scope does.
+
+    A file's declarations of a name are a list that its references look through; of names with over ``LIST`` each
+    reference meets its declarations as rows.
+    """
+    order = [(-F.col("scope_start")).alias("back"), F.col("scope_end").alias("end"), F.col("slot").isNull().alias("imports"), F.col("slot"), F.col("spec"), F.col("imported")]
+    of = [F.col("file_id").alias("__file"), F.col("name").alias("__name")]
+    same = (F.col("file_id") == F.col("__file")) & (F.col(name) == F.col("__name"))
+    many = checkpointed(decls.groupBy(*of).count().filter(F.col("count") > LIST).drop("count"))
+    rows = None
+    if not many.isEmpty():
+        d = decls.select(*of, "scope_start", "scope_end", F.struct(*order, *kept).alias("d")).join(many, ["__file", "__name"], "left_semi")
+        crowded = refs.join(many, same, "left_semi")
+        over = crowded.join(d, same & (F.col("scope_start") <= F.col("start")) & (F.col("start") < F.col("scope_end")))
+        rows = crowded.join(over.groupBy("file_id", "idx").agg(F.min("d").alias("d")), ["file_id", "idx"], "left")
+        refs, decls = refs.join(many, same, "left_anti"), decls.select("*", *of).join(many, ["__file", "__name"], "left_anti").drop("__file", "__name")
+    lists = decls.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct(*order, *kept))).alias("__d"))
+    inner = F.filter("__d", lambda x: (-x["back"] <= F.col("start")) & (F.col("start") < x["end"]))
+    listed = refs.join(lists, same, "left").withColumn("d", F.get(inner, F.lit(0))).drop("__file", "__name", "__d")
+    return listed if rows is None else listed.unionByName(rows)
+
+
+def _stands_for(r: Relations, behind: DataFrame, jumps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``decls`` with what each stands for (target_file, target_slot, reason) and the export it asks for, if any; and
+    what was looked into for those."""
+    whole = F.coalesce(F.col("imported") == WHOLE_MODULE, F.lit(True))
+    by = F.when(F.col("slot").isNotNull(), "own").when(F.col("spec").isNull(), "nothing").when(F.coalesce(F.col("outcome") == "file", F.lit(False)), F.when(whole, "module").otherwise("export")).otherwise("miss")
+    decls = r.decls.join(r.specs.select("file_id", "spec", "outcome", F.col("target_file").alias("ask_file")), ["file_id", "spec"], "left").withColumn("by", by)
+    decls = checkpointed(decls.select("file_id", "name", "scope_start", "scope_end", "slot", "spec", "imported", "by", F.when(F.col("by").isin("module", "export"), F.col("ask_file")).alias("ask_file"), F.when(F.col("by") == "export", F.col("imported")).alias("ask_name"), F.when(F.col("by") == "miss", _miss(F.col("outcome"))).when(F.col("by") == "nothing", "global").alias("reason")))
+    exports = decls.filter("by = 'export'")
+    found, looked = _searched(exports.select(*_ASK).distinct(), behind, jumps)
+    at_once = decls.filter("by <> 'export'").withColumns({
+        "target_file": F.when(F.col("by") == "own", F.col("file_id")).when(F.col("by") == "module", F.col("ask_file")),
+        "target_slot": F.when(F.col("by") == "own", F.col("slot")).when(F.col("by") == "module", F.lit(MODULE_SLOT).cast("long")),
+    })
+    return exports.drop("reason").join(found, _ASK, "left").unionByName(at_once), looked
 
 
 def _links(refs: DataFrame, r: Relations, jumps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, deps) of ``refs``."""
-    named = scoped(refs.withColumn("__looked", F.coalesce("receiver", "name")), r.decls, "__looked").withColumn("spec", F.col("d.spec"))
-    met = checkpointed(named.join(r.specs.select("file_id", "spec", "outcome", F.col("target_file").alias("to")), ["file_id", "spec"], "left"))
-    bound = met.filter("d.spec is not null")
-    asked = bound.filter("outcome = 'file'")
-    module = F.col("d.imported") == WHOLE_MODULE
-    asked = asked.withColumns({"ask_file": F.col("to"), "ask_name": F.when(~module, F.col("d.imported")).otherwise(F.when(F.col("receiver").isNotNull(), F.col("name")))})
-    found, looked = _searched(asked.filter("ask_name is not null").select(*_ASK).distinct(), r, jumps)
+    """(links, deps) of ``refs``. Declarations are resolved before references meet them, as those are many more; each
+    reference is read and kept once. The deps are not made before somebody reads them."""
+    behind = _behind(r)
+    decls, looked = _stands_for(r, behind, jumps)
+    told = ["target_file", "target_slot", "reason", *_ASK]
+    named = scoped(refs.withColumn("__looked", F.coalesce("receiver", "name")), decls, "__looked", *told)
     keys = ["file_id", "idx", "name", "receiver"]
-    none = F.lit(None).cast("string").alias("reason")
-    plain = [
-        met.filter("d is null").select(*keys, F.lit(None).cast("long").alias("target_file"), F.lit(None).cast("long").alias("target_slot"), F.lit("global").alias("reason"), F.lit(False).alias("inside")),
-        met.filter("d.slot is not null").select(*keys, F.col("file_id").cast("long").alias("target_file"), F.col("d.slot").cast("long").alias("target_slot"), none, F.col("receiver").isNotNull().alias("inside")),
-        bound.filter("outcome is null or outcome <> 'file'").select(*keys, F.lit(None).cast("long").alias("target_file"), F.lit(None).cast("long").alias("target_slot"), _miss(F.col("outcome")).alias("reason"), F.lit(False).alias("inside")),
-        asked.filter("ask_name is null").select(*keys, F.col("to").cast("long").alias("target_file"), F.lit(MODULE_SLOT).cast("long").alias("target_slot"), none, F.lit(False).alias("inside")),
-        asked.filter("ask_name is not null").join(found, _ASK).select(*keys, F.col("target_file").cast("long"), F.col("target_slot").cast("long"), "reason", (F.col("receiver").isNotNull() & (F.col("d.imported") != WHOLE_MODULE) & F.col("reason").isNull()).alias("inside")),
-    ]
-    found_ = checkpointed(reduce(DataFrame.unionByName, plain))
-    own = _in_definitions(found_.filter(F.col("inside") & (F.col("target_slot") != MODULE_SLOT)), r.members)
-    links = found_.filter("not inside").drop("inside").unionByName(own)
-    deps = asked.select("file_id", F.col("to").alias("on_file")).unionByName(asked.filter("ask_name is not null").join(looked, _ASK).select("file_id", "on_file"))
-    modules = found_.filter(F.col("inside") & (F.col("target_slot") == MODULE_SLOT))  # a module exported under a name
+    met = named.select(*keys, *(F.when(F.col("d").isNull(), "global").otherwise(F.col("d.reason")).alias(c) if c == "reason" else F.col("d")[c].alias(c) for c in told))
+    # whose member is meant: of a module (by itself, or exported under a name), or of a definition
+    module = F.col("target_slot") == MODULE_SLOT
+    inside = F.when(F.col("receiver").isNotNull() & F.col("target_slot").isNotNull(), F.when(~module, "definition").when(F.col("name").isNotNull(), "module"))
+    met = checkpointed(met.withColumn("inside", F.coalesce(inside, F.lit("nothing"))))
+    own = _in_definitions(met.filter("inside = 'definition'").select(*keys, "target_file", "target_slot"), r.members)
+    links = met.filter("inside = 'nothing'").unionByName(own, allowMissingColumns=True).select(*_LINK)
+    asked = met.filter("ask_file is not null").select("file_id", *_ASK).distinct()
+    deps = asked.select("file_id", F.col("ask_file").alias("on_file")).unionByName(asked.join(looked, _ASK).select("file_id", "on_file"))
+    modules = met.filter("inside = 'module'").select("file_id", "idx", F.col("target_file").alias("ask_file"), F.col("name").alias("ask_name"))
     if not modules.isEmpty():
-        again = modules.select(*keys, F.col("target_file").alias("ask_file"), F.col("name").alias("ask_name"))
-        found, looked = _searched(again.select(*_ASK).distinct(), r, jumps)
-        links = links.unionByName(again.join(found, _ASK).select(*keys, "target_file", "target_slot", "reason"))
-        deps = deps.unionByName(again.join(looked, _ASK).select("file_id", "on_file"))
+        found, looked = _searched(modules.select(*_ASK).distinct(), behind, jumps)
+        links = links.unionByName(modules.join(found, _ASK).select(*_LINK))
+        deps = deps.unionByName(modules.select("file_id", *_ASK).distinct().join(looked, _ASK).select("file_id", "on_file"))
     # where a definition was looked into for a member, its file is known to be looked into already
-    links = links.select("file_id", "idx", "target_file", "target_slot", "reason")
-    return checkpointed(links), checkpointed(deps.filter("file_id <> on_file").distinct())
+    return links, deps.filter("file_id <> on_file").distinct()
 
 
 def _in_definitions(owners: DataFrame, members: DataFrame | None) -> DataFrame:
@@ -257,8 +304,9 @@ def relink(old: Linked, before: Relations, after: Relations, changed: DataFrame)
     jumps = checkpointed(_jumped(fresh, after.files, kept).unionByName(kept))
     dependents = old.deps.join(reshaped.select(F.col("file_id").alias("on_file")), "on_file", "left_semi").select("file_id")
     touched = checkpointed(changed.unionByName(dependents).distinct())
-    links, deps = _links(after.refs.join(touched, "file_id", "left_semi"), after, jumps)
-    return Relinked(checkpointed(old.links.join(touched, "file_id", "left_anti").unionByName(links)), checkpointed(old.deps.join(touched, "file_id", "left_anti").unionByName(deps)), jumps, touched)
+    again = replace(after, decls=after.decls.join(touched, "file_id", "left_semi"))
+    links, looked = _links(after.refs.join(touched, "file_id", "left_semi"), again, jumps)
+    return Relinked(checkpointed(old.links.join(touched, "file_id", "left_anti").unionByName(links)), old.deps.join(touched, "file_id", "left_anti").unionByName(looked), jumps, touched)
 
 
 def _of(r: Relations, files: DataFrame) -> Relations:

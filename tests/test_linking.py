@@ -173,6 +173,40 @@ def test_what_lies_behind_a_cycle_is_not_looked_into(spark):
     assert {(r["file_id"], r["on_file"]) for r in linked.deps.collect()} == {(0, 1), (0, 2), (0, 3)}
 
 
+def test_each_reference_is_read_once(spark):
+    """However many searches follow, and with the deps not made before they are asked for."""
+    rows = scattered(random.Random(4))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    r = frames(spark, rows)
+    r.refs = r.refs.mapInArrow(count, SCHEMAS["refs"])
+    linked = L.link(r)
+    assert found(linked) == by_hand(rows)
+    assert linked.deps.count() > 0
+    assert read.value == len(rows["refs"])
+
+
+def test_many_declarations_of_one_name(spark, monkeypatch):
+    """Names with more declarations than a list holds meet their references as rows; the links are the same."""
+    rows = scattered(random.Random(9))
+    for k in range(12):
+        rows["decls"].append((3, "x", k, 60 - k // 2, None if k % 2 else 200 + k, k % 6 if k % 2 else None, "a" if k % 2 else None))
+    rows["refs"] += [(3, 100 + k, "x", 5 * k, None) for k in range(12)]
+    monkeypatch.setattr(L, "LIST", 2)
+    assert found(L.link(frames(spark, rows))) == by_hand(rows)
+
+
+def test_a_declaration_of_nothing_leaves_its_references_global(spark):
+    """As in the query's SQL; each reference has a link."""
+    rows = {k: [] for k in SCHEMAS} | {"files": [(0, "parsed")], "decls": [(0, "x", 0, 9, None, None, None)], "refs": [(0, 0, "x", 3, None), (0, 1, "m", 3, "x")]}
+    assert found(L.link(frames(spark, rows))) == {(0, 0): (None, None, "global"), (0, 1): (None, None, "global")}
+
+
 @pytest.mark.parametrize("empty", [("refs",), tuple(SCHEMAS)])
 def test_empty_relations(spark, empty):
     rows = scattered(random.Random(1), 3) | {k: [] for k in empty}
