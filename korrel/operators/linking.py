@@ -28,7 +28,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korrel.session import checkpointed
+from korrel.session import written
 
 CHAIN = 64
 #: Rows that are sent to a table instead of dealing it anew.
@@ -64,7 +64,7 @@ class Linked:
 
     @cached_property
     def deps(self) -> DataFrame:
-        return checkpointed(self.looked)
+        return written(self.looked)
 
 
 def _miss(outcome: Column) -> Column:
@@ -104,7 +104,7 @@ def _jumped(rows: DataFrame, files: DataFrame, known: DataFrame | None = None) -
     # a pointer into a file that wasn't read ends there; what points nowhere is spread by its own file
     open_ = rows.join(parsed, F.coalesce("end_file", "file_id") == F.col("__to"), "left")
     unread = (F.col("state") == "next") & ~F.coalesce("read", F.lit(False))
-    rows = checkpointed(open_.withColumn("path", F.when(unread, F.array_append("path", F.col("end_file"))).otherwise(F.col("path"))).withColumn("state", F.when(unread, "unindexed_module").otherwise(F.col("state"))).select(*_JUMP))
+    rows = written(open_.withColumn("path", F.when(unread, F.array_append("path", F.col("end_file"))).otherwise(F.col("path"))).withColumn("state", F.when(unread, "unindexed_module").otherwise(F.col("state"))).select(*_JUMP))
     done, going = rows.filter("state <> 'next'"), rows.filter("state = 'next'")
     while n := going.count():  # what has come to its end isn't moved again
         all_ = done.unionByName(going)
@@ -115,7 +115,7 @@ def _jumped(rows: DataFrame, files: DataFrame, known: DataFrame | None = None) -
         path = F.when(there, F.concat("path", "p.path")).otherwise(F.array_append("path", F.col("end_file")))
         round_ = (F.size(F.array_distinct(path)) < F.size(path)) | (F.size(path) > CHAIN)
         state = F.when(round_, "reexport_cycle").when(there, F.col("p.state")).otherwise("open")
-        moved = checkpointed(waiting.select(
+        moved = written(waiting.select(
             "file_id", "name", state.alias("state"), F.when(there, F.col("p.end_file")).otherwise(F.col("end_file")).alias("end_file"),
             F.when(there, F.col("p.end_name")).otherwise(F.col("end_name")).alias("end_name"), F.col("p.slot").alias("slot"), _to_repeat(path).alias("path"),
         ))
@@ -131,7 +131,7 @@ def _behind(r: Relations) -> DataFrame:
     """(from, by_star, star, outcome, to): what a search finds behind a file that was read: itself, and each of its stars."""
     parsed = r.files.filter("status = 'parsed'").select("file_id")
     stars = r.exports.filter("kind = 'star'").join(parsed, "file_id", "left_semi").join(r.specs.select("file_id", "spec", "outcome", "target_file"), ["file_id", "spec"], "left")
-    return checkpointed(
+    return written(
         stars.select(F.col("file_id").alias("from"), F.lit(True).alias("by_star"), F.col("idx").alias("star"), "outcome", F.col("target_file").alias("to")).unionByName(
             parsed.select(F.col("file_id").alias("from"), F.lit(False).alias("by_star")), allowMissingColumns=True
         )
@@ -145,7 +145,7 @@ def _searched(asks: DataFrame, behind: DataFrame, jumps: DataFrame) -> tuple[Dat
     was found. Each level is kept once: what ends there, and what goes on to the files behind the stars (``go``).
     """
     jump = jumps.select(F.col("file_id").alias("file"), F.col("name").alias("wanted"), F.struct("state", "end_file", "end_name", "slot", "path").alias("j"))
-    front = checkpointed(asks.select(*_ASK, F.array().cast("array<long>").alias("place"), F.col("ask_file").alias("file"), F.col("ask_name").alias("wanted"), F.array().cast("array<long>").alias("path")))
+    front = written(asks.select(*_ASK, F.array().cast("array<long>").alias("place"), F.col("ask_file").alias("file"), F.col("ask_name").alias("wanted"), F.array().cast("array<long>").alias("path")))
     levels = []
     while (n := front.count()) or not levels:
         met = front.join(_asked_of(jump, front, ["file", "wanted"], n), ["file", "wanted"], "left")
@@ -166,7 +166,7 @@ def _searched(asks: DataFrame, behind: DataFrame, jumps: DataFrame) -> tuple[Dat
         star = F.when(F.col("outcome") == "file", "go").when(F.col("outcome") == "namespace", "export_not_found").otherwise(_miss(F.col("outcome")))
         state = F.when(~open_, F.col("state")).when(F.col("from").isNull(), "unindexed_module").when(by_star, star).otherwise("export_not_found")
         place = F.when(by_star, F.array_append("place", F.col("star").cast("long"))).otherwise(F.col("place"))
-        levels.append(checkpointed(step.select(*_ASK, place.alias("place"), state.alias("state"), "at", "wanted", "slot", "path", "to")))
+        levels.append(written(step.select(*_ASK, place.alias("place"), state.alias("state"), "at", "wanted", "slot", "path", "to")))
         front = levels[-1].filter("state = 'go'").select(*_ASK, "place", F.col("to").alias("file"), "wanted", "path")
     told = reduce(DataFrame.unionByName, [x.filter("state <> 'go'") for x in levels])
     rank = F.when(F.col("state").isin("def", "module"), 0).when(F.col("state") != "export_not_found", 1).otherwise(2)
@@ -188,7 +188,7 @@ def scoped(refs: DataFrame, decls: DataFrame, name: str, *kept: str) -> DataFram
     order = [(-F.col("scope_start")).alias("back"), F.col("scope_end").alias("end"), F.col("slot").isNull().alias("imports"), F.col("slot"), F.col("spec"), F.col("imported")]
     of = [F.col("file_id").alias("__file"), F.col("name").alias("__name")]
     same = (F.col("file_id") == F.col("__file")) & (F.col(name) == F.col("__name"))
-    many = checkpointed(decls.groupBy(*of).count().filter(F.col("count") > LIST).drop("count"))
+    many = written(decls.groupBy(*of).count().filter(F.col("count") > LIST).drop("count"))
     rows = None
     if not many.isEmpty():
         d = decls.select(*of, "scope_start", "scope_end", F.struct(*order, *kept).alias("d")).join(many, ["__file", "__name"], "left_semi")
@@ -208,7 +208,7 @@ def _stands_for(r: Relations, behind: DataFrame, jumps: DataFrame) -> tuple[Data
     whole = F.coalesce(F.col("imported") == WHOLE_MODULE, F.lit(True))
     by = F.when(F.col("slot").isNotNull(), "own").when(F.col("spec").isNull(), "nothing").when(F.coalesce(F.col("outcome") == "file", F.lit(False)), F.when(whole, "module").otherwise("export")).otherwise("miss")
     decls = r.decls.join(r.specs.select("file_id", "spec", "outcome", F.col("target_file").alias("ask_file")), ["file_id", "spec"], "left").withColumn("by", by)
-    decls = checkpointed(decls.select("file_id", "name", "scope_start", "scope_end", "slot", "spec", "imported", "by", F.when(F.col("by").isin("module", "export"), F.col("ask_file")).alias("ask_file"), F.when(F.col("by") == "export", F.col("imported")).alias("ask_name"), F.when(F.col("by") == "miss", _miss(F.col("outcome"))).when(F.col("by") == "nothing", "global").alias("reason")))
+    decls = written(decls.select("file_id", "name", "scope_start", "scope_end", "slot", "spec", "imported", "by", F.when(F.col("by").isin("module", "export"), F.col("ask_file")).alias("ask_file"), F.when(F.col("by") == "export", F.col("imported")).alias("ask_name"), F.when(F.col("by") == "miss", _miss(F.col("outcome"))).when(F.col("by") == "nothing", "global").alias("reason")))
     exports = decls.filter("by = 'export'")
     found, looked = _searched(exports.select(*_ASK).distinct(), behind, jumps)
     at_once = decls.filter("by <> 'export'").withColumns({
@@ -230,7 +230,7 @@ def _links(refs: DataFrame, r: Relations, jumps: DataFrame) -> tuple[DataFrame,
     # whose member is meant: of a module (by itself, or exported under a name), or of a definition
     module = F.col("target_slot") == MODULE_SLOT
     inside = F.when(F.col("receiver").isNotNull() & F.col("target_slot").isNotNull(), F.when(~module, "definition").when(F.col("name").isNotNull(), "module"))
-    met = checkpointed(met.withColumn("inside", F.coalesce(inside, F.lit("nothing"))))
+    met = written(met.withColumn("inside", F.coalesce(inside, F.lit("nothing"))))
     own = _in_definitions(met.filter("inside = 'definition'").select(*keys, "target_file", "target_slot"), r.members)
     links = met.filter("inside = 'nothing'").unionByName(own, allowMissingColumns=True).select(*_LINK)
     asked = met.filter("ask_file is not null").select("file_id", *_ASK).distinct()
@@ -297,16 +297,16 @@ def relink(old: Linked, before: Relations, after: Relations, changed: DataFrame)
     """
     before, after, changed = _plain(before), _plain(after), changed.select(F.col("file_id").cast("long")).distinct()
     b, a = shape(_of(before, changed)), shape(_of(after, changed))
-    reshaped = checkpointed(changed.join(b.withColumnRenamed("shape", "b"), "file_id", "left").join(a.withColumnRenamed("shape", "a"), "file_id", "left").filter(~F.col("a").eqNullSafe(F.col("b"))).select("file_id"))
+    reshaped = written(changed.join(b.withColumnRenamed("shape", "b"), "file_id", "left").join(a.withColumnRenamed("shape", "a"), "file_id", "left").filter(~F.col("a").eqNullSafe(F.col("b"))).select("file_id"))
     through = old.jumps.select("file_id", "name", F.explode("path").alias("on")).join(reshaped.select(F.col("file_id").alias("on")), "on", "left_semi").select("file_id", "name").distinct()
-    kept = checkpointed(old.jumps.join(through, ["file_id", "name"], "left_anti").join(reshaped, "file_id", "left_anti"))
+    kept = written(old.jumps.join(through, ["file_id", "name"], "left_anti").join(reshaped, "file_id", "left_anti"))
     fresh = _explicit(after).join(kept.select("file_id", "name"), ["file_id", "name"], "left_anti")
-    jumps = checkpointed(_jumped(fresh, after.files, kept).unionByName(kept))
+    jumps = written(_jumped(fresh, after.files, kept).unionByName(kept))
     dependents = old.deps.join(reshaped.select(F.col("file_id").alias("on_file")), "on_file", "left_semi").select("file_id")
-    touched = checkpointed(changed.unionByName(dependents).distinct())
+    touched = written(changed.unionByName(dependents).distinct())
     again = replace(after, decls=after.decls.join(touched, "file_id", "left_semi"))
     links, looked = _links(after.refs.join(touched, "file_id", "left_semi"), again, jumps)
-    return Relinked(checkpointed(old.links.join(touched, "file_id", "left_anti").unionByName(links)), old.deps.join(touched, "file_id", "left_anti").unionByName(looked), jumps, touched)
+    return Relinked(written(old.links.join(touched, "file_id", "left_anti").unionByName(links)), old.deps.join(touched, "file_id", "left_anti").unionByName(looked), jumps, touched)
 
 
 def _of(r: Relations, files: DataFrame) -> Relations:

@@ -57,6 +57,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as Parquet in the shared folder, for tables of which most readers want some columns or rows."""
+    from uuid import uuid4
+
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parts_for(df: DataFrame, mb: int = 16) -> int:
     """Shuffle partitions for ``df``: the session's number, or more so that each takes about ``mb`` of input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
