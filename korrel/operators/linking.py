@@ -15,9 +15,9 @@ members(file_id, slot, name, parent)
                                    definitions inside others
 
 A re-exported name is a pointer to another file's export. All such pointers are followed at once by pointer
-jumping, so a chain of n takes log n joins. Star exports are searched in their order, level by level, for what is
-asked alone. A chain that comes to a file for the second time, or is longer than ``CHAIN`` files, is a cycle.
-Nothing is collected on the driver but whether a round left anything open.
+jumping, so a chain of n takes log n joins. Star exports are searched in their order, level by level, for what
+imports and members ask alone. A chain that comes to a file for the second time, or is longer than ``CHAIN`` files, is a cycle.
+Nothing is collected on the driver but how many rows a round left open, and, where these are ``FEW``, their keys.
 """
 
 from __future__ import annotations
