@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache, wraps
 
 import numpy as np
@@ -17,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 MAX64 = np.iinfo(np.uint64).max
+#: With this Spark deletes a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What ``keep`` has written in the innermost function that is ``alone``.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +58,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         print(f"left {path}: {type(error).__name__}")
 
 
+@contextmanager
+def _cleaned(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and no shuffle files stay."""
     path = new_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.kept_at = path
+    if (made := _MADE.get()) is not None:
+        made.append(kept)
     return kept
 
 
@@ -66,6 +88,32 @@ def forget(kept: DataFrame) -> None:
     _remove(kept.sparkSession, kept.kept_at)
 
 
+def alone(run: Callable) -> Callable:
+    """``run``, of whose tables only the result stays: all others that it keeps are deleted when it ends.
+
+    So its result is a table that it has kept, or no table.
+    """
+
+    @wraps(run)
+    def wrapped(*args, **named):
+        outer, made, out = _MADE.get(), [], None
+        token = _MADE.set(made)
+        try:
+            out = run(*args, **named)
+            if isinstance(out, DataFrame) and not any(out is x for x in made):
+                raise ValueError(f"{run.__name__} has to keep what it returns")
+        finally:
+            _MADE.reset(token)
+            for x in made:
+                if x is not out:
+                    forget(x)
+        if isinstance(out, DataFrame) and outer is not None:
+            outer.append(out)
+        return out
+
+    return wrapped
+
+
 def table_bytes(df: DataFrame) -> int:
     """What Spark takes for the size of ``df``; where it knows none, 16 MB for each of the session's partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import keep, slices, span_hash, texts_of, tidied, word_runs
+from korrel.llm.common import alone, keep, slices, span_hash, texts_of, tidied, word_runs
 
 #: Labelled documents that are fitted to and held out: the bound of the sample. Rounds and labels cover all documents.
 SAMPLE, HELD_OUT = 8000, 0.3
@@ -338,6 +338,7 @@ def _learned(pool: DataFrame, views: list[View], calibrate: list[list[np.ndarray
     return out
 
 
+@alone
 def _train(features: DataFrame, labels: DataFrame) -> Models:
     found = _sample(features, labels)
     count = found.num_rows
@@ -376,6 +377,7 @@ def _train(features: DataFrame, labels: DataFrame) -> Models:
     return Models(views, models)
 
 
+@alone
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = META) -> Models:
     """Models of quality and toxic from SAMPLE labelled documents at most and all documents that have no label.
 

@@ -378,6 +378,7 @@ def _cut_rows(docs: DataFrame, window: int, id_col: str, text_col: str, with_tex
     firsts = names.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("most").alias("most")).filter("first < most").select("a", "b", "first")
     firsts = names.join(firsts, ["a", "b"]).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "first")).alias("firsts"))
     firsts = keep(firsts, "substring-firsts")
+    forget(names)
     buckets, deal = buckets_for(docs), Dealer(chunks, parts_for(docs))
     looked = deal.by_chunk(chunks.select("chunk", "ids", "sizes", "a", "b", "texts"))  # one exchange for both uses
     asked = looked.cogroup(deal.by_chunk(firsts)).applyInArrow(_request(window, buckets), REQUESTS)

@@ -956,3 +956,75 @@ def test_what_many_texts_share_makes_no_pairs(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()}
     assert found == {k: k - 240 if k >= 240 else k for k in range(250)}
     assert made[-1] < 250
+
+
+def kept_tables(spark):
+    from pathlib import Path
+
+    from korrel.llm.common import shared_dir
+
+    return {x.name for x in Path(shared_dir(spark).removeprefix("file:")).glob("korrel-*")}
+
+
+def test_stages_leave_what_their_result_reads(spark, small, tmp_path):
+    import corpus_pipeline
+
+    docs, left = spark.read.parquet(f"{small}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        before = kept_tables(spark)
+        stage(spark, docs, small).write.parquet(str(tmp_path / str(k)))
+        left.append(sorted(x.removeprefix("korrel-")[:-33] for x in kept_tables(spark) - before))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert left == [[], ["similar-chunks", "similar-rooted"], ["repeats", "repeats-told", "substring-chunks", "substring-firsts"]]
+
+
+def test_pipeline_leaves_its_last_stages(spark, small):
+    import corpus_pipeline
+
+    before = kept_tables(spark)
+    rows = corpus_pipeline.run(spark, small).count()
+    left = sorted(x.removeprefix("korrel-")[:-33] for x in kept_tables(spark) - before)
+    assert rows and [x for x in left if x.startswith(("stage-", "similar-", "substring-"))] == ["stage-benchmark-decontamination"]
+
+
+def test_alone_keeps_its_result(spark):
+    from korrel.llm.common import alone, keep
+
+    @alone
+    def inner():
+        keep(spark.range(3), "passing")
+        return keep(spark.range(5), "stays")
+
+    @alone
+    def outer(fault=None):
+        found = inner()
+        if fault:
+            raise fault
+        return keep(found.filter("id > 1"), "last")
+
+    before = kept_tables(spark)
+    assert inner().count() == 5 and outer().count() == 3
+    with pytest.raises(KeyError):
+        outer(KeyError("x"))
+    with pytest.raises(ValueError):
+        alone(lambda: keep(spark.range(2), "lost").filter("id > 0"))()
+    assert sorted(x[:-33] for x in kept_tables(spark) - before) == ["korrel-last", "korrel-stays"]
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from korrel.llm.common import keep
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (found.apply(k).getName() for k in range(found.size()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before = files()
+    kept = keep(spark.range(1000).repartition(3, "id").groupBy("id").count(), "dealt")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert kept.count() == 1000 and not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
