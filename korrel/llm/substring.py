@@ -271,7 +271,7 @@ def _doubled(length: int):
 
 
 def _levels(found: DataFrame, told: DataFrame, window: int, buckets: int, deal: Dealer) -> DataFrame:
-    """(chunk, longest): rows with the lengths of their windows that repeat, level by level until none does."""
+    """The last level, a kept table: rows with the lengths of their windows that repeat, level by level until none does."""
     length, step, before = window, _first_doubled, None
     while True:
         level = keep(deal.by_chunk(found).cogroup(deal.by_chunk(told)).applyInArrow(step(length), LEVEL), "repeats")
@@ -279,7 +279,7 @@ def _levels(found: DataFrame, told: DataFrame, window: int, buckets: int, deal:
             forget(before)
         alive = level.filter("size(h1) > 0").select("chunk", "h1")
         if alive.isEmpty():
-            return level.select("chunk", F.arrays_zip(F.col("rows").alias("row"), F.col("lengths").alias("length")).alias("longest"))
+            return level
         told = by_bucket(alive.mapInArrow(_level_request(buckets), REQUESTS), buckets).applyInArrow(_answer, TOLD)
         found, before, length, step = level, level, 2 * length, _doubled
 
@@ -303,7 +303,7 @@ def _kept(raw: bytes, starts: np.ndarray, window: int, parts: list | None, diges
                 words = [words[k] for k in np.flatnonzero(~cover).tolist()]
         else:
             number += len(words)
-        if words:
+        if words and (digest is not None or parts is not None):
             text = b" ".join(words)
             if digest is not None:
                 digest.update(b" " + text if said else text)
@@ -346,7 +346,7 @@ def _cut(window: int, with_text: bool, rest: T.DataType | None):
                     kept = "" if removed else raw.decode()
                 done[k] = count, removed, None, kept
             elif with_text and k not in starts:
-                done[k] = 0, 0, 0, raw.decode()
+                done[k] = *_kept(raw, none, window, None), longest.get(k, 0), raw.decode()
             else:
                 count, removed = _kept(raw, starts.get(k, none), window, parts, digest)
                 done[k] = count, removed, longest.get(k, 0), b" ".join(parts).decode() if with_text else digest.hexdigest()
@@ -369,7 +369,7 @@ def _together(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _cut_rows(docs: DataFrame, window: int, id_col: str, text_col: str, with_text: bool, with_levels: bool, rest) -> DataFrame:
+def _cut_rows(docs: DataFrame, window: int, id_col: str, text_col: str, with_text: bool, rest) -> DataFrame:
     if window < 2:
         raise ValueError("a window has two words at least")
     chunks = chunked(docs, id_col, text_col, rest, "substring-chunks")
@@ -386,11 +386,12 @@ def _cut_rows(docs: DataFrame, window: int, id_col: str, text_col: str, with_tex
     found = looked.cogroup(deal.by_chunk(told)).applyInArrow(_candidates(window), FOUND).filter("size(h1) > 0")
     found = keep(found, "repeats")
     told = keep(by_bucket(found.mapInArrow(_order_request(buckets), REQUESTS), buckets).applyInArrow(_order_answer, TOLD), "repeats-told")
+    last, answers = _levels(found, told, window, buckets, deal), told
+    longest = last.select("chunk", F.arrays_zip(F.col("rows").alias("row"), F.col("lengths").alias("length")).alias("longest"))
+    told = keep(_together(answers, longest), "repeats-told")
+    forget(answers)
+    forget(last)
     notes = [firsts, told, found.select("chunk", "h1", "row", "place", "lead")]
-    if with_levels:
-        notes.append(_levels(found, told, window, buckets, deal))
-    else:
-        notes.append(found.limit(0).select("chunk", F.lit(None).cast("array<struct<row:int,length:bigint>>").alias("longest")))
     kind = chunks.schema["rest"].dataType.elementType
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_removed", "longest_repeat")), T.StructField("kept", T.StringType()), T.StructField("rest", kind)])
     return deal.by_chunk(chunks).cogroup(deal.by_chunk(_together(*notes))).applyInArrow(_cut(window, with_text, kind), schema)
@@ -401,26 +402,28 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start earlier: in a
     document of smaller id, or earlier in the same one. Kept words are joined by one space; ``with_text``
-    leaves texts that lose nothing as they are (and doesn't count their words). ``longest_repeat`` is the length
-    of the longest windows of a text that repeat, in doublings of ``window``: 0 if none does, null for copies of
-    whole texts. Null texts have no words (and stay null in kept_text). A null id counts as the largest. Repeated
-    rows of one id and text are one document and get equal rows; rows of one id with different texts are documents
-    of their own, of which any one may count as the earlier. An empty table gives an empty result; other columns
-    are ignored. A text of any length is hashed and cut in blocks; some 40 bytes a word are held of the longest.
+    leaves texts that lose nothing as they are. ``longest_repeat`` is the length of the longest windows of a text
+    that repeat, in doublings of ``window``: 0 if none does, null for copies of whole texts. Null texts have no
+    words (and stay null in kept_text). A null id counts as the largest. Repeated rows of one id and text are one
+    document and get equal rows; rows of one id with different texts are documents of their own, of which any one
+    may count as the earlier. An empty table gives an empty result; other columns are ignored. A text of any length
+    is hashed and cut in blocks; some 40 bytes a word are held of the longest.
     """
-    found = _cut_rows(docs, window, id_col, text_col, with_text, True, F.lit(True))
+    found = _cut_rows(docs, window, id_col, text_col, with_text, F.lit(True))
     return found.withColumnRenamed("kept", "kept_text" if with_text else "kept_sha256").drop("rest")
 
 
-def cut_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+def cut_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", longest_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` with all their columns and their texts cut; ``size_col``, if there, follows the text.
 
-    All rows stay: a text that loses all its words is empty. See ``dedup_substrings`` for what goes; as nobody asks
-    for the length of repeats here, the levels above the first, which cut nothing more, are left out.
+    All rows stay: a text that loses all its words is empty. See ``dedup_substrings`` for what goes, and for
+    ``longest_repeat``, which comes as ``longest_col`` if that is named (it may not be a column of ``docs``).
     """
+    if longest_col in docs.columns:
+        raise ValueError(f"there is a column {longest_col} already")
     others = [c for c in docs.columns if c != text_col]
     rest = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)), F.lit(True).alias("always"))
-    rows = _cut_rows(docs, window, id_col, text_col, True, False, rest)
+    rows = _cut_rows(docs, window, id_col, text_col, True, rest)
 
     def column(name: str):
         kind = docs.schema[name].dataType
@@ -431,4 +434,5 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             return F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(old).cast(kind).alias(name)
         return old.alias(name)
 
-    return rows.select(*map(column, docs.columns))
+    longest = [] if longest_col is None else [F.col("longest_repeat").alias(longest_col)]
+    return rows.select(*map(column, docs.columns), *longest)

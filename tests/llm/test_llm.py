@@ -220,6 +220,28 @@ def test_levels_go_on_until_nothing_repeats(spark, prose):
     assert Counter(tuple(r[c] for c in CUT) for r in found) == cut(rows)
 
 
+def test_cut_documents_tell_their_repeats_at_all_levels(spark, prose):
+    df, docs = prose
+    rng = random.Random(9)
+    long = [f"l{rng.randrange(500)}" for _ in range(700)]
+    rows = [*enumerate(docs), (500, " ".join(long)), (501, "start " + " ".join(long)), (502, "again " * 90), (503, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    whole = substring.cut_documents(df, longest_col="longest").collect()
+    wanted = doubled(rows)
+    assert {r["doc_id"]: r["longest"] for r in whole if r["longest"] is not None} == wanted and wanted[500] == wanted[501] == 640
+    told = {r["doc_id"]: r for r in substring.dedup_substrings(df).collect()}
+    texts = {r["doc_id"]: r for r in substring.dedup_substrings(df, with_text=True).collect()}
+    for c in ("n_words", "n_removed", "longest_repeat"):  # of texts that lose nothing too
+        assert {i: r[c] for i, r in texts.items()} == {i: r[c] for i, r in told.items()}, c
+    for r in whole:
+        text = dict(rows)[r["doc_id"]]
+        kept = r["text"] if told[r["doc_id"]]["n_removed"] else " ".join(WORDS.findall(text or ""))
+        assert hashlib.sha256(kept.encode()).hexdigest() == told[r["doc_id"]]["kept_sha256"] and (told[r["doc_id"]]["n_removed"] or r["text"] == text)
+    assert [tuple(r)[:2] for r in sorted(whole)] == sorted(map(tuple, substring.cut_documents(df).collect()))
+    with pytest.raises(ValueError):
+        substring.cut_documents(df, longest_col="text")
+
+
 def thue_morse(n, letters="ab"):
     return "".join(letters[k.bit_count() & 1] for k in range(n))
 
